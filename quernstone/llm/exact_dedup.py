@@ -101,6 +101,10 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS, heavy: int = HEAVY) -
     )
 
 
+def dedup_report(docs: DataFrame) -> DataFrame:
+    return exact_dedup(docs).drop("heavy")
+
+
 ORACLE = """
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256
 FROM (
