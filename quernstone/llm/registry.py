@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import exact_dedup, langid, line_dedup, mixing, secrets, simhash
+from quernstone.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, secrets, sharding, simhash, token_output
 from quernstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,10 +19,13 @@ def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_mix": on_documents(mixing.mix_report),
+        "op2_decontaminate": lambda spark, sf_dir: decontaminate.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
         "op3_langid": on_documents(langid.language_report),
         "op4_exact_dedup": on_documents(exact_dedup.dedup_report),
+        "op5_token_output": on_documents(token_output.token_report),
         "op6_simhash": on_documents(simhash.simhash_report),
         "op7_line_dedup": on_documents(line_dedup.line_report),
+        "op9_shard": on_documents(sharding.shard_report),
         "op10_secrets": on_documents(secrets.secret_report),
     }
 
