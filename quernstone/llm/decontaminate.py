@@ -27,6 +27,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 two fingerprints differ in 9.7 bits on average, 15 are 1.8 standard deviations more.
 RADIUS = 15
 BLOCKS, BLOCK_BITS = 4, 16
+PIECE = 256
 _FOURS = 0x0001000100010001
 
 
@@ -130,17 +131,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, least: flo
     before = F.lag("pos").over(Window.partitionBy(*key).orderBy("pos"))
     spans = seeds.withColumn("lo", F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1, F.coalesce(before + 1, F.lit(0))))
     spans = spans.withColumn("hi", F.greatest(F.lit(0), F.least("pos", F.col("n") - F.col("m")))).where("lo <= hi")
-    spans = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"))  # as many as the document has shingles at most
-    spans = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("m", "spans")).alias("sizes")), "spans")
+    # spans that touch become pieces of about PIECE starts, so that what a row holds does not grow with the text
+    place = Window.partitionBy(*key).orderBy("lo")
+    spans = spans.withColumn("island", F.sum(F.when(F.col("lo") == F.lag("hi").over(place) + 1, 0).otherwise(1)).over(place))
+    spans = spans.groupBy(*key, "island", F.floor(F.col("lo") / PIECE)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans = materialize(spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("pieces")), "spans")
     n_docs = spans.count()
     found = base.where(F.col("text").isNotNull()).join(
-        sized(spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "sizes"), n_docs // 16), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
+        sized(spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "pieces"), n_docs * 16), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
     )
-    found = found.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("sizes").alias("sizes"))
-    one = found.select("doc_id", "text_key", shingle_hashes(F.col("text"), words).alias("s"), F.explode("sizes").alias("z"))
-    one = one.select("doc_id", "text_key", "s", F.col("z.m").alias("m"), F.explode("z.spans").alias("r"))
-    one = one.select("doc_id", "text_key", "s", "m", F.explode(F.sequence("r.lo", "r.hi")).alias("start"))
-    windows = one.select("doc_id", "text_key", "m", "start", F.slice("s", F.col("start") + 1, F.col("m")).alias("window"))
+    found = found.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("pieces").alias("pieces"))
+    cut = lambda z: F.struct(z["m"].alias("m"), z["lo"].alias("lo"), z["hi"].alias("hi"), F.slice(F.col("s"), z["lo"] + 1, z["hi"] - z["lo"] + z["m"]).alias("part"))
+    pieces = found.select("doc_id", "text_key", "pieces", shingle_hashes(F.col("text"), words).alias("s"))
+    pieces = pieces.select("doc_id", "text_key", F.explode(F.transform("pieces", cut)).alias("p")).select("doc_id", "text_key", "p.*")
+    each = lambda k: F.struct((F.col("lo") + k).alias("start"), F.slice(F.col("part"), k + 1, F.col("m")).alias("window"))
+    windows = pieces.select("doc_id", "text_key", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), each)).alias("w")).select("doc_id", "text_key", "m", "w.*")
     windows = windows.withColumn("fp", simhash(F.col("window")))
     slots = F.array(*[_slot(F.col("m"), b, _block(F.col("fp"), b)) for b in range(BLOCKS)])
     index = item_index(items, radius)

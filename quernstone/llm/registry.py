@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, secrets, sharding, simhash, token_output
+from quernstone.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, pii, secrets, sharding, simhash, token_output
 from quernstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op5_token_output": on_documents(token_output.token_report),
         "op6_simhash": on_documents(simhash.simhash_report),
         "op7_line_dedup": on_documents(line_dedup.line_report),
+        "op8_pii": on_documents(pii.pii_report),
         "op9_shard": on_documents(sharding.shard_report),
         "op10_secrets": on_documents(secrets.secret_report),
     }
