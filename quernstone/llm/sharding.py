@@ -92,8 +92,8 @@ class ShardStore:
     @staticmethod
     def _own(schema) -> str:
         name, taken = "quern_shard", {f.name.lower() for f in schema.fields}
-        while name in taken:
-            name += "_"
+        while any(t.startswith(name) for t in taken):  # names that begin with it are free as well
+            name = "q" + name
         return name
 
     def _written(self, step: str, schema) -> DataFrame:
@@ -169,7 +169,7 @@ class ShardStore:
         if not steps:
             return self.spark.createDataFrame([], schema).withColumn(own, F.lit(None).cast("struct<shard:string,n_bytes:bigint,row_index:bigint>"))
         n = live.count()
-        return self._files(schema, steps).join(sized(live.select("shard"), n), F.col(f"{own}.shard") == F.col("shard"), "left_semi")
+        return self._files(schema, steps).join(sized(live.select(F.col("shard").alias(f"{own}_")), n), F.col(f"{own}.shard") == F.col(f"{own}_"), "left_semi")
 
 
 def shard(docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES, factor: int = FACTOR, min_runs: int = MIN_RUNS) -> ShardStore:
