@@ -50,12 +50,12 @@ def term_overlap(a: Column, b: Column) -> Column:
 
 
 def collapse_punctuation(x: Column) -> Column:
-    """More than 20 of one punctuation mark in a row become three."""
-    return F.regexp_replace(x, r"([^\p{L}\p{N}_\s])\1{20,}", "$1$1$1")
+    """More than 20 of one punctuation mark in a row become one."""
+    return F.regexp_replace(x, r"([^\p{L}\p{N}_\s])\1{20,}", "$1")
 
 
 def sentences(x: Column) -> Column:
-    return F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    return F.split(x, r"(?<=[.!?])\s+")
 
 
 def pack_groups(items: Column, limit: int) -> Column:
@@ -207,9 +207,16 @@ def source_label(n: Column, name: Column, section: Column, pages: Column, rows:
     return F.concat_ws(" | ", F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.coalesce(some(name), F.lit(""))), some(section), page, row)
 
 
-#: Texts of page furniture and words in addresses of decoration.
-NAVIGATION = ("home", "menu", "search", "skip to main content", "back to top", "contact us", "privacy policy", "terms of use")
-NOISE_IMAGE = ("logo", "icon", "sprite", "banner", "tracking", "pixel", "avatar", "button")
+#: Terms in addresses and titles of decoration, and texts of page furniture.
+NOISE_IMAGE = (
+    "logo", "icon", "favicon", "sprite", "avatar", "button", "social",
+    "toplogo", "branding",
+)
+NAVIGATION = (
+    "skip to main content",
+    "home news dailymed announcements",
+    "report adverse events | recalls",
+)
 
 
 def is_navigation(text: Column) -> Column:
