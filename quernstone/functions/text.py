@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,43 +79,59 @@ def pack_groups(items: Column, limit: int) -> Column:
     return F.aggregate(items, state, step)["out"]
 
 
-def grouped(items: Column, groups: Column, field: str, separator: str) -> Column:
-    """The texts of each group, joined: ARRAY<STRING>."""
-    n = F.coalesce(F.array_max(groups), F.lit(-1)) + 1
-    pairs = F.arrays_zip(items.alias("i"), groups.alias("g"))
+_SPACE = r"[ \t\n\x0B\f\r]"
+_TOKEN = re.compile(rf"{_SPACE}*\w{{1,8}}|{_SPACE}*[^\w \t\n\x0B\f\r]|{_SPACE}+")
+_REPEATED = re.compile(r"([^\w \t\n\x0B\f\r])\1{20,}")
+_SENTENCE_END = re.compile(rf"(?<=[.!?]){_SPACE}+")
+_SPACES = re.compile(rf"{_SPACE}+")
+
+
+def count_tokens(text: str) -> int:
+    """``token_count`` for Python code."""
+    return math.ceil(sum(1 for _ in _TOKEN.finditer(text)) * TOKEN_FACTOR)
 
-    def of(k: Column) -> Column:
-        own = F.filter(pairs, lambda p: p["g"] == k)
-        return F.array_join(F.transform(own, lambda p: p["i"][field]), separator)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(F.array().cast("array<string>"))
+def pack_texts(parts: list[str], limit: int) -> list[str]:
+    """Parts joined by spaces, each result's sum of counts within the limit if it has more than one part."""
+    out: list[list[str]] = []
+    used = 0
+    for part in parts:
+        n = count_tokens(part)
+        if not out or used + n > limit:
+            out.append([])
+            used = 0
+        out[-1].append(part)
+        used += n
+    return [" ".join(p) for p in out]
 
 
-def counted(parts: Column) -> Column:
-    return F.transform(parts, lambda p: F.struct(token_count(p).alias("n"), p.alias("text")))
+def split_text(text: str | None, limit: int = PIECE_MAX) -> list[str]:
+    """Pieces of one text: see ``split_pieces``."""
+    clean = _REPEATED.sub(r"\1", _SPACES.sub(" ", text or "").strip(" "))
+    if not clean or count_tokens(clean) <= limit:
+        return [clean] if clean else []
+    out: list[str] = []
+    for is_long, run in itertools.groupby(_SENTENCE_END.split(clean), lambda s: count_tokens(s) > limit):
+        if is_long:
+            out += [piece for sentence in run for piece in pack_texts(sentence.split(" "), limit)]
+        else:
+            out += pack_texts(list(run), limit)
+    return out
 
 
 def split_pieces(x: Column, limit: int = PIECE_MAX) -> Column:
     """An oversized text as ARRAY<STRING>: whole sentences are packed up to the limit; one that is too long is packed by words.
 
-    Clean texts within the limit stay whole. The limit applies to the sum of the parts' counts.
+    Clean texts within the limit stay whole. The limit applies to the sum of the parts'
+    counts. Packing is a loop over what has been packed so far, so it runs on Arrow batches: a
+    fold over arrays would copy its result for each part.
     """
-    text = collapse_punctuation(clean_text(x))
-
-    def pieces(t: Column) -> Column:
-        def unit(s: Column) -> Column:
-            words = counted(F.split(s["text"], " "))
-            parts = F.transform(F.array(words), lambda w: grouped(w, pack_groups(w, limit), "text", " "))[0]
-            return F.when(s["n"] > limit, F.transform(parts, lambda p: F.struct(F.lit(limit + 1).alias("n"), p.alias("text")))).otherwise(F.array(F.struct(s["n"].alias("n"), s["text"].alias("text"))))
-
-        # pieces of a long sentence count as more than the limit, so each is a group of its own
-        units = F.flatten(F.transform(counted(sentences(t)), unit))
-        return F.transform(F.array(units), lambda u: grouped(u, pack_groups(u, limit), "text", " "))[0]
 
-    def whole(t: Column) -> Column:
-        return F.when(t == "", F.array().cast("array<string>")).when(token_count(t) <= limit, F.array(t)).otherwise(pieces(t))
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_text(t, limit))
 
-    return F.transform(F.array(text), whole)[0]
+    return pieces(x)
 
 
 def escape_cell(x: Column) -> Column:

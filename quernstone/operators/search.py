@@ -143,3 +143,36 @@ def cosine(a, b):
     """Cosine similarity of two ARRAY<DOUBLE> columns."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank) of the k rows that share most distinct terms, over the smaller set.
+
+    queries: query_id, terms ARRAY<STRING> (distinct); rows: id, terms.
+    """
+
+    def scorer(ids: np.ndarray, sizes: np.ndarray, index: dict[str, np.ndarray]):
+        def score(batch: pa.RecordBatch):
+            own, out = batch.column(0).to_numpy(), []
+            for terms in batch.column(1).to_pylist():
+                shared = np.zeros(len(ids))
+                for t in terms:
+                    if t in index:
+                        shared[index[t]] += 1
+                out.append(shared / np.maximum(1, np.minimum(sizes, len(terms))))
+            return own, ids, np.array(out).T
+
+        return score
+
+    parts = []
+    for part in _blocks(queries, block):
+        found = part.select("query_id", "terms").collect()  # a block of queries
+        postings: dict[str, list[int]] = {}
+        for i, row in enumerate(found):
+            for term in row["terms"]:
+                postings.setdefault(term, []).append(i)
+        index = {t: np.array(p) for t, p in postings.items()}
+        if found:
+            ids, sizes = np.array([r["query_id"] for r in found], np.int64), np.array([len(r["terms"]) for r in found])
+            parts.append(rows.select(F.col("id").cast("long"), "terms").mapInArrow(_top(scorer(ids, sizes, index), k), _OUT))
+    return _ranked(parts or [rows.sparkSession.createDataFrame([], _OUT)], k)

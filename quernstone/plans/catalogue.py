@@ -1,17 +1,14 @@
-"""Registry of the named queries and of the SQL that checks them."""
+"""All named queries, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from quernstone.plans import registry, text_queries  # noqa: F401
+from quernstone.plans.registry import Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
