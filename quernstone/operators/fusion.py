@@ -30,10 +30,10 @@ def rrf(lists: dict[str, DataFrame], limit: int = FUSED, constant: int = RRF_CON
     return fused.withColumn("fused_rank", F.row_number().over(order)).where(F.col("fused_rank") <= limit)
 
 
-def expand_parents(fused: DataFrame, parent_of: DataFrame, children: int = CHILDREN) -> DataFrame:
+def expand_parents(fused: DataFrame, parent_of: DataFrame, children: int = CHILDREN, totals: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, parent_id, best_score, child_ids, parent_rank): parents of fused children, with their best children.
 
-    parent_of: id, parent_id. Children without a parent drop out. Parents are ordered by
+    parent_of: id, parent_id, and number columns whose totals over the kept children are returned too. Children without a parent drop out. Parents are ordered by
     their best child, then by where they appear first.
     """
     own = Window.partitionBy("query_id", "parent_id").orderBy(F.desc("rrf_score"), "id")
@@ -41,6 +41,7 @@ def expand_parents(fused: DataFrame, parent_of: DataFrame, children: int = CHILD
     parents = kept.groupBy("query_id", "parent_id").agg(
         F.max("rrf_score").alias("best_score"), F.min("fused_rank").alias("first_rank"),
         F.transform(F.array_sort(F.collect_list(F.struct("nth", "id"))), lambda s: s["id"]).alias("child_ids"),
+        *[F.sum(c).alias(c) for c in totals],
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("best_score"), "first_rank", "parent_id")
     return parents.withColumn("parent_rank", F.row_number().over(order))
