@@ -39,7 +39,7 @@ def decode_tokens(x: Column) -> Column:
 
 
 def token_count(x: Column) -> Column:
-    """Found tokens times the factor, rounded up. The factor is a double on purpose: 10 tokens count 12."""
+    """Found tokens times the factor, rounded up. The factor is a double: its binary value decides on which side of a whole number a product falls."""
     return F.ceil(F.regexp_count(F.coalesce(x, F.lit("")), F.lit(TOKEN)).cast("double") * F.lit(TOKEN_FACTOR)).cast("int")
 
 

@@ -66,8 +66,13 @@ def covered(layout: DataFrame, embedded: DataFrame) -> DataFrame:
     return a.join(b, same, "left_semi").select(F.col("a_image_id").alias("image_id"), "page")
 
 
-def child_score(page_gap: Column, same_page: Column, distance: Column, sequence_gap: Column, overlap: Column, is_table: Column) -> Column:
+def child_misfit(page_gap: Column, same_page: Column, distance: Column, sequence_gap: Column, overlap: Column, is_table: Column) -> Column:
     """How badly an image fits a child; the smallest wins. A null page gap or distance means that one is unknown."""
     page = F.when(same_page, 0.0).when(page_gap.isNull(), 80.0).otherwise(160 + 20 * page_gap)
     box = F.when(distance.isNull(), 20.0).otherwise(F.least(distance / 40, F.lit(50.0)))
-    return F.bround(page + box + F.least(3 * sequence_gap, F.lit(60)) - F.least(50 * overlap, F.lit(50.0)) - F.when(is_table, 12.0).otherwise(0.0), 4)
+    return page + box + F.least(3 * sequence_gap, F.lit(60)) - F.least(50 * overlap, F.lit(50.0)) - F.when(is_table, 12.0).otherwise(0.0)
+
+
+def child_score(*parts: Column) -> Column:
+    """The misfit as it is stored, with four digits."""
+    return F.bround(child_misfit(*parts), 4)

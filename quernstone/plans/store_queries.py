@@ -253,11 +253,11 @@ def _score_inputs() -> tuple[Column, ...]:
     return gap, F.coalesce(gap == 0, F.lit(False)), distance, F.col("l_linenumber").cast("double"), F.col("l_discount"), F.col("l_returnflag") == "R"
 
 
-@query("""SELECT l_orderkey, l_linenumber, round_even(CASE WHEN g = 0 THEN 0 WHEN g IS NULL THEN 80 ELSE 160 + 20 * g END + CASE WHEN d IS NULL THEN 20 ELSE least(d / 40, 50) END + least(3 * l_linenumber, 60)
-  - least(50 * l_discount, 50) - CASE WHEN l_returnflag = 'R' THEN 12 ELSE 0 END, 4) AS score
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN g = 0 THEN 0 WHEN g IS NULL THEN 80 ELSE 160 + 20 * g END + CASE WHEN d IS NULL THEN 20 ELSE least(d / 40, 50) END + least(3 * l_linenumber, 60)
+  - least(50 * l_discount, 50) - CASE WHEN l_returnflag = 'R' THEN 12 ELSE 0 END, 6) AS score
 FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN (l_suppkey % 6)::DOUBLE END AS g, CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice / 50 END AS d FROM lineitem)""")
 def image_child_score(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", images.child_score(*_score_inputs()).alias("score"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(images.child_misfit(*_score_inputs()), 6).alias("score"))
 
 
 # ---- evaluation: labels are scores

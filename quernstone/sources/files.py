@@ -21,6 +21,7 @@ DISCOVERED = ["document_id", "domain", "source_type", "file_name", "source_locat
 def discover_local(spark: SparkSession, root: str, domain: str) -> DataFrame:
     """PDF and CSV files right inside root/domain, by suffix in any letter case."""
     files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{domain}/*").select("path", "length")
+    files = files.where(F.element_at(F.split("path", "/"), -2) == domain)  # a pattern also opens the folders that it meets
     name = F.regexp_extract("path", r"[^/]*$", 0)
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.lower(F.regexp_extract(name, r"\.[^.]*$", 0)))
     found = files.withColumns({"file_name": name, "source_type": kind}).where(F.col("source_type").isNotNull())
