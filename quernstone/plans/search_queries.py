@@ -17,22 +17,22 @@ EVERY = 50
 _DENSE = f"""dense AS (
   SELECT query_id, id, score, rank FROM (
     SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+           (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id))::INT AS rank
     FROM embeddings q, embeddings e WHERE q.vec_id % {EVERY} = 0 FILTER_) WHERE rank <= {K})"""
 _SPARSE = f"""tf AS (
   SELECT doc_id, term, ln(1 + count(*)::DOUBLE) AS w FROM (SELECT doc_id, unnest({TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term
 ), weights AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM tf), sparse AS (
   SELECT query_id, id, score, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM (
       SELECT q.doc_id AS query_id, d.doc_id AS id, round(sum(q.w * d.w), 6) AS score
       FROM weights q JOIN weights d USING (term) WHERE q.doc_id % {EVERY} = 0 AND q.r <= {QUERY_TERMS} AND d.r <= {DOC_TERMS} GROUP BY ALL)) WHERE rank <= {K})"""
 _FUSED = f"""fused AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS fused_rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id))::INT AS fused_rank FROM (
     SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, max(rank) FILTER (WHERE list = 'dense') AS dense_rank, max(rank) FILTER (WHERE list = 'sparse') AS sparse_rank
     FROM (SELECT *, 'dense' AS list FROM dense UNION ALL SELECT *, 'sparse' AS list FROM sparse) GROUP BY query_id, id) QUALIFY fused_rank <= {FUSED})"""
-_KEPT = "kept AS (SELECT *, id // 5 AS parent_id, row_number() OVER (PARTITION BY query_id, id // 5 ORDER BY rrf_score DESC, id) AS nth FROM fused QUALIFY nth <= 3)"
+_KEPT = "kept AS (SELECT *, id // 5 AS parent_id, (row_number() OVER (PARTITION BY query_id, id // 5 ORDER BY rrf_score DESC, id))::INT AS nth FROM fused QUALIFY nth <= 3)"
 _PARENTS = """parents AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first_rank, parent_id) AS parent_rank FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first_rank, parent_id))::INT AS parent_rank FROM (
     SELECT query_id, parent_id, max(rrf_score) AS best_score, min(fused_rank) AS first_rank, list(id ORDER BY nth) AS child_ids FROM kept GROUP BY query_id, parent_id))"""
 
 
@@ -152,7 +152,7 @@ def parent_rank_best_child(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH q AS (SELECT item_id, list_distinct({TERMS.format('text')}) AS terms FROM benchmark), d AS (SELECT doc_id, list_distinct({TERMS.format('text')}) AS terms FROM documents),
 t AS (SELECT item_id, unnest(terms) AS term FROM q), u AS (SELECT doc_id, unnest(terms) AS term FROM d), s AS (SELECT item_id, doc_id, count(*) AS n FROM t JOIN u USING (term) GROUP BY ALL),
 a AS (SELECT item_id AS query_id, doc_id AS id, round(coalesce(n, 0)::DOUBLE / greatest(1, least(len(q.terms), len(d.terms))), 6) AS score FROM q CROSS JOIN d LEFT JOIN s USING (item_id, doc_id))
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM a QUALIFY rank <= 8""")
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM a QUALIFY rank <= 8""")
 def rerank_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
     terms = T.lexical_terms(F.col("text"))
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
@@ -160,7 +160,7 @@ def rerank_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT source, doc_id, used FROM (
-  SELECT source, doc_id, row_number() OVER w AS r, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
+  SELECT source, doc_id, row_number() OVER w AS r, (sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
 WHERE r = 1 OR used <= 60000""")
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
@@ -186,7 +186,7 @@ def asset_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT source, doc_id, nth, used FROM (
-  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth, sum({COUNT.format('text')}) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents)
+  SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS nth, sum({COUNT.format('text')}) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents)
 WHERE nth <= 64 AND (nth = 1 OR used <= 28000)""")
 def safe_batches(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", T.token_count(F.col("text")).alias("n"))
