@@ -76,3 +76,43 @@ def child_misfit(page_gap: Column, same_page: Column, distance: Column, sequence
 def child_score(*parts: Column) -> Column:
     """The misfit as it is stored, with four digits."""
     return F.bround(child_misfit(*parts), 4)
+
+
+def filter_images(images: DataFrame, verdict: Column) -> DataFrame:
+    """All images with decision and reason, by the steps in order: own merits, repeats, duplicates, covered layout crops, crowded pages.
+
+    images: image_id, page, hash, category, name, area, x, y, w, h; verdict: as of ``assess``. A step sees what the steps before it have kept.
+    """
+
+    def reject(rows: DataFrame, bad: DataFrame, reason: str) -> DataFrame:
+        hit = bad.select("image_id").distinct().withColumn("quern_bad", F.lit(True))
+        marked = rows.join(hit, "image_id", "left")
+        return marked.withColumns({"decision": F.when(F.col("quern_bad"), "reject").otherwise(F.col("decision")), "reason": F.when(F.col("quern_bad"), reason).otherwise(F.col("reason"))}).drop("quern_bad")
+
+    keep, layout = F.col("decision") == "keep", F.col("category") == "layout"
+    rows = images.withColumn("quern_v", verdict).select("*", "quern_v.decision", "quern_v.reason").drop("quern_v")
+    rows = reject(rows, rows.where(keep).join(repeated(rows.where(keep)), "hash"), "repeated decorative image")
+    rows = reject(rows, rows.where(keep).join(best_duplicate(rows.where(keep)), "image_id", "left_anti"), "duplicate image")
+    rows = reject(rows, covered(rows.where(keep & layout), rows.where(keep & ~layout)), "layout crop of an embedded image")
+    crowded = rows.where(keep & layout)
+    return reject(rows, crowded.join(page_cap(crowded), "image_id", "left_anti"), "over the page's limit of layout images")
+
+
+def pixel_metrics(pixels) -> dict[str, float | str]:
+    """Size, ratios and perceptual hash of an image given as an array of height x width x RGB."""
+    import hashlib
+
+    import numpy as np
+
+    rgb = np.asarray(pixels, np.float64)
+    height, width = rgb.shape[:2]
+    gray = rgb @ np.array([0.299, 0.587, 0.114])
+    red = (rgb[..., 0] > 150) & (rgb[..., 1] < 110) & (rgb[..., 2] < 110)
+    cells = [[gray[np.ix_(r, c)].mean() for c in np.array_split(np.arange(width), 16) if len(c)] for r in np.array_split(np.arange(height), 16) if len(r)]
+    small = np.array(cells)
+    bits = "".join("1" if x else "0" for x in (small >= small.mean()).ravel())
+    return {
+        "width": width, "height": height, "area": width * height, "aspect_ratio": round(width / height, 4), "grayscale_stddev": round(float(gray.std()), 4),
+        "white_pixel_ratio": round(float((gray > 245).mean()), 4), "dark_pixel_ratio": round(float((gray < 80).mean()), 4), "red_pixel_ratio": round(float(red.mean()), 4),
+        "perceptual_hash": hashlib.sha256(bits.encode()).hexdigest()[:32],
+    }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import ids
 from quernstone.functions import text as T
-from quernstone.operators import chunking, elements, quality
+from quernstone.operators import chunking, elements, quality, tables
 from quernstone.plans.registry import CLEAN, COUNT, TERMS, TOKENS, UUID5, query
 from quernstone.sources.tables import table
 
@@ -216,3 +216,20 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
 @query(_REPORT.replace("SOURCE source,", "").replace("DUPLICATES", "(SELECT sum(duplicates)::BIGINT FROM dup)").replace(" GROUP BY GROUPS", ""))
 def corpus_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _report(table(spark, folder, "documents"), [])
+
+
+@query()
+def clip_excerpt(spark: SparkSession, folder: str) -> DataFrame:
+    """Excerpts within a limit: head, middle and tail."""
+    docs = table(spark, folder, "documents").select("doc_id", tables.clip_text(F.col("text"), 150).alias("excerpt"))
+    return docs.select("doc_id", "excerpt", T.token_count(F.col("excerpt")).alias("n_tokens"))
+
+
+@query()
+def table_split(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of each customer's orders, in parts of whole rows."""
+    cells = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("string"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("c")))), lambda s: s["c"])
+    made = table(spark, folder, "orders").groupBy((F.col("o_custkey") % 50).alias("element_id")).agg(rows.alias("rows"))
+    headers = F.array(*map(F.lit, ("Order", "Status", "Priority", "Date")))
+    return tables.split_tables(made.select("element_id", F.col("element_id").cast("double").alias("sequence"), T.markdown_table(headers, F.col("rows")).alias("table_markdown"), F.lit(None).cast("string").alias("table_html")))
