@@ -26,6 +26,8 @@ DIMENSION = 16
 #: Bounds of the training sample: whole texts of up to so many bytes, about so many for each language.
 TRAIN_PER_LANG, TRAIN_BYTES = 800, 16_384
 EPOCHS, RATE, BATCH = 8, 2.0, 32
+#: A small sample is gone through more often, until it has given so many steps.
+MIN_STEPS = 400
 #: Of the calibration texts that are predicted rightly, at most this share is rejected; never a probability above MOST_REJECTED.
 REJECT_SHARE, MOST_REJECTED = 0.001, 0.5
 FOLDS = 5
@@ -122,8 +124,10 @@ def train(texts: list[str], labels: list[str], calibrate: list[bool], seed: int
             bags.append((at, (counts / len(ids)).astype(np.float32)))
             ys.append(langs.index(label))
     ys = np.array(ys, int)
-    steps, total = 0, max(1, EPOCHS * -(-len(bags) // BATCH))
-    for _ in range(EPOCHS if n_langs > 1 else 0):
+    batches = max(1, -(-len(bags) // BATCH))
+    epochs = max(EPOCHS, -(-MIN_STEPS // batches))
+    steps, total = 0, epochs * batches
+    for _ in range(epochs if n_langs > 1 else 0):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             own = order[lo : lo + BATCH]
