@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ END_ID = 1
 SCALE_BITS = 20
 LANES, SEGMENT = 512, 1 << 17
 BLOCK_IDS = 1 << 19
-CACHED_WORDS = 500_000
+CACHED_WORDS, CACHED_CORES = 500_000, 1_000_000
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHIQQ")
 _MAGIC, _VERSION = b"QRNS", 1
@@ -55,28 +56,57 @@ def tokenizer(path: str):
 
 
 class _Words(dict):
-    """Ids (u32, little endian) of pieces between white space. The tokenizer never joins over ASCII white space."""
+    """Ids (u32, little endian) of pieces between ASCII white space, over which the tokenizer never joins.
 
-    def __init__(self, path: str):
-        self.encode = tokenizer(path).encode
+    It lower-cases, and splits letters and digits from marks: so a piece is looked up without case, and
+    apart from the marks behind its last letter. Pieces with apostrophes, which begin suffixes, or with what
+    may be a special token are looked up as they are.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+    def __init__(self, path: str):
+        self.tokenizer, self.cores = tokenizer(path), {}
+
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, ...]:
+        if b"<|" in piece or b"'" in piece:
+            return (piece,)
+        core = piece.rstrip(_MARKS)
+        if core and len(core) < len(piece):
+            last = core.decode("utf-8", "surrogatepass")[-1]
+            # it must still end in a letter when the tokenizer has normalized and lower-cased it
+            if core[-1:].isalnum() or unicodedata.normalize("NFC", last).lower().isalpha():
+                return core.lower(), piece[len(core) :]
+        return (piece.lower(),)
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Encodes what is new of the pieces, all at once."""
+        if len(self) + len(pieces) > CACHED_WORDS:
             self.clear()
-        found = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return found
+        new = {p: self.parts(p) for p in pieces if p not in self}
+        missing = list({c for cs in new.values() for c in cs} - self.cores.keys())
+        if len(self.cores) + len(missing) > CACHED_CORES:
+            self.cores.clear()
+            missing = list({c for cs in new.values() for c in cs})
+        if missing:
+            found = self.tokenizer.encode([c.decode("utf-8", "surrogatepass") for c in missing], is_pretokenized=True, add_special_tokens=False)
+            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing) + 1))).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.cores.update((c, ids[ends[i] : ends[i + 1]]) for i, c in enumerate(missing))
+        self.update((p, b"".join([self.cores[c] for c in cs])) for p, cs in new.items())
 
 
 _words: dict[str, _Words] = {}
-_GAPS = str.maketrans({c: " " for c in "\t\n\r\x0b\x0c"})
+_MARKS = b".,;:!?*&%#$|\"()[]{}<>/\\=+-_@~^`"
 
 
-def token_bytes(text: str | None, path: str) -> bytes:
-    """Ids of the whole text, without an end id, as u32."""
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of whole texts, without end ids, as u32."""
     words = _words.get(path)
     if words is None:
         words = _words[path] = _Words(path)
-    return b"".join([words[p] for p in (text or "").translate(_GAPS).split(" ") if p])
+    pieces = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    words.learn(set().union(*pieces))
+    return [b"".join([words[p] for p in own]) for own in pieces]
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -170,7 +200,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
     path, end = vocabulary or default_vocabulary(), struct.pack("<I", end_id)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([token_bytes(t, path) + end for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids + end for ids in token_bytes(batch.column(1).to_pylist(), path)], pa.binary())], names=["doc_id", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
 
