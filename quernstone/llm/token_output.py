@@ -55,8 +55,13 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def id_type(path: str) -> str:
+    """How ids are kept between the steps: two bytes each where the vocabulary allows it."""
+    return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class _Words(dict):
-    """Ids (u32, little endian) of pieces between ASCII white space, over which the tokenizer never joins.
+    """Ids (see ``id_type``) of pieces between ASCII white space, over which the tokenizer never joins.
 
     It lower-cases, and splits letters and digits from marks: so a piece is looked up without case, and
     apart from the marks behind its last letter. Pieces with apostrophes, which begin suffixes, or with what
@@ -64,7 +69,7 @@ class _Words(dict):
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.cores = tokenizer(path), {}
+        self.tokenizer, self.cores, self.kind = tokenizer(path), {}, np.dtype(id_type(path))
 
     @staticmethod
     def parts(piece: bytes) -> tuple[bytes, ...]:
@@ -89,8 +94,8 @@ class _Words(dict):
             missing = list({c for cs in new.values() for c in cs})
         if missing:
             found = self.tokenizer.encode([c.decode("utf-8", "surrogatepass") for c in missing], is_pretokenized=True, add_special_tokens=False)
-            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing) + 1))).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (self.kind.itemsize * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing) + 1))).tolist()
+            ids = np.array(found.ids, self.kind).tobytes()
             self.cores.update((c, ids[ends[i] : ends[i + 1]]) for i, c in enumerate(missing))
         self.update((p, b"".join([self.cores[c] for c in cs])) for p, cs in new.items())
 
@@ -100,7 +105,7 @@ _MARKS = b".,;:!?*&%#$|\"()[]{}<>/\\=+-_@~^`"
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of whole texts, without end ids, as u32."""
+    """Ids of whole texts, without end ids, in the bytes of ``id_type``."""
     words = _words.get(path)
     if words is None:
         words = _words[path] = _Words(path)
@@ -196,8 +201,9 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids BINARY of u32): the ids of each whole text and the end id."""
-    path, end = vocabulary or default_vocabulary(), struct.pack("<I", end_id)
+    """(doc_id, ids BINARY, see ``id_type``): the ids of each whole text and the end id."""
+    path = vocabulary or default_vocabulary()
+    end = np.array([end_id], id_type(path)).tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids + end for ids in token_bytes(batch.column(1).to_pylist(), path)], pa.binary())], names=["doc_id", "ids"])
@@ -205,13 +211,13 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all rows: one row an id and task goes to the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"))
+            own = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             size = max(len(total), len(own))
             total = np.pad(total, (0, size - len(total))) + np.pad(own, (0, size - len(own)))
         at = np.flatnonzero(total)
@@ -225,12 +231,13 @@ def id_counts(tokens: DataFrame) -> DataFrame:
 _BLOCKS = "part int, block int, n_ids long, doc_ids binary, lengths binary, payload binary"
 
 
-def _encoder(freq, block_ids: int):
+def _encoder(freq, block_ids: int, kind: str):
     """From rows in doc_id order: blocks of whole documents of about ``block_ids`` ids; a longer document is a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        width = np.dtype(kind).itemsize
         part, coder = TaskContext.get().partitionId(), Coder(freq.value)
         docs: list[int | None] = []
         held: list[bytes] = []
@@ -238,8 +245,8 @@ def _encoder(freq, block_ids: int):
 
         def out() -> pa.RecordBatch:
             nonlocal size, block
-            payload = coder.encode(np.frombuffer(b"".join(held), "<u4"))
-            lengths = np.array([len(h) // 4 for h in held], "<i8").tobytes()
+            payload = coder.encode(np.frombuffer(b"".join(held), kind))
+            lengths = np.array([len(h) // width for h in held], "<i8").tobytes()
             ids = np.array([2**63 - 1 if d is None else d for d in docs], "<i8").tobytes()
             row = [[part], [block], [size], [ids], [lengths], [payload]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -250,11 +257,11 @@ def _encoder(freq, block_ids: int):
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and size + len(ids) // 4 > block_ids:
+                if held and size + len(ids) // width > block_ids:
                     yield out()
                 docs.append(doc)
                 held.append(ids)
-                size += len(ids) // 4
+                size += len(ids) // width
         if held:
             yield out()
 
@@ -271,12 +278,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
     """
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs, vocabulary, end_id), "tokens")
-    id_counts(tokens).coalesce(1).write.parquet(f"{path}/table")
+    kind = id_type(vocabulary or default_vocabulary())
+    id_counts(tokens, kind).coalesce(1).write.parquet(f"{path}/table")
     table = read_table(spark, path)
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("ids")]  # many rows of one doc_id may be several tasks' work
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, *order[:2])
-    blocks = dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(_encoder(spark.sparkContext.broadcast(table), block_ids), _BLOCKS)
+    blocks = dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(_encoder(spark.sparkContext.broadcast(table), block_ids, kind), _BLOCKS)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm.token_output import Coder, default_vocabulary, read_ids, scaled, token_bytes, token_report, tokenizer, write_ids
+from quernstone.llm.token_output import Coder, default_vocabulary, id_type, read_ids, scaled, token_bytes, token_report, tokenizer, write_ids
 from tests.llm.helpers import DOCS, docs_of
 
 PATH = default_vocabulary()
@@ -24,9 +24,9 @@ def test_pieces_give_the_tokenizers_ids():
     alphabet = "ab'sZé́ \t\n.,1<|>Σß \u0085　İ"
     more = "aB's.,*|<>é́\u0345\u00a8’ \n0_-@ßΣ"
     for t in ["".join(r.choices(more, k=r.randint(1, 14))) for _ in range(3000)] + ["It's. DON'T!! x'S, <|ENDOFTEXT|> <|endoftext|>. a<|endoftext|>*** ***. ~a~ b&&& &&&"]:
-        assert np.frombuffer(token_bytes([t], PATH)[0], "<u4").tolist() == plain(t), repr(t)
+        assert np.frombuffer(token_bytes([t], PATH)[0], id_type(PATH)).tolist() == plain(t), repr(t)
     for t in TEXTS + ["".join(r.choices(alphabet, k=r.randint(1, 60))) for _ in range(2000)]:
-        assert np.frombuffer(token_bytes([t], PATH)[0], "<u4").tolist() == plain(t), repr(t)
+        assert np.frombuffer(token_bytes([t], PATH)[0], id_type(PATH)).tolist() == plain(t), repr(t)
 
 
 def test_coder_round_trip():
