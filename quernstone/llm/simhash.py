@@ -11,6 +11,9 @@ dealt out once more, by the same construction on the bits that their mask leaves
 free; then at most a quarter of the bits vary inside a bucket, which bounds it for good. A
 bucket reports a spanning forest of its links, never all pairs. Components come from
 rounds of large-star and small-star steps.
+
+The pipeline's stage asks for a similarity that no workable radius holds, so ``near_dedup``
+finds its candidates by MinHash bands and verifies each by exact shingle similarity.
 """
 
 from __future__ import annotations
@@ -27,11 +30,15 @@ from quernstone.llm.common import fresh, map_arrow, materialize, release, row_ha
 
 BITS = 64
 WORDS, RADIUS = 3, 3
-#: The pipeline's stage: near copies on five-word shingles.
-STAGE_WORDS, STAGE_RADIUS = 5, 5
+#: The pipeline's stage: near copies by exact similarity of five-word shingles.
+STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
+#: MinHash bands that find its candidates: a pair at 0.8 shares none with probability (1 - 0.8^6)^32 = 6e-5.
+BANDS, BAND_ROWS = 32, 6
 SEED = 42
 LARGE = 1024
 _LANES = np.uint64(0x0101010101010101)
+_XOR, _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_ODD |= np.uint64(1)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -227,16 +234,110 @@ def simhash_report(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
+def shingles(text: str | None, words: int = STAGE_WORDS) -> tuple[int, np.ndarray]:
+    """(hash of the text's words, distinct hashes of its word shingles); (0, none) without words."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return 0, np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    span = min(words, len(parts))
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - span + 1].tolist(), ends[span - 1 :].tolist(), strict=True)])
+    return xxhash.xxh3_64_intdigest(joined, SEED) or 1, np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature. Texts of similarity J share a given band with probability J^BAND_ROWS."""
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for lo in range(0, len(found), 128):
+        mixed = (found[lo : lo + 128, None] ^ _XOR) * _ODD
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        key = (key ^ rows[:, k]) * _ODD[k]
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def sketches(docs: DataFrame, keep: dict[str, Column], words: int = STAGE_WORDS) -> DataFrame:
+    """The kept columns, node LONG (the text's words), n INT (distinct shingles), bands ARRAY<LONG>."""
+    names = [*keep, "node", "n", "bands"]
+    source = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in keep.items()])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t, words) for t in batch.column(0).to_pylist()]
+        nodes = pa.array([signed(node) for node, _ in found], pa.int64())
+        bands = pa.array([band_keys(s) if len(s) else [] for _, s in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], nodes, pa.array([len(s) for _, s in found], pa.int32()), bands], names=names)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
+    return map_arrow(source, run, f"{fields}, node long, n int, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
+    """(node, shingles ARRAY<LONG>) of the given texts (node, row), each read from one of its rows in docs."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), row_hash(docs).alias("row"))
+    source = rows.join(sized(texts, texts.count()), "row").select("node", "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(t, words)[1].view(np.int64) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return map_arrow(source, run, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have at least the Jaccard similarity."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}s"))
+    both = F.size(F.array_intersect("as", "bs"))
+    # in tenths of a thousandth, so that 4 of 5 is 0.8 however it is rounded
+    near = both * 10_000 >= (F.size("as") + F.size("bs") - both) * round(least * 10_000)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+
+
+def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """(a, b) LONG, a > b: links whose components are those of all similar pairs that share a band.
+
+    ``texts`` holds distinct texts: node, row, n, bands. Each member of a bucket is compared with the
+    bucket's smallest first. Of the other pairs of a bucket only those are left to compare
+    whose texts are not in one component yet, so a group of near copies costs no pair for every two.
+    """
+    keyed = texts.select(F.explode("bands").alias("key"), "node", "n", "row")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1").select("key", "lead"), "bands")
+    members = materialize(keyed.join(sized(shared, shared.count()), "key"), "members")
+    sets = materialize(shingle_sets(docs, members.select("node", "row").distinct(), words), "shingles")
+    stars = materialize(members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
+    first = materialize(similar(stars, sets, least), "similar")
+    found = materialize(components(first), "joined")
+    placed = members.join(sized(found, found.count()), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    apart = materialize(placed.join(mixed, "key", "left_semi"), "apart")
+    other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    sizes = F.least("n", "nb") * 10_000 >= F.greatest("n", "nb") * round(least * 10_000)
+    rest = apart.join(other, "key").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("rb")) & sizes)
+    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(similar(materialize(rest, "rest"), sets, least))
+
+
+def near_dedup(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
     """The documents of which each is the first of its group, with the columns of docs.
 
+    Groups are the components of links between texts whose sets of word shingles have a
+    Jaccard similarity of at least ``least``; candidates share a MinHash band, and every link is verified.
     The row with the smallest doc_id stays (null is largest; of several such rows the
     one with the smallest hash of all its columns, once). Rows without words are one group.
     """
-    rows = materialize(fingerprints(docs, {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}, words), "fingerprints")
+    rows = materialize(sketches(docs, {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}, words), "sketches")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    by_fp = rows.groupBy("fp").agg(stays.alias("first"))
-    winners = by_fp.join(near_groups(rows, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    texts = rows.groupBy("node").agg(stays.alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = materialize(texts, "texts")
+    found = components(similar_links(docs, texts, words, least)).select(F.col("node").alias("member"), "root")
+    groups = texts.select("node", "first").join(found, F.col("node") == F.col("member"), "left")
+    winners = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     key, nth = fresh(docs, "quern_row"), fresh(docs, "quern_nth")
     winners = materialize(winners.select(F.col("first.row").alias(key)), "winners")
     alike = Window.partitionBy(key).orderBy(key)

@@ -103,3 +103,45 @@ def test_dedup_keeps_one_of_each_group(spark):
 
 def test_empty_table(spark):
     assert simhash_report(docs_of(spark, [])).count() == 0 and near_dedup(docs_of(spark, [])).count() == 0
+
+
+def jaccard_groups(rows, least=0.8):
+    """(doc_id, text) to the smallest doc_id of each group of texts that five-word Jaccard similarities of at least ``least`` join."""
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[:k]:
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {find(i) for i in sets}
+
+
+def near_copies(seed, n):
+    """Texts of 40 to 200 words, and versions of them with a few words replaced: similarities on both sides of 0.8."""
+    r, rows = random.Random(seed), []
+    for _ in range(n):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(40, 200))]
+        for changes in (0, 1, 1, 2, 3, 4):
+            w = list(base)
+            for at in r.sample(range(len(w)), changes):
+                w[at] = f"new{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+def test_dedup_equals_brute_force_jaccard(spark):
+    rows = near_copies(7, 60)
+    want = jaccard_groups(rows)
+    assert 60 < len(want) < len(rows) - 60  # some versions are near copies, some are not
+    got = near_dedup(docs_of(spark, [t for _, t in rows]))
+    assert {r["doc_id"] for r in got.collect()} == want
