@@ -145,3 +145,9 @@ def test_dedup_equals_brute_force_jaccard(spark):
     assert 60 < len(want) < len(rows) - 60  # some versions are near copies, some are not
     got = near_dedup(docs_of(spark, [t for _, t in rows]))
     assert {r["doc_id"] for r in got.collect()} == want
+
+
+def test_dedup_keeps_texts_that_only_their_fingerprints_join(spark):
+    texts = ["one two three four five six seven " * 50 + " ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
+    assert (fingerprint(texts[0], 5) ^ fingerprint(texts[1], 5)).bit_count() <= 5
+    assert near_dedup(docs_of(spark, texts)).count() == 2
