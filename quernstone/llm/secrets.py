@@ -30,9 +30,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGIT = re.compile(r"[0-9]")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})")
-#: Words of an identifier or path: letters in one case or capitalised, with at most four digits behind.
-_PART = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}"
-_IDENTIFIER = re.compile(rf"[+/_=-]*{_PART}(?:[+/_=-]*{_PART})*[+/_=-]*")
+#: Letters of a run in one case or capitalised: what may be words of an identifier or path.
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_NUMBER = re.compile(r"[0-9]{5}")
+
 
 
 def default_vocabulary() -> str:
@@ -71,16 +72,25 @@ def characters_per_token(run: str, path: str) -> float:
     return len(run) / max(1, len(encoding(path).encode_ordinary(run)))
 
 
+def made_of_words(run: str, path: str, ratio: float = RATIO) -> bool:
+    """Pieces of two letters and more with at most four digits behind, at ``ratio`` letters a token. Without a digit the shape is enough: rare words are no findings."""
+    pieces = _PIECE.findall(run)
+    if not pieces or min(map(len, pieces)) < 2 or run.lstrip("+/_=-")[0].isdigit() or _NUMBER.search(run):
+        return False
+    if _DIGIT.search(run) is None:
+        return True
+    tokens = sum(len(encoding(path).encode_ordinary(p)) for p in pieces)
+    return sum(map(len, pieces)) >= ratio * tokens
+
+
 def random_spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Runs of key characters that cost many tokens. Needs a digit and a letter, so that rare words are no findings."""
+    """Runs of key characters that cost many tokens and are not made of words. Needs a letter."""
     found = []
     for m in _RUN.finditer(text):
         run = m[0]
-        if _DIGIT.search(run) is None or run.isdigit() or not any(c.isalpha() for c in run):
-            continue
-        if known_digest(run) or _IDENTIFIER.fullmatch(run) or len(set(run)) < 8:
+        if not any(c.isalpha() for c in run) or known_digest(run) or len(set(run)) < 8:
             continue
-        if characters_per_token(run, path) < ratio:
+        if characters_per_token(run, path) < ratio and not made_of_words(run, path, ratio):
             found.append((m.start(), m.end(), "random"))
     return found
 

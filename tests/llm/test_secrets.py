@@ -59,3 +59,10 @@ def test_edges(spark):
     assert find_secrets(docs_of(spark, [])).count() == 0
     twice = spark.createDataFrame([(None, "secret=abcdefgh", None, None, None)] * 2, DOCS)
     assert [r["n_assign"] for r in secret_report(twice).collect()] == [1, 1]
+
+
+def test_random_keys_of_one_case_or_without_digits():
+    kinds = lambda t: [t[a:b] for a, b, k in all_spans(t, VOCABULARY) if k == "random"]
+    for key in ("sfuh4rhisv98cpgsflvn", "YIYMJ3BMVXVWCHKYOCRV", "kQzXyTbWvHgRtLpMnSdF"):
+        assert kinds(f"see {key} here") == [key]
+    assert not secrets.made_of_words("abcdefghij" * 2000 + "99999", VOCABULARY)  # in linear time
