@@ -83,3 +83,18 @@ def recover_tables(children: DataFrame, crops: DataFrame, most: int = IMAGES_MAX
     nearest = pairs.groupBy("image_id").agg(F.min_by(F.struct("child_id", "gap"), F.struct("gap", "child_id")).alias("n")).select("image_id", "n.*")
     order = Window.partitionBy("child_id").orderBy("gap", "image_id")
     return nearest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("image_id", "child_id")
+
+
+def recovered_children(children: DataFrame, crops: DataFrame, most: int = IMAGES_MAX) -> DataFrame:
+    """(parent_id, image_id, child_id, matched_table, method): a new child for every unattached table crop with a parent.
+
+    matched_table is the nearest table child on the crop's page that has fewer than ``most`` images of its own; a crop
+    without one has method ``visual_table_fallback``. The crop goes to the new child, so any number may name one table.
+    children: child_id, pages, sequence, is_table, n_images; crops: parent_id, image_id, page, sequence.
+    """
+    tables = children.where(F.col("is_table") & (F.col("n_images") < most)).select("child_id", F.col("sequence").alias("at"), F.explode("pages").alias("page"))
+    pairs = crops.where("parent_id IS NOT NULL").join(tables, "page", "left").withColumn("gap", F.abs(F.col("sequence") - F.col("at")))
+    nearest = F.min_by("child_id", F.when(F.col("child_id").isNotNull(), F.struct("gap", "child_id"))).alias("matched_table")
+    found = pairs.groupBy("parent_id", "image_id").agg(nearest)
+    method = F.when(F.col("matched_table").isNull(), "visual_table_fallback").otherwise("document_same_page_table_reference")
+    return found.select("parent_id", "image_id", F.concat("parent_id", F.lit(":image:"), "image_id").alias("child_id"), "matched_table", method.alias("method"))

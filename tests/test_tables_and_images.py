@@ -62,3 +62,11 @@ def test_attachment_and_recovery_on_frames(spark):
     assert got == {"i": ("a", "weighted_geometry"), "j": ("p:image:j", "contextual_fallback")}
     crops = spark.createDataFrame([("c1", 3, 8.0), ("c2", 4, 9.0)], "image_id string, page int, sequence double")
     assert [tuple(r) for r in attach.recover_tables(children, crops).collect()] == [("c1", "t")]
+
+
+def test_every_crop_with_a_parent_gets_a_child(spark):
+    children = spark.createDataFrame([("t", [3], 9.0, True, 0), ("full", [3], 8.0, True, 3), ("x", [4], 9.0, False, 0)], "child_id string, pages array<int>, sequence double, is_table boolean, n_images int")
+    crops = [("p", f"c{i}", 3, 8.0) for i in range(5)] + [("q", "d", 4, 9.0), ("q", "e", None, 1.0), (None, "f", 3, 1.0)]
+    got = attach.recovered_children(children, spark.createDataFrame(crops, "parent_id string, image_id string, page int, sequence double"))
+    same = [(f"c{i}", f"p:image:c{i}", "t", "document_same_page_table_reference") for i in range(5)]
+    assert sorted(tuple(r)[1:] for r in got.collect()) == same + [(i, f"q:image:{i}", None, "visual_table_fallback") for i in "de"]
