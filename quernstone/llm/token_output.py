@@ -18,14 +18,18 @@ its ids, ``lanes`` u64 states; then the u32 words; last a u32 crc32 of all befor
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
+import json
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +40,8 @@ END_ID = 1
 SCALE_BITS = 20
 LANES, SEGMENT = 512, 1 << 17
 BLOCK_IDS = 1 << 19
-CACHED_WORDS, CACHED_CORES = 500_000, 1_000_000
+#: Pieces that a worker remembers, and bytes of text that it cuts at a time.
+CACHED_WORDS, SLICE_BYTES = 1_000_000, 4 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sHHIQQ")
 _MAGIC, _VERSION = b"QRNS", 1
@@ -60,58 +65,135 @@ def id_type(path: str) -> str:
     return "<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-class _Words(dict):
-    """Ids (see ``id_type``) of pieces between ASCII white space, over which the tokenizer never joins.
+#: The steps of the tokenizers that ``_Words`` knows.
+_STEPS = ("NFC", "Replace", "Lowercase", "Split", "ByteLevel")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    It lower-cases, and splits letters and digits from marks: so a piece is looked up without case, and
-    apart from the marks behind its last letter. Pieces with apostrophes, which begin suffixes, or with what
-    may be a special token are looked up as they are.
+
+@functools.cache
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer normalizes and cuts as ``_Words`` does. Others are given whole texts."""
+    made = json.loads(tokenizer(path).to_str())
+    steps = [s for part, key in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for s in (made[part] or {}).get(key, [])]
+    return tuple(s["type"] for s in steps) == _STEPS and steps[3]["pattern"] == {"Regex": _SPLIT} and not steps[4]["add_prefix_space"]
+
+
+class _Words:
+    """Ids of pieces between white space, over which the tokenizer never joins.
+
+    It lower-cases a piece and cuts it where letters, single digits and marks meet. Pieces of plain Latin letters, digits
+    and marks are cut here and each part goes to the library's BPE model, in its byte alphabet; all others (with apostrophes,
+    which begin suffixes, what may be a special token, or letters that need normalizing) go through the whole tokenizer.
+    All ids lie in one array; a piece is known by its number.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.cores, self.kind = tokenizer(path), {}, np.dtype(id_type(path))
-
-    @staticmethod
-    def parts(piece: bytes) -> tuple[bytes, ...]:
-        if b"<|" in piece or b"'" in piece:
-            return (piece,)
-        core = piece.rstrip(_MARKS)
-        if core and len(core) < len(piece):
-            last = core.decode("utf-8", "surrogatepass")[-1]
-            # it must still end in a letter when the tokenizer has normalized and lower-cased it
-            if core[-1:].isalnum() or unicodedata.normalize("NFC", last).lower().isalpha():
-                return core.lower(), piece[len(core) :]
-        return (piece.lower(),)
-
-    def learn(self, pieces: set[bytes]) -> None:
-        """Encodes what is new of the pieces, all at once."""
-        if len(self) + len(pieces) > CACHED_WORDS:
+        self.tokenizer = tokenizer(path)
+        self.model, self.code = self.tokenizer.model, np.dtype(id_type(path)).char
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids, self.ends = array.array(self.code), array.array("q", [0])
+
+    def add(self, piece: str, ids: list[int]) -> int:
+        n = self.numbers[piece] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return n
+
+    def learn(self, pieces: list[str]) -> list[int]:
+        """The numbers of new pieces."""
+        numbers, ids, ends, tokenize, one_part, out = self.numbers, self.ids, self.ends, self.model.tokenize, _PART.fullmatch, []
+        for piece in pieces:
+            low = piece.lower()
+            if one_part(low) is not None:
+                n = numbers.get(low)
+                if n is None:
+                    n = numbers[low] = len(ends) - 1
+                    ids.extend([t.id for t in tokenize(low if low.isascii() else low.translate(_BYTE_ALPHABET))])
+                    ends.append(len(ids))
+                numbers[piece] = n
+            elif _PLAIN.fullmatch(low) is not None:
+                parts = self.learn(_PART.findall(low))
+                n = self.add(piece, [i for m in parts for i in ids[ends[m] : ends[m + 1]]])
+            else:
+                n = self.add(piece, self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            out.append(n)
+        return out
+
+    def lookup(self, pieces: list[str]) -> np.ndarray:
+        """A number for each of the distinct pieces."""
+        if len(self.numbers) + 2 * len(pieces) > CACHED_WORDS:
             self.clear()
-        new = {p: self.parts(p) for p in pieces if p not in self}
-        missing = list({c for cs in new.values() for c in cs} - self.cores.keys())
-        if len(self.cores) + len(missing) > CACHED_CORES:
-            self.cores.clear()
-            missing = list({c for cs in new.values() for c in cs})
-        if missing:
-            found = self.tokenizer.encode([c.decode("utf-8", "surrogatepass") for c in missing], is_pretokenized=True, add_special_tokens=False)
-            ends = (self.kind.itemsize * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(missing) + 1))).tolist()
-            ids = np.array(found.ids, self.kind).tobytes()
-            self.cores.update((c, ids[ends[i] : ends[i + 1]]) for i, c in enumerate(missing))
-        self.update((p, b"".join([self.cores[c] for c in cs])) for p, cs in new.items())
+        found = list(map(self.numbers.get, pieces))
+        new = [i for i, n in enumerate(found) if n is None]
+        for i, n in zip(new, self.learn([pieces[i] for i in new]), strict=True):
+            found[i] = n
+        return np.array(found, np.int64)
 
 
 _words: dict[str, _Words] = {}
-_MARKS = b".,;:!?*&%#$|\"()[]{}<>/\\=+-_@~^`"
-
-
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of whole texts, without end ids, in the bytes of ``id_type``."""
+#: Plain pieces hold, in lower case, letters of ASCII and Latin-1, digits and marks: none that normalizing changes but for its case, no apostrophe, no "<".
+_MARKS = r"""!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~"""
+_PLAIN = re.compile(f"[a-z0-9\u00df-\u00f6\u00f8-\u00ff{_MARKS}]+")
+_PART = re.compile(f"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[{_MARKS}]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Each letter from U+00DF on as byte-level vocabularies write its two bytes. They give printable bytes the character of
+    the same number, and the others, in order, those from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in printable]
+    names = {b: chr(b) for b in printable} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+    return {c: "".join(names[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+
+
+_BYTE_ALPHABET = _byte_alphabet()
+
+
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+_MARK[list(b"!\"#$%&()*+,-./:;=?@_")] = True
+
+
+def _marks_apart(texts: pa.Array) -> pa.Array:
+    """Texts with a space between each ASCII letter and a mark behind it. The tokenizer cuts there anyway (not at apostrophes
+    and not at the marks of special tokens, which stay), so the ids are the same, and there are fewer different pieces."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1  # a text's last letter before another's mark only gets a space more
+    ends = ends - ends[0]
+    ends += np.searchsorted(at, ends, "left")
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.insert(raw, at, 32)))
+
+
+def _token_bytes(texts: pa.Array, words: _Words) -> list[bytes]:
+    """The pieces of a few texts are numbered as a dictionary, and their ids gathered in one step."""
+    lists = pc.ascii_split_whitespace(_marks_apart(texts))
+    coded = lists.flatten().dictionary_encode()
+    numbers = words.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+    starts, ends = (np.frombuffer(words.ends, np.int64)[at] for at in (numbers, numbers + 1))
+    sizes = ends - starts
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.frombuffer(words.ids, words.code)[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, words.code)
+    edges = upto[np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))].tolist()
+    return [ids[a:b].tobytes() for a, b in itertools.pairwise(edges)]
+
+
+def token_bytes(texts: list[str | None] | pa.Array, path: str) -> list[bytes]:
+    """Ids of whole texts, without end ids, in the bytes of ``id_type``. Texts are taken about SLICE_BYTES at a time."""
+    if not cuts_at_spaces(path):
+        encode = tokenizer(path).encode
+        return [np.array(encode(t or "", add_special_tokens=False).ids, id_type(path)).tobytes() for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
     words = _words.get(path)
     if words is None:
         words = _words[path] = _Words(path)
-    pieces = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    words.learn(set().union(*pieces))
-    return [b"".join([words[p] for p in own]) for own in pieces]
+    column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+    slices = np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64)) // SLICE_BYTES
+    cuts = np.flatnonzero(np.diff(slices, prepend=-1, append=-1)).tolist()
+    return [ids for a, b in itertools.pairwise(cuts) for ids in _token_bytes(column.slice(a, b - a), words)]
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -205,10 +287,22 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_
     path = vocabulary or default_vocabulary()
     end = np.array([end_id], id_type(path)).tobytes()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids + end for ids in token_bytes(batch.column(1).to_pylist(), path)], pa.binary())], names=["doc_id", "ids"])
+    def encoded(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = token_bytes(pa.concat_arrays([b.column(1) for b in held]), path)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0) for b in held]), pa.array([i + end for i in ids], pa.binary())], names=["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if held and sum(b.nbytes for b in held) + batch.nbytes > SLICE_BYTES:  # many short texts are encoded together
+                yield encoded(held)
+                held = []
+            held.append(batch)
+        if held:
+            yield encoded(held)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
@@ -228,7 +322,7 @@ def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-_BLOCKS = "part int, block int, n_ids long, doc_ids binary, lengths binary, payload binary"
+_BLOCKS = "part int, block int, n_ids long, n_null int, doc_ids binary, lengths binary, payload binary"
 
 
 def _encoder(freq, block_ids: int, kind: str):
@@ -247,13 +341,13 @@ def _encoder(freq, block_ids: int, kind: str):
             nonlocal size, block
             payload = coder.encode(np.frombuffer(b"".join(held), kind))
             lengths = np.array([len(h) // width for h in held], "<i8").tobytes()
-            ids = np.array([2**63 - 1 if d is None else d for d in docs], "<i8").tobytes()
-            row = [[part], [block], [size], [ids], [lengths], [payload]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            ids = np.array([d or 0 for d in docs], "<i8").tobytes()  # null ids are the last
+            row = [[part], [block], [size], [docs.count(None)], [ids], [lengths], [payload]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             docs.clear()
             held.clear()
             size, block = 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "block", "n_ids", "doc_ids", "lengths", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "block", "n_ids", "n_null", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -273,13 +367,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, end_id:
 
     Needs columns doc_id and text; others are ignored. A null or empty text is the end id
     alone. Rows are in ascending doc_id order; repeated ids follow each other in the
-    order of their ids' bytes, null comes last and is written as 2^63-1. An empty table
+    order of their ids' bytes, null comes last. An empty table
     has no blocks.
     """
     spark = docs.sparkSession
     tokens = materialize(tokenized(docs, vocabulary, end_id), "tokens")
     kind = id_type(vocabulary or default_vocabulary())
-    id_counts(tokens, kind).coalesce(1).write.parquet(f"{path}/table")
+    id_counts(tokens, kind).repartition(1).write.parquet(f"{path}/table")
     table = read_table(spark, path)
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie"), F.col("ids")]  # many rows of one doc_id may be several tasks' work
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -312,16 +406,17 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(table.value)
         for batch in batches:
-            for start, doc_ids, lengths, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for start, n_null, doc_ids, lengths, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = coder.decode(payload).astype("<u4").tobytes()
                 n = np.frombuffer(lengths, "<i8")
                 ends = np.cumsum(n)
-                docs = [None if d == 2**63 - 1 else d for d in np.frombuffer(doc_ids, "<i8").tolist()]
+                docs = np.frombuffer(doc_ids, "<i8").tolist()
+                docs[len(docs) - n_null :] = [None] * n_null
                 texts = [ids[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - n, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "start", "ids"])
 
     small_batches(spark)
-    placed = blocks.join(starts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select("block_start", "doc_ids", "lengths", "payload")
+    placed = blocks.join(starts, (F.col("part") == F.col("p")) & (F.col("block") == F.col("b"))).select("block_start", "n_null", "doc_ids", "lengths", "payload")
     return placed.mapInArrow(run, "doc_id long, start long, ids binary")
 
 

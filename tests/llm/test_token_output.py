@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.llm.token_output import Coder, default_vocabulary, id_type, read_ids, scaled, token_bytes, token_report, tokenizer, write_ids
+from quernstone.llm import token_output
+from quernstone.llm.token_output import Coder, cuts_at_spaces, default_vocabulary, id_type, read_ids, scaled, token_bytes, token_report, tokenizer, write_ids
 from tests.llm.helpers import DOCS, docs_of
 
 PATH = default_vocabulary()
@@ -25,6 +26,9 @@ def test_pieces_give_the_tokenizers_ids():
     more = "aB's.,*|<>é́\u0345\u00a8’ \n0_-@ßΣ"
     for t in ["".join(r.choices(more, k=r.randint(1, 14))) for _ in range(3000)] + ["It's. DON'T!! x'S, <|ENDOFTEXT|> <|endoftext|>. a<|endoftext|>*** ***. ~a~ b&&& &&&"]:
         assert np.frombuffer(token_bytes([t], PATH)[0], id_type(PATH)).tolist() == plain(t), repr(t)
+    plain_more = "abzABéßÿÉ÷×µ.,!'<|^\\]-7 "
+    for t in ["".join(r.choices(plain_more, k=r.randint(1, 9))) for _ in range(5000)] + ["H\u0331i T\u0308 w\u030a W\u030a", "".join(map(chr, range(0x20, 0x250))), "\u037e K \u212b"]:
+        assert np.frombuffer(token_bytes([t], PATH)[0], id_type(PATH)).tolist() == plain(t), repr(t)
     for t in TEXTS + ["".join(r.choices(alphabet, k=r.randint(1, 60))) for _ in range(2000)]:
         assert np.frombuffer(token_bytes([t], PATH)[0], id_type(PATH)).tolist() == plain(t), repr(t)
 
@@ -75,7 +79,23 @@ def test_report_equals_direct_encoding(spark):
 
 def test_edges(spark, tmp_path):
     assert token_report(docs_of(spark, [])).count() == 0
-    df = spark.createDataFrame([(7, "b", None, None, None), (None, "c", None, None, None), (7, "b", None, None, None), (3, None, None, None, None)], DOCS)
+    df = spark.createDataFrame([(7, "b", None, None, None), (None, "c", None, None, None), (7, "b", None, None, None), (3, None, None, None, None), (2**63 - 1, "d", None, None, None)], DOCS)
     write_ids(df, f"file://{tmp_path}/ids", block_ids=1)
     got = sorted((tuple(x) for x in read_ids(spark, f"file://{tmp_path}/ids").select("doc_id", "start", F.crc32("ids")).collect()), key=lambda x: x[1])
-    assert got == [(a, b, d) for a, b, _, d in brute([(3, None), (7, "b"), (7, "b"), (None, "c")])]
+    assert got == [(a, b, d) for a, b, _, d in brute([(3, None), (7, "b"), (7, "b"), (2**63 - 1, "d"), (None, "c")])]
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert cuts_at_spaces(PATH) and not cuts_at_spaces(path)
+    text = "Hello  world's\tend "
+    assert np.frombuffer(token_bytes([text, None], path)[0], id_type(path)).tolist() == tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
+def test_a_full_memory_of_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 50)
+    monkeypatch.setattr(token_output, "SLICE_BYTES", 64)
+    texts = [" ".join(f"word{i}x{k}, Other" for k in range(20)) for i in range(30)] + [None, ""]
+    assert [np.frombuffer(b, id_type(PATH)).tolist() for b in token_bytes(texts, PATH)] == [plain(t) for t in texts]
