@@ -30,7 +30,7 @@ _FUSED = f"""fused AS (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id))::INT AS fused_rank FROM (
     SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, max(rank) FILTER (WHERE list = 'dense') AS dense_rank, max(rank) FILTER (WHERE list = 'sparse') AS sparse_rank
     FROM (SELECT *, 'dense' AS list FROM dense UNION ALL SELECT *, 'sparse' AS list FROM sparse) GROUP BY query_id, id) QUALIFY fused_rank <= {FUSED})"""
-_KEPT = "kept AS (SELECT *, id // 5 AS parent_id, (row_number() OVER (PARTITION BY query_id, id // 5 ORDER BY rrf_score DESC, id))::INT AS nth FROM fused QUALIFY nth <= 3)"
+_KEPT = "kept AS (SELECT *, id // 5 AS parent_id, (row_number() OVER (PARTITION BY query_id, id // 5 ORDER BY rrf_score DESC, id))::INT AS nth FROM fused WHERE id IN (SELECT doc_id FROM documents) QUALIFY nth <= 3)"
 _PARENTS = """parents AS (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first_rank, parent_id))::INT AS parent_rank FROM (
     SELECT query_id, parent_id, max(rrf_score) AS best_score, min(fused_rank) AS first_rank, list(id ORDER BY nth) AS child_ids FROM kept GROUP BY query_id, parent_id))"""

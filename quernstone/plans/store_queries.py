@@ -78,17 +78,16 @@ def profile_join(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("c_custkey", stable_id(F.lit("n"), F.col("n_name"), F.col("c_custkey")).alias("chunk_id"), "n_name", F.concat("c_name", F.lit(" ("), "n_name", F.lit(")")).alias("text"))
 
 
-@query("SELECT event_id, (props::JSON ->> 'k')::INT AS k, event_type FROM events WHERE event_type IN ('view', 'error')")
+@query("SELECT event_id, (props::JSON ->> 'k')::INT AS k, event_type FROM events")
 def parse_json_props(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").where(F.col("event_type").isin("view", "error"))
+    events = table(spark, folder, "events")
     return events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type")
 
 
-@query("SELECT event_id, props::JSON ->> 'k' AS k, 'failed: ' || event_type AS parse_error FROM events")
+@query("SELECT event_id, props[:-2] || ',\"parse_error\":\"failed: ' || event_type || '\"}' AS props FROM (SELECT event_id, event_type, replace(props, ' ', '') AS props FROM events)")
 def json_set(spark: SparkSession, folder: str) -> DataFrame:
     props = store.json_set(F.col("props"), "parse_error", F.substring(F.concat(F.lit("failed: "), "event_type"), 1, 2000))
-    events = table(spark, folder, "events").withColumn("props", props)
-    return events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.parse_error").alias("parse_error"))
+    return table(spark, folder, "events").select("event_id", props.alias("props"))
 
 
 # ---- surveys: users are facilities, event types are measures
@@ -179,14 +178,14 @@ def html_tag_counts(spark: SparkSession, folder: str) -> DataFrame:
 _LEVELS = "CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 END"
 
 
-@query(f"""WITH l AS (SELECT conv_id, turn, {_LEVELS} AS level, left(text, 20) AS title FROM conversations), s AS (
+@query(f"""WITH l AS (SELECT conv_id, turn, {_LEVELS} AS level, text AS title FROM conversations), s AS (
   SELECT *, last_value(CASE WHEN level <= 1 THEN {{'l': level, 't': title}} END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN level <= 2 THEN {{'l': level, 't': title}} END IGNORE NULLS) OVER w AS b
   FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, turn, list_filter([CASE WHEN a.l = 1 THEN a.t END, CASE WHEN b.l = 2 THEN b.t END], lambda x: x IS NOT NULL) AS section_path FROM s""")
 def html_heading_path(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2)
-    return elements.section_paths(turns, ["conv_id"], "turn", level, F.left("text", F.lit(20))).select("conv_id", "turn", "section_path")
+    return elements.section_paths(turns, ["conv_id"], "turn", level, F.col("text")).select("conv_id", "turn", "section_path")
 
 
 @query("""SELECT conv_id, bool_or(role = 'system') AS has_table, bool_or(text LIKE '%|%') AS has_parse_concerns, sum(CASE WHEN role = 'user' THEN 0 ELSE length(text) END)::BIGINT AS text_chars,
