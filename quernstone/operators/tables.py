@@ -28,22 +28,38 @@ def _clean(text: str) -> str:
     return _SPACES.sub(" ", text or "").strip(" ")
 
 
+def _window(room: int, less: int, which: int) -> int:
+    """Tokens of one of three windows that share ``room`` and then give back ``less``: both start from the first one."""
+    share, extra = divmod(room, 3)
+    given = max(0, less - extra)
+    return share + (less <= which < extra) - (given + 2 - which) // 3
+
+
+def _excerpts(whole: str) -> Callable[[int, int], str]:
+    """Of a text: its excerpts for given room and tokens given back. The tokens cover the text, so windows are cut by their borders."""
+    at = [0, *(m.end() for m in _TOKEN.finditer(whole))]
+    n = len(at) - 1
+
+    def excerpt(room: int, less: int) -> str:
+        head, middle, tail = (_window(room, less, which) for which in range(3))
+        second = max(head, (n - middle) // 2)
+        third = max(second + middle, n - tail)
+        return _clean(whole[: at[head]] + MIDDLE + whole[at[second] : at[second + middle]] + ENDING + whole[at[third] :])
+
+    return excerpt
+
+
 def clip(text: str | None, limit: int) -> str:
-    """The text, or excerpts of its head, middle and tail that together stay within the limit."""
+    """The text, or excerpts of its head, middle and tail that together stay within the limit, as long as they can be.
+
+    Windows of one token each are returned even where they pass a very small limit.
+    """
     whole = _clean(text)
     if count_tokens(whole) <= limit:
         return whole
-    tokens = [m[0] for m in _TOKEN.finditer(whole)]
     room = max(3, math.floor(limit / TOKEN_FACTOR) - sum(1 for _ in _TOKEN.finditer(MIDDLE + ENDING)))
-    sizes = [room // 3 + (i < room % 3) for i in range(3)]
-    while True:
-        head, middle, tail = sizes
-        at = max(head, (len(tokens) - middle) // 2)
-        end = max(at + middle, len(tokens) - tail)
-        out = _clean("".join([*tokens[:head], MIDDLE, *tokens[at : at + middle], ENDING, *tokens[end:]]))
-        if count_tokens(out) <= limit or max(sizes) <= 1:
-            return out
-        sizes[sizes.index(max(sizes))] -= 1
+    excerpt = _excerpts(whole)
+    return next((out for less in range(room - 3) if count_tokens(out := excerpt(room, less)) <= limit), None) or excerpt(room, room - 3)
 
 
 def clip_text(x: Column, limit: int = 560) -> Column:
@@ -152,19 +168,30 @@ def split_rows(headers: list[str], rows: list[list[str]], strategy: str) -> list
     return out
 
 
+#: Readers of rows, in the order in which they are tried. A reader's parts count if none is far too long.
+READERS: dict[str, Callable[[str, str | None], Table | None]] = {
+    "markdown_rows": lambda markdown, _: parse_markdown(markdown),
+    "html_rows": lambda _, table_html: parse_html(table_html),
+}
+#: Marks of a table's layout, which are blanks in plain text: line breaks, borders of cells, rules.
+_LAYOUT = re.compile(r"<br\s*/?>|\s*\|\s*|[-_=]{10,}", re.IGNORECASE)
+
+
+def _segments(text: str) -> list[dict]:
+    """A text without rows, in tables of one cell."""
+    cells = [(["Table segment"], [[piece]]) for piece in split_text(_LAYOUT.sub(" ", text), PART_MAX - SEGMENT_ROOM)]
+    return [{"markdown": as_markdown(*c), "html": as_html(*c), "row_start": None, "row_end": None, "strategy": "unstructured_last_resort"} for c in cells]
+
+
 def split_table(markdown: str | None, table_html: str | None) -> list[dict]:
     """Parts of an oversized table: by its markdown rows, else by its HTML rows, else as plain text. Empty if it is small enough."""
     text = (markdown or "").strip()
-    if not text or count_tokens(text) <= PART_MAX:
+    if count_tokens(text) <= PART_MAX:
         return []
-    for strategy, parsed in (("markdown_rows", parse_markdown(text)), ("html_rows", parse_html(table_html))):
-        parts = split_rows(*parsed, strategy) if parsed else []
-        if parts and all(count_tokens(p["markdown"]) <= PART_MAX + SLACK for p in parts):
-            return parts
-    for pattern in (r"(?i)<br\s*/?>", r"\s*\|\s*", r"[-_=]{10,}"):
-        text = re.sub(pattern, " ", text)
-    segment = lambda p: (["Table segment"], [[p]])
-    return [{"markdown": as_markdown(*segment(p)), "html": as_html(*segment(p)), "row_start": None, "row_end": None, "strategy": "unstructured_last_resort"} for p in split_text(text, PART_MAX - SEGMENT_ROOM)]
+    read = ((strategy, reader(text, table_html)) for strategy, reader in READERS.items())
+    split = (split_rows(*table, strategy) for strategy, table in read if table)
+    good = (parts for parts in split if parts and max(count_tokens(p["markdown"]) for p in parts) <= PART_MAX + SLACK)
+    return next(good, None) or _segments(text)
 
 
 def split_tables(elements: DataFrame) -> DataFrame:
