@@ -26,7 +26,7 @@ def clean_text(x: Column) -> Column:
 
 
 def clean_value(x: Column) -> Column:
-    """Stripped text, null if nothing is left or it is the word NaN of a missing number."""
+    """Stripped text, null if nothing is left."""
     return F.nullif(F.trim(x), F.lit(""))
 
 

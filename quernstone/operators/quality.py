@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernstone.storage import numbered
+
 
 def percentile(x: Column, fraction: float) -> Column:
     """Nearest rank, half to even, as an aggregate. Counts of each value are combined before the shuffle.
@@ -59,11 +61,5 @@ def completed(scores: Column, metrics: tuple[str, ...]) -> Column:
 
 
 def round_robin(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """Adds worker = (place in order) mod n. Places come from per-range counts, not from one task."""
-    from pyspark.sql import Window
-
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("quern_part", F.spark_partition_id())
-    sizes = ranged.groupBy("quern_part").agg(F.count("*").alias("quern_n"))
-    before = sizes.withColumn("quern_before", F.sum("quern_n").over(Window.orderBy("quern_part")) - F.col("quern_n")).select("quern_part", "quern_before")
-    inside = F.row_number().over(Window.partitionBy("quern_part").orderBy(order)) - 1
-    return ranged.withColumn("quern_nth", inside).join(F.broadcast(before), "quern_part").withColumn("worker", F.pmod(F.col("quern_nth") + F.col("quern_before"), F.lit(n))).drop("quern_part", "quern_nth", "quern_before")
+    """Adds worker = (place in order) mod n."""
+    return numbered(rows, F.col(order), "quern_at").withColumn("worker", F.pmod("quern_at", F.lit(n)).cast("long")).drop("quern_at")

@@ -65,9 +65,15 @@ def with_all(documents: DataFrame, children: DataFrame, key: str, pending: Colum
 
 
 def json_set(column: Column, key: str, value: Column) -> Column:
-    """A JSON object text with one top-level key set; null or broken text starts empty."""
-    parsed = F.coalesce(F.from_json(column, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    return F.to_json(F.map_concat(F.map_filter(parsed, lambda k, v: k != key), F.create_map(F.lit(key), value.cast("string"))))
+    """A JSON object text with one top-level key set to a text; other values keep their types. Null or broken text starts empty.
+
+    Of a key that is there twice the last value stays.
+    """
+    entries = F.coalesce(F.map_entries(F.from_json(column, "map<string,variant>")), F.array().cast("array<struct<key:string,value:variant>>"))
+    new = F.struct(F.lit(key).alias("key"), F.parse_json(F.regexp_extract(F.to_json(F.struct(value.cast("string").alias("v"))), r"^\{\"v\":(.*)\}$", 1)).alias("value"))
+    again = lambda e, i: F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda later: later["key"] == e["key"])
+    others = F.filter(entries, lambda e, i: (e["key"] != key) & ~again(e, i))
+    return F.to_json(F.map_from_entries(F.concat(others, F.array(new))))
 
 
 def write_partitioned(rows: DataFrame, path: str, *by: str) -> None:

@@ -96,16 +96,23 @@ def category_text(docs: DataFrame, facilities: DataFrame) -> DataFrame:
 def profiles(records: DataFrame, document_id: str) -> DataFrame:
     """One row per facility: profile_id, first row's values, measures by category as a nested map, counts."""
     shown = records.withColumns({"category": measure_category(F.col("measure_id")), "r": row_result(F.col("star_rating"), F.col("answer_percent"), F.col("linear_mean_value"))})
-    entry = F.struct(F.col("source_row_number").alias("n"), F.col("category").alias("c"), F.col("measure_id").alias("id"), F.struct("question", "r.result_type", "r.result").alias("v"))
-    firsts = [F.min_by(c, "source_row_number").alias(c) for c in ("facility_name", "address", "city", "state", "zip_code", "completed_surveys", "response_rate_percent", "survey_start_date", "survey_end_date")]
-    grouped = shown.groupBy("facility_id").agg(F.array_sort(F.collect_list(entry)).alias("rows"), *firsts)
-    last = lambda c: F.map_from_entries(F.transform(F.filter("rows", lambda s: s["c"] == c), lambda s: F.struct(s["id"], s["v"])))
-    summary = F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(c), last(c)) for c in CATEGORY_PREFIXES])), lambda k, v: F.cardinality(v) > 0)
+    first_row = F.struct("facility_name", "address", "city", "state", "zip_code", "completed_surveys", "response_rate_percent", "survey_start_date", "survey_end_date")
+    # of a measure's rows the last counts; one row a measure reaches the facility, so that no map is given a key twice
+    measures = shown.groupBy("facility_id", "category", "measure_id").agg(
+        F.max_by(F.struct("question", "r.result_type", "r.result"), "source_row_number").alias("v"), F.collect_list("source_row_number").alias("ns"),
+        F.min("source_row_number").alias("n"), F.min_by(first_row, "source_row_number").alias("first"),
+    )
+    entry = F.struct(F.col("category").alias("c"), F.col("measure_id").alias("id"), "v")
+    grouped = measures.groupBy("facility_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("rows"), F.min_by("first", "n").alias("first"), F.array_sort(F.flatten(F.collect_list("ns"))).alias("source_row_numbers")
+    ).select("facility_id", "rows", "source_row_numbers", "first.*")
+    of = lambda c: F.map_from_entries(F.transform(F.filter("rows", lambda s: s["c"] == c), lambda s: F.struct(s["id"], s["v"])))
+    summary = F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(c), of(c)) for c in CATEGORY_PREFIXES])), lambda k, v: F.cardinality(v) > 0)
     return grouped.select(
         stable_id(F.lit(document_id), F.col("facility_id"), F.lit("profile")).alias("profile_id"), "facility_id",
         *[c for c in ("facility_name", "address", "city", "state", "zip_code", "completed_surveys", "response_rate_percent")],
         F.try_to_date("survey_start_date", "M/d/yyyy").alias("survey_start_date"), F.try_to_date("survey_end_date", "M/d/yyyy").alias("survey_end_date"),
-        summary.alias("category_summaries"), F.size("rows").alias("measure_count"), F.transform("rows", lambda s: s["n"]).alias("source_row_numbers"),
+        summary.alias("category_summaries"), F.size("source_row_numbers").alias("measure_count"), "source_row_numbers",
     )
 
 

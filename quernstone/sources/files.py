@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions.ids import document_id
 from quernstone.operators.survey import COLUMNS
+from quernstone.storage import numbered
 
 #: Kinds of local files; strings that a reader of numbers takes for missing.
 SUFFIXES = {".pdf": "pdf", ".csv": "csv"}
@@ -85,14 +86,6 @@ def read_survey(spark: SparkSession, path: str, na: bool = True) -> DataFrame:
     return rows.select(*[missing(c).alias(c) if na else F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
 
 
-def numbered(rows: DataFrame, order: Column, name: str, first: int = 0) -> DataFrame:
-    """Rows numbered from ``first`` in the order given. Numbers come from counts of ranges, not from one task."""
-    parts = rows.withColumn("quern_order", order).repartitionByRange(F.col("quern_order")).withColumn("quern_part", F.spark_partition_id())
-    sizes = parts.groupBy("quern_part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("quern_part")) - F.col("n")).drop("n")
-    inside = F.row_number().over(Window.partitionBy("quern_part").orderBy("quern_order"))
-    return parts.withColumn("quern_nth", inside).join(F.broadcast(sizes), "quern_part").withColumn(name, F.col("quern_nth") + F.col("before") + (first - 1)).drop("quern_order", "quern_part", "quern_nth", "before")
-
-
 def read_sparse_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Sparse vectors from JSON lines. A missing key or unequal lengths fail; of a chunk's records the first line stays."""
     schema = "chunk_id string, indices array<int>, values array<float>, dimension int, model string"

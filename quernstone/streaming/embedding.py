@@ -20,9 +20,10 @@ CHUNK = "chunk_id string, text string, input_hash string, seq long"
 def embed_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, encode: Callable[[DataFrame], DataFrame], files_per_batch: int = 1000) -> None:
     """Runs over all files that are there, then ends. ``encode`` adds a vector column to (chunk_id, text, input_hash, seq)."""
 
-    def done() -> DataFrame | None:
+    def done(number: int) -> DataFrame | None:
+        """What other batches have embedded: rows that an interrupted attempt of this one has left are written anew."""
         try:
-            return spark.read.option("recursiveFileLookup", "false").parquet(out).select("chunk_id", "input_hash").distinct()
+            return spark.read.parquet(out).where(F.col("batch") != number).select("chunk_id", "input_hash").distinct()
         except Exception as e:  # nothing has been written yet
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -30,7 +31,7 @@ def embed_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str,
 
     def batch(rows: DataFrame, number: int) -> None:
         fresh = last_wins(rows, ["chunk_id"], "seq")
-        have = done()
+        have = done(number)
         if have is not None:
             fresh = fresh.join(have, ["chunk_id", "input_hash"], "left_anti")
         encode(fresh).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)

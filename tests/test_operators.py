@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import defaultdict
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import chunking, elements, fusion, images, quality, search, store, survey
+from quernstone.storage import numbered
 
 
 def rows_of(df):
@@ -143,8 +145,8 @@ def test_upserts(spark):
     assert rows_of(store.upsert(old, spark.createDataFrame([(1, "z", None), (9, "y", 9.0)], "k int, h string, v double"), ["k"], keep=("v",))) == [(1, "z", 1.0), (2, "h", 2.0), (3, None, 3.0), (9, "y", 9.0)]
     twice = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, h string, seq int")
     assert rows_of(store.last_wins(twice, ["k"], "seq")) == [(1, "b", 2)]
-    json = spark.createDataFrame([('{"a":"1","b":"2"}',), (None,)], "j string").select(store.json_set(F.col("j"), "b", F.lit("9")).alias("j"))
-    assert [r["j"] for r in json.collect()] == ['{"a":"1","b":"9"}', '{"b":"9"}']
+    texts = spark.createDataFrame([('{"a":"1","b":"2"}',), (None,)], "j string").select(store.json_set(F.col("j"), "b", F.lit("9")).alias("j"))
+    assert [r["j"] for r in texts.collect()] == ['{"a":"1","b":"9"}', '{"b":"9"}']
 
 
 def test_percentile_is_nearest_rank_half_even(spark):
@@ -172,3 +174,31 @@ def test_survey(spark):
     assert bad.select(survey.measure_category(F.col("m"), strict=False).alias("c")).first()["c"] is None
     runs = survey.contiguity(spark.createDataFrame([(1, i, k) for i, k in enumerate("aabba")], "g int, i int, k string"), "k", "i", ["g"])
     assert rows_of(runs) == [(1, "a", 2), (1, "b", 1)]
+
+
+def test_profiles_keep_a_measures_last_row(spark):
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "EXCEPTION"
+    named = ("facility_name", "address", "city", "state", "zip_code", "completed_surveys", "response_rate_percent", "survey_start_date", "survey_end_date")
+    rows = [("f", n, m, f"q{n}", str(n), None, None, *[f"{c}{n}" for c in named[:-2]], "7/1/2024", "06/30/2025") for n, m in ((2, "H_COMP_1_A"), (3, "H_COMP_1_A"), (4, "H_CLEAN_X"), (5, "H_COMP_1_B"))]
+    cols = ["facility_id", "source_row_number", "measure_id", "question", "star_rating", "answer_percent", "linear_mean_value", *named]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c == 'source_row_number' else 'string'}" for c in cols))
+    got = survey.profiles(df.repartition(3), "doc").collect()
+    assert len(got) == 1 and got[0]["facility_name"] == "facility_name2" and got[0]["measure_count"] == 4 and got[0]["source_row_numbers"] == [2, 3, 4, 5]
+    found = {c: {m: v["result"] for m, v in ms.items()} for c, ms in got[0]["category_summaries"].items()}
+    assert found == {"nurse_communication": {"H_COMP_1_A": "3", "H_COMP_1_B": "5"}, "hospital_environment": {"H_CLEAN_X": "4"}}
+
+
+def test_json_set_keeps_the_types_of_other_values(spark):
+    texts = ['{"k": 3, "o": {"a": [1, 2]}, "b": true, "n": null, "f": 1.5, "e": "old"}', "[1]", "broken{", None, '{"a": 1, "a": 2}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string").select(store.json_set(F.col("j"), "e", F.lit('say "x"\n')).alias("j"))
+    new = {"e": 'say "x"\n'}
+    want = [{"k": 3, "o": {"a": [1, 2]}, "b": True, "n": None, "f": 1.5} | new, new, new, new, {"a": 2} | new]
+    assert [json.loads(r["j"]) for r in df.collect()] == want
+
+
+def test_numbers_are_whole_and_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x")).repartition(7)
+    got = sorted((r["x"], r["n"]) for r in numbered(df, F.col("x"), "n", 10).collect())
+    assert [n for _, n in got] == list(range(10, 5010))
+    same = [r["n"] for r in numbered(spark.range(1000).select(F.lit(1).alias("x")), F.col("x"), "n").collect()]
+    assert sorted(same) == list(range(1000)) and numbered(spark.range(0), F.col("id"), "n").count() == 0

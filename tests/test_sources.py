@@ -102,15 +102,30 @@ def test_incremental_embedding(spark, tmp_path):
     assert got == {"a": "h3", "b": "h2", "c": "h4"}
 
 
+def test_a_batch_that_is_run_again_writes_all_its_rows(spark, tmp_path):
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    (tmp_path / "in").mkdir()
+    rows = [("a", "one", "h1", 1), ("b", "two", "h2", 2)]
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps(dict(zip(("chunk_id", "text", "input_hash", "seq"), r, strict=True))) for r in rows))
+    # an attempt of batch 0 has written one of its rows, and its commit is missing
+    left = spark.createDataFrame([("a", "one", "h1", 1, [0.0], 0)], "chunk_id string, text string, input_hash string, seq long, vector array<double>, batch int")
+    left.write.partitionBy("batch").parquet(out)
+    embed_arrivals(spark, source, out, f"{tmp_path}/ck", lambda df: providers.embed(df, providers.HashedEmbedder(8)))
+    got = {r["chunk_id"]: len(r["vector"]) for r in current_vectors(spark, out).collect()}
+    assert got == {"a": 8, "b": 8}
+
+
 def test_providers():
     e = providers.HashedEmbedder(16)
     assert len(providers.embed_query(e, "some words")) == 16 and e.encode(["a bcd"]) == e.encode(["a bcd"])
     with pytest.raises(ValueError):
         providers.embed_query(e, " ")
     error = RuntimeError("429 RESOURCE_EXHAUSTED retryDelay: '52s'")
-    assert providers.is_rate_limit(error) and providers.retry_delay(error, 65) == 54 and providers.retry_delay(RuntimeError("x"), 65) == 65
-    assert providers.is_retryable(TimeoutError("timed out")) and not providers.is_retryable(RuntimeError("401 UNAUTHENTICATED"))
     tries, waits = [], []
+    policy = providers.RetryPolicy(5, 65, waits.append)
+    assert policy.fault(error) is providers.Fault.RATE and policy.pause(error) == 54 and policy.pause(RuntimeError("rate limit")) == 65
+    assert policy.pause(TimeoutError("timed out")) == policy.pause(TimeoutError()) == 65
+    assert policy.pause(RuntimeError("401 UNAUTHENTICATED, 429")) is policy.pause(RuntimeError("x")) is None
 
     def call():
         tries.append(1)
@@ -118,9 +133,11 @@ def test_providers():
             raise error
         return "done"
 
-    assert providers.with_retries(call, 5, 65, waits.append) == "done" and waits == [54, 54]
-    with pytest.raises(RuntimeError):
-        providers.with_retries(lambda: (_ for _ in ()).throw(RuntimeError("invalid api key")), 5, 65, waits.append)
+    assert policy.run(call) == "done" and waits == [54, 54]
+    for message, n in (("invalid api key", 2), ("quota exceeded", 2 + 5)):
+        with pytest.raises(RuntimeError):
+            policy.run(lambda m=message: (_ for _ in ()).throw(RuntimeError(m)))
+        assert len(waits) == n
     sample = {"id": "1", "question": "what is red", "answer": "roses are red", "contexts": ["roses are red flowers"], "reference_answer": "roses"}
     scored = providers.judge_all(providers.OverlapJudge(), [sample])[0]
     assert set(scored["scores"]) == set(providers.METRICS) and scored["scores"]["faithfulness"] == 1 and not scored["errors"]
