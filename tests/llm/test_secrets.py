@@ -1,5 +1,9 @@
 import hashlib
+import itertools
+import random
 import re
+import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,6 +14,38 @@ from tests.llm.helpers import DOCS, docs_of
 VOCABULARY = default_vocabulary()
 
 
+def plain_random(text):
+    """What ``random`` spans are, letter by letter: maximal runs, pieces and exclusions without patterns."""
+    ids = secrets.encoding(VOCABULARY)
+    letters, digits = set(string.ascii_letters), set(string.digits)
+    cost = lambda s: len(ids.encode_ordinary(s))
+    found, at = [], 0
+    for inside, group in itertools.groupby(text, lambda c: c in letters | digits | set("+/_=-")):
+        run = "".join(group)
+        start, at = at, at + len(run)
+        if not inside or len(run) < 16 or not set(run) & letters or len(set(run)) < 8 or len(run) >= 2.4 * cost(run):
+            continue
+        sizes = {"lower": (32, 40, 56, 64, 96, 128), "upper": (32, 40, 64)}
+        if all(c in "0123456789abcdef" for c in run) and len(run) in sizes["lower"] or all(c in "0123456789ABCDEF" for c in run) and len(run) in sizes["upper"]:
+            continue
+        if [len(p) for p in run.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdefABCDEF-" for c in run):
+            continue
+        pieces, piece = [], ""
+        for i, c in enumerate(run):
+            if c not in letters:
+                pieces, piece = pieces + [piece], ""
+            elif not piece or c.islower() and (piece.islower() or len(piece) == 1 or piece[1:].islower()) or c.isupper() and piece.isupper() and not run[i + 1 : i + 2].islower():
+                piece += c
+            else:
+                pieces, piece = pieces + [piece], c
+        pieces = [p for p in [*pieces, piece] if p]
+        has_digit, numbers = bool(set(run) & digits), "".join(c if c in digits else " " for c in run).split()
+        shaped = min(map(len, pieces)) >= 2 and run.lstrip("+/_=-")[0] not in digits and max(map(len, numbers), default=0) < 5
+        if not shaped or sum(map(len, pieces)) < (2.4 if has_digit else 1.8) * sum(map(cost, pieces)):
+            found.append((start, at, "random"))
+    return found
+
+
 def brute(text):
     """The contract, literally: every match of every kind, failing ones dropped."""
     kinds = [
@@ -42,7 +78,8 @@ def test_report(spark):
     for i, t in enumerate(TEXTS):
         t = t or ""
         assert got[i]["base_sha256"] == hashlib.sha256(brute(t).encode()).hexdigest()
-        assert got[i]["spans"] == secrets.written(all_spans(t, VOCABULARY))
+        base = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in brute(t).split(",") if x)]
+        assert got[i]["spans"] == secrets.written(sorted(base + plain_random(t), key=lambda x: (x[0], secrets.KINDS.index(x[2]))))
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == [brute(t).count(k) for k in ("assign:", "access:", "hex:")]
 
 
@@ -66,3 +103,32 @@ def test_random_keys_of_one_case_or_without_digits():
     for key in ("sfuh4rhisv98cpgsflvn", "YIYMJ3BMVXVWCHKYOCRV", "kQzXyTbWvHgRtLpMnSdF"):
         assert kinds(f"see {key} here") == [key]
     assert not secrets.made_of_words("abcdefghij" * 2000 + "99999", VOCABULARY)  # in linear time
+
+
+def test_random_spans_equal_the_plain_version():
+    r = random.Random(6)
+    words = "get Http Response code the internationalization widget value users API_KEY v2 42 12345 / _ - = + a".split()
+    makes = [
+        lambda: "".join(r.choices(string.ascii_letters + string.digits, k=r.randint(14, 40))), lambda: "".join(r.choices(string.ascii_lowercase, k=r.randint(14, 40))),
+        lambda: "".join(r.choices(string.ascii_uppercase + "234567", k=r.randint(14, 40))), lambda: "".join(r.choices(words, k=r.randint(2, 8))),
+        lambda: "".join(r.choices("0123456789abcdef", k=r.choice((16, 31, 32, 33, 40, 64)))), lambda: "".join(r.choices("abAB1-_", k=20)), lambda: "-".join("".join(r.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+    ]
+    for _ in range(2000):
+        t = " ".join(r.choice(makes)() for _ in range(3))
+        assert secrets.random_spans(t, VOCABULARY) == plain_random(t), t
+
+
+def test_the_token_test_decides_not_the_shape():
+    kinds = lambda t: [t[a:b] for a, b, k in all_spans(t, VOCABULARY) if k == "random"]
+    for key in ("qZxKvBtWmPjRfLyNhGcDsTqZ", "QzxKvbTwmPjr/FlynHgcdStq=", "qzxkvbtwmpjrflynhgcdstqz1", "qzxkvbtwmpjrflynhgcdstqz"):
+        assert kinds(f"see {key} here") == [key]
+    assert kinds("getHttpResponseCodeFromServer internationalization_of_widgets /usr/local/share/python/site-packages") == []
+
+
+def test_runs_of_a_million_characters():
+    r = random.Random(9)
+    texts = ["ab" * 500_000, "".join(r.choices(string.ascii_lowercase, k=1_000_000)) + "111111", "aB" * 500_000, "secret" + " " * 1_000_000, "token:" * 160_000, "a1-" * 333_333]
+    for t in texts:
+        began = time.time()
+        all_spans(t, VOCABULARY)
+        assert time.time() - began < 30
