@@ -12,6 +12,10 @@ from quernstone.llm.common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Key of the registered query, which runs over invented tables. It is public, so it protects nothing: real tables need ``spark.quernstone.pii.key``.
+PUBLIC_KEY = b"quernstone surrogates"
+
+
 def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def queries() -> dict[str, Query]:
         "op5_token_output": on_documents(token_output.token_report),
         "op6_simhash": on_documents(simhash.simhash_report),
         "op7_line_dedup": on_documents(line_dedup.line_report),
-        "op8_pii": on_documents(pii.pii_report),
+        "op8_pii": on_documents(lambda docs: pii.pii_report(docs, PUBLIC_KEY)),
         "op9_shard": on_documents(sharding.shard_report),
         "op10_secrets": on_documents(secrets.secret_report),
     }
