@@ -5,9 +5,9 @@
    item of its size has similarity 0, so only windows over a shared shingle are made: the
    shared shingles are found by a join, and the starts they allow are split so that none
    comes twice.
-3. A window's SimHash counts the 64 bits of its shingles in 16 longs of four counters each.
-4. Multi-index: the 64 bits are four blocks. Two fingerprints within ``radius`` bits differ by
-   at most radius/4 bits in some block, and the index holds, for each item and block, all
+3. A window's SimHash counts the 64 bits of its shingles in 16 longs of four counters each; longer windows in 64 longs.
+4. Multi-index: the 64 bits are five blocks. Two fingerprints within ``radius`` bits differ by
+   at most radius/5 bits in some block, and the index holds, for each item and block, all
    values that near. So the join on (size, block, value) finds every item within the radius.
 5. Candidates within the radius are verified by the exact weighted similarity of the
    shingles: sum of the smaller over sum of the larger of their counts.
@@ -24,9 +24,15 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import BROADCAST_ROWS, fresh, lowered, materialize, sized, words_of
 
 WORDS, SIMILARITY = 5, 0.8
-#: At similarity 0.8 two fingerprints differ in 9.7 bits on average, 15 are 1.8 standard deviations more.
-RADIUS = 15
-BLOCKS, BLOCK_BITS = 4, 16
+#: At similarity 0.8 two fingerprints differ in 9.7 bits on average; 19 are 3.2 standard deviations more, and three a block.
+RADIUS = 19
+#: Distinct shingles of the benchmark that are broadcast at a time. Larger benchmarks take a pass over the documents for each so many.
+SEED_ROWS = 5 * BROADCAST_ROWS
+#: So many hashes a four-counter long can count.
+NARROW = 32_767
+BLOCKS, BLOCK_BITS = 5, 13
+#: Longs of four 16-bit counters that count the bits of hashes.
+COUNTERS = 16
 PIECE = 256
 _FOURS = 0x0001000100010001
 
@@ -46,20 +52,17 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 
 
 def simhash(hashes: Column) -> Column:
-    """The bits set in over half the hashes, as a LONG. Works for up to 32767 hashes at a time."""
-    zero = F.array(*[F.lit(0).cast("long")] * BLOCK_BITS)
-    fours = F.lit(_FOURS)
-    sums = F.aggregate(hashes, zero, lambda a, h: F.array(*[a[k] + F.shiftrightunsigned(h, k).bitwiseAND(fours) for k in range(BLOCK_BITS)]))
-
-    def bits(a: Column) -> Column:
-        n = F.size(hashes)
-        found = [
-            F.when(F.shiftrightunsigned(a[k], 16 * b).bitwiseAND(F.lit(0xFFFF)) * 2 > n, F.lit(_signed(1 << (16 * b + k)))).otherwise(F.lit(0).cast("long"))
-            for k in range(BLOCK_BITS) for b in range(4)
-        ]
-        return reduce(Column.bitwiseOR, found)
-
-    return F.transform(F.array(sums), bits)[0]
+    """The bits set in over half the hashes, as a LONG. Sixteen longs count four bits each; over NARROW hashes, part by part, whose counts are added up."""
+    zero = lambda width: F.array(*[F.lit(0).cast("long")] * width)
+    step = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_FOURS))
+    sums = lambda hs: F.aggregate(hs, zero(COUNTERS), lambda a, h: F.array(*[a[k] + step(h, k) for k in range(COUNTERS)]))
+    count = lambda a, b: F.shiftrightunsigned(a[b % COUNTERS], COUNTERS * (b // COUNTERS)).bitwiseAND(F.lit(0xFFFF))
+    bit = lambda b, n: F.when(n * 2 > F.size(hashes), F.lit(_signed(1 << b))).otherwise(F.lit(0).cast("long"))
+    narrow = _let(sums(hashes), lambda a: reduce(Column.bitwiseOR, [bit(b, count(a, b)) for b in range(64)]))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(NARROW)), lambda first: sums(F.slice(hashes, first, NARROW)))
+    totals = F.aggregate(parts, zero(64), lambda all_, a: F.array(*[all_[b] + count(a, b) for b in range(64)]))
+    wide = _let(totals, lambda all_: reduce(Column.bitwiseOR, [bit(b, all_[b]) for b in range(64)]))
+    return F.when(F.size(hashes) <= NARROW, narrow).otherwise(wide)
 
 
 def _signed(value: int) -> int:
@@ -67,14 +70,23 @@ def _signed(value: int) -> int:
 
 
 def _block(fp: Column, b: int) -> Column:
+    """Bits of block b; the last block is shorter."""
     return F.shiftrightunsigned(fp, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def near_values(distance: int, bits: int = BLOCK_BITS) -> list[int]:
+def block_bits(b: int) -> int:
+    return min(BLOCK_BITS, 64 - BLOCK_BITS * b)
+
+
+def near_values(distance: int, bits: int) -> list[int]:
     """All patterns of at most so many bits."""
     return [sum(1 << b for b in c) for k in range(distance + 1) for c in itertools.combinations(range(bits), k)]
 
 
+def slots_an_item(radius: int) -> int:
+    return sum(len(near_values(radius // BLOCKS, block_bits(b))) for b in range(BLOCKS))
+
+
 def benchmark_items(items: DataFrame, words: int = WORDS) -> DataFrame:
     """(item_id, m, item, item_fp): shingle hashes, their number and fingerprint, of items with words."""
     rows = items.select(F.col("item_id").cast("long"), shingle_hashes(F.col("text"), words).alias("item")).distinct()
@@ -82,10 +94,10 @@ def benchmark_items(items: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def item_index(items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(slot, item_id, item_fp): a row for each item, block and value within radius/4 bits of the item's. A slot is size, block and value."""
-    flips = F.array(*map(F.lit, near_values(radius // BLOCKS)))
+    """(slot, item_id, item_fp): a row for each item, block and value within radius/5 bits of the item's. A slot is size, block and value."""
 
     def slots_of(b: int) -> Column:
+        flips = F.array(*map(F.lit, near_values(radius // BLOCKS, block_bits(b))))
         return F.transform(flips, lambda x: _slot(F.col("m"), b, _block(F.col("item_fp"), b).bitwiseXOR(x.cast("long"))))
 
     slots = [slots_of(b) for b in range(BLOCKS)]
@@ -96,13 +108,28 @@ def _slot(m: Column, block: int, value: Column) -> Column:
     return m.cast("long") * (BLOCKS << BLOCK_BITS) + F.lit(block << BLOCK_BITS) + value
 
 
+def _let(x: Column, fn) -> Column:
+    """fn of a value that is computed once."""
+    return F.transform(F.array(x), fn)[0]
+
+
+def _shared(a: Column, b: Column, levels: int = 4) -> Column:
+    """Size of the intersection of two sorted arrays as multisets: that of their sets, and that of what each repeats."""
+    distinct = F.size(F.array_intersect(a, b))
+    repeated = lambda s: F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))
+    if not levels:
+        count = lambda s, x: F.size(F.filter(s, lambda y: y == x))
+        return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    more = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), _shared(x, y, levels - 1)).otherwise(F.lit(0))
+    return distinct + _let(repeated(a), lambda x: _let(repeated(b), lambda y: more(x, y)))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays as multisets."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    repeats = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
-    slow = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    both = F.when(repeats, slow).otherwise(F.size(F.array_intersect(a, b)))
-    return both / (F.size(a) + F.size(b) - both)
+    """Weighted Jaccard similarity of two arrays as multisets. Only values that come more than four times in both are counted one by one."""
+    repeats = (F.size(F.array_distinct(a)) < F.size(a)) & (F.size(F.array_distinct(b)) < F.size(b))
+    multiset = _let(F.array_sort(a), lambda x: _let(F.array_sort(b), lambda y: _shared(x, y)))
+    both = F.when(repeats, multiset).otherwise(F.size(F.array_intersect(a, b)))  # where one side repeats nothing, sets do
+    return _let(both, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -117,7 +144,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, least: flo
     shingle, its whole sequence, so it matches only an equal whole text. A document that is
     shorter than an item is one window. Of several windows the most similar is
     reported, then the first. Repeated rows of docs give one row; an item id that comes
-    with several texts is reported once, for the best. Empty tables give no rows.
+    with several texts is reported once, for the best; a null id is an id like others. Empty tables give no rows. Texts and items may be of any length.
     """
     items = materialize(benchmark_items(items, words), "items")
     seeds_of = materialize(items.select(F.explode("item").alias("h"), "m").distinct(), "seeds")
@@ -126,7 +153,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, least: flo
     shingled = base.select("doc_id", "text_key", shingle_hashes(F.col("text"), words).alias("s"))
     at = shingled.select("doc_id", "text_key", F.size("s").alias("n"), F.posexplode("s").alias("pos", "h"))
     key = ["doc_id", "text_key", "m"]
-    seeds = materialize(at.join(sized(seeds_of, n_seeds), "h").select(*key, "n", "pos").distinct(), "shared")
+    passes = max(1, -(-n_seeds // SEED_ROWS))
+    hits = [at.join(F.broadcast(seeds_of.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == i)), "h") for i in range(passes)]  # SEED_ROWS of them, or about
+    seeds = materialize(reduce(DataFrame.unionByName, hits).select(*key, "n", "pos").distinct(), "shared")
     # windows of m shingles over a shared one; those that the shared shingle before has made already are left out
     before = F.lag("pos").over(Window.partitionBy(*key).orderBy("pos"))
     spans = seeds.withColumn("lo", F.greatest(F.lit(0), F.col("pos") - F.col("m") + 1, F.coalesce(before + 1, F.lit(0))))
@@ -149,10 +178,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, least: flo
     windows = windows.withColumn("fp", simhash(F.col("window")))
     slots = F.array(*[_slot(F.col("m"), b, _block(F.col("fp"), b)) for b in range(BLOCKS)])
     index = item_index(items, radius)
-    n_index = n_items * BLOCKS * len(near_values(radius // BLOCKS))
+    n_index = n_items * slots_an_item(radius)
     near = windows.select("*", F.explode(slots).alias("slot")).join(sized(index, n_index, 5 * BROADCAST_ROWS), "slot")
     near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
-    checked = near.join(sized(items.select(F.col("item_id").alias("i"), F.col("item_fp").alias("f"), "item"), n_items), (F.col("item_id") == F.col("i")) & (F.col("item_fp") == F.col("f")))
+    checked = near.join(sized(items.select(F.col("item_id").alias("i"), F.col("item_fp").alias("f"), "item"), n_items), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_fp") == F.col("f")))
     checked = checked.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), F.size("window").alias("size")))
     return checked.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best")).select(
@@ -165,7 +194,11 @@ def leak_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no benchmark item, with the columns of docs."""
+    """The documents that hold no benchmark item (see ``find_leaks``), with the columns of docs.
+
+    Null, empty and blank texts stay, and so do repeated rows, once for each; rows of one doc_id with several texts are judged
+    one by one. An empty benchmark removes nothing. Columns of docs may have any names.
+    """
     leaks = materialize(find_leaks(docs, items, **options).select("doc_id", "text_key").distinct(), "leaks")
     n, key = leaks.count(), fresh(docs, "quern_text")
     rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
