@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import fresh, map_arrow, small_batches
+from quernstone.llm.common import fresh, map_arrow, materialize, sized, small_batches
 
 NGRAMS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 DIMENSION = 16
-#: Bounds of the training sample: whole texts of up to so many bytes, about so many for each language.
-TRAIN_PER_LANG, TRAIN_BYTES = 800, 16_384
+#: Bounds of the training sample: about so many rows for each language and in all, and so many characters of each. Of a longer text a slice at a hashed place is learned from.
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 800, 12_800, 16_384
 EPOCHS, RATE, BATCH = 8, 2.0, 32
 #: A small sample is gone through more often, until it has given so many steps.
 MIN_STEPS = 400
@@ -161,13 +161,21 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
-def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """(text, lang, calibrate): about ``per_lang`` labelled rows a language, chosen by hash, none of the held-out fold."""
+def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_rows: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> DataFrame:
+    """(text, lang, calibrate): about ``per_lang`` labelled rows a language and ``most_rows`` in all, chosen by hash, none of the held-out fold.
+
+    So the driver holds at most about most_rows * most_chars characters, however many languages and however long the texts.
+    """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= most_bytes))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    chance = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)) * F.col("n")
-    return rows.join(F.broadcast(counts), "lang").where(chance < per_lang).select("text", "lang", (fold() == 1).alias("calibrate"), "doc_id")
+    rows = rows.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    n_langs = counts.count()
+    hashed = F.xxhash64("doc_id", "text")
+    chance = (F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)) * F.col("n")
+    more = F.greatest(F.length("text") - most_chars, F.lit(0))
+    part = F.when(more == 0, F.col("text")).otherwise(F.substring(F.col("text"), (F.pmod(F.shiftright(hashed, 30), more) + 1).cast("int"), F.lit(most_chars)))
+    kept = rows.join(sized(counts, n_langs), "lang").where(chance < min(per_lang, most_rows / max(1, n_langs)))
+    return kept.select(part.alias("text"), "lang", (fold() == 1).alias("calibrate"), "doc_id")
 
 
 def fit(docs: DataFrame, **bounds: int) -> LanguageModel:
@@ -200,7 +208,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The documents whose language is not rejected, with the columns of docs. The model is fitted on docs unless given."""
+    """The documents whose language is not rejected, with the columns of docs. The model is fitted on docs unless given.
+
+    Null and empty texts and those without letters are rejected; repeated rows all stay or all go; an empty table stays empty.
+    Columns of docs may have any names; other columns are not looked at.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 

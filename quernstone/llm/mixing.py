@@ -158,7 +158,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it, with the columns of docs."""
+    """The documents themselves, each as many times as the mix takes it, with the columns of docs.
+
+    Null and empty texts have no words and are taken in their source's share; a null source is one of its own; of repeated rows
+    as many stay as are taken in all; an empty table stays empty. Columns of docs may have any names.
+    """
     from quernstone.llm.common import fresh
 
     key, copies, at = fresh(docs, "quern_row"), fresh(docs, "quern_copies"), fresh(docs, "quern_nth")

@@ -4,9 +4,10 @@ A store is a folder. ``append`` writes arrivals as small immutable shards, one f
 ``compact`` merges shards of similar size (one tier: sizes within a factor) into files
 of about the target size, and again as long as merging pays. Nothing is changed in place:
 every step writes new files, then a new manifest, which names all live shards, and
-commits it by creating commits/<version> with exclusive create. Readers see the manifest
+commits it by renaming a draft to commits/<version>. Readers see the manifest
 of the newest commit; of two writers that start from one version, the second fails and
-leaves no trace in what readers see. A task or executor that is lost is repeated by
+leaves no trace in what readers see. That needs a store whose rename is atomic and refuses a taken name, as
+HDFS's is. On object stores rename is a copy and on local disks the name is only looked up first: there, one writer at a time. A task or executor that is lost is repeated by
 Spark, whose committer publishes whole files only.
 
     data/<step>/part-*.parquet        shards
@@ -16,6 +17,7 @@ Spark, whose committer publishes whole files only.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +30,8 @@ FACTOR = 4
 MIN_RUNS = 2
 #: Shards that a lane of the planner takes, so that planning stays many small tasks for any number of shards.
 LANE_SHARDS = 4096
+#: Steps that no manifest names are kept so many seconds: a writer may be about to commit them.
+RETENTION = 7 * 24 * 3600
 
 MANIFEST = "shard string, step string, n_bytes long, n_rows long, tier int"
 
@@ -53,13 +57,16 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._name(version)}")
+
+    def _name(self, version: int) -> str:
+        """The manifest folder that a version's commit names."""
         fs, at = filesystem(self.spark, f"{self.root}/commits/{version:08}")
         stream = fs.open(at)
         try:
-            name = bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
     def commit(self, manifest: DataFrame, base: int) -> int:
         """Publishes a manifest as version base+1, or raises CommitConflict and publishes nothing."""
@@ -81,9 +88,9 @@ class ShardStore:
         """0 for the smallest shards; one more for each factor in size. Shards near the target are in the last tier."""
         return F.greatest(F.lit(0), F.floor(F.log(F.greatest(n_bytes, F.lit(1)) / F.lit(float(self.target) / self.factor**8)) / F.log(F.lit(float(self.factor))))).cast("int")
 
-    def _files(self, schema, steps: list[str]) -> DataFrame:
-        """All rows of the steps, with a struct column that holds shard, n_bytes and row_index under a name of its own."""
-        paths = [f"{self.root}/data/{s}" for s in steps]
+    def _files(self, schema, names: list[str]) -> DataFrame:
+        """All rows of the steps or shards, with a struct column that holds shard, n_bytes and row_index under a name of its own."""
+        paths = [f"{self.root}/data/{s}" for s in names]
         files = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*paths)
         meta = files.metadataColumn("_metadata")
         of = F.struct(F.substring_index(meta["file_path"], "/data/", -1).alias("shard"), meta["file_size"].alias("n_bytes"), meta["row_index"].alias("row_index"))
@@ -133,13 +140,15 @@ class ShardStore:
         if not n:
             release(plan)
             return False
-        steps = [r["step"] for r in live.join(sized(plan, n), "shard").select("step").distinct().collect()]  # a row an append or merge
-        step, merges = f"merged-{uuid.uuid4().hex}", plan.select("merge").distinct().count()
-        rows = self._files(schema, steps).withColumn(own, F.col(f"{own}.shard"))
-        taken = sized(plan.select(F.col("shard").alias(f"{own}_"), F.col("merge").alias(f"{own}__")), n)
+        planned = [r["shard"] for r in plan.select("shard").collect()]  # names of files, which a reader lists in the driver anyway
+        merge_numbers = plan.select("merge").distinct().withColumn("at", F.row_number().over(Window.orderBy("merge")) - 1)  # a row a file to write
+        step, merges = f"merged-{uuid.uuid4().hex}", merge_numbers.count()
+        numbered = plan.join(sized(merge_numbers, merges), "merge")
+        rows = self._files(schema, planned).withColumn(own, F.col(f"{own}.shard"))
+        taken = sized(numbered.select(F.col("shard").alias(f"{own}_"), F.col("at").alias(f"{own}__")), n)
         rows = rows.join(taken, F.col(own) == F.col(f"{own}_")).drop(own, f"{own}_")
-        # a merge is one task and one file
-        rows.repartition(merges, f"{own}__").write.option("compression", "zstd").partitionBy(f"{own}__").parquet(f"{self.root}/data/{step}")
+        # a merge is one task of its own and one file
+        rows.repartitionById(merges, F.col(f"{own}__")).write.option("compression", "zstd").partitionBy(f"{own}__").parquet(f"{self.root}/data/{step}")
         left = live.join(sized(plan.select("shard"), n), "shard", "left_anti")
         self.commit(left.unionByName(self._written(step, schema)), base)
         release(plan)
@@ -152,14 +161,19 @@ class ShardStore:
             pass
         return self.version()
 
-    def vacuum(self) -> None:
-        """Deletes the folders of steps of which the newest manifest has no shard, and drafts. Older versions can't be read then."""
+    def vacuum(self, retention: float = RETENTION) -> None:
+        """Deletes steps of which the newest manifest has no shard, manifests that no commit names, and drafts, all older than ``retention`` seconds.
+
+        Older versions can't be read then. A writer must commit within the retention; what others have written since stays.
+        """
         live = {r["step"] for r in self.manifest().select("step").distinct().collect()}  # a row an append or merge
-        fs, at = filesystem(self.spark, f"{self.root}/data")
-        for status in fs.listStatus(at) if fs.exists(at) else []:
-            if status.getPath().getName() not in live:
-                fs.delete(status.getPath(), True)
-        remove(self.spark, f"{self.root}/drafts")
+        named = {self._name(v) for v in self.versions()}
+        for folder, kept in (("data", live), ("manifests", named), ("drafts", set())):
+            fs, at = filesystem(self.spark, f"{self.root}/{folder}")
+            for status in fs.listStatus(at) if fs.exists(at) else []:
+                young = status.getModificationTime() > (time.time() - retention) * 1000
+                if status.getPath().getName() not in kept and not young:
+                    fs.delete(status.getPath(), True)
 
     def read(self, schema, version: int | None = None) -> DataFrame:
         """The rows of a version, with a struct column (see ``_files``) that says where each lies."""
@@ -176,12 +190,12 @@ def shard(docs: DataFrame, root: str, target_bytes: int = TARGET_BYTES, factor:
     """Appends docs to the store at root and compacts it. All columns of docs are kept, whatever their names.
 
     Nulls, empty and long texts and repeated rows are rows like others. An empty table
-    commits a version without shards. A single row larger than the target is a shard.
+    commits a version without shards. A single row larger than the target is a shard. Merged arrivals stay
+    until ``vacuum`` takes them.
     """
     store = ShardStore(docs.sparkSession, root, target_bytes, factor, min_runs)
     store.append(docs)
     store.compact(docs.schema)
-    store.vacuum()
     return store
 
 

@@ -185,8 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the component's smallest node.
 
     Alternates large-star and small-star steps until nothing moves; the links then form
-    stars. Each step is an aggregation and a join, so a node with many links is no single
-    task's work.
+    stars. Each step is an aggregation, combined before its shuffle, and a join. All links of one node share the join's key:
+    a node with very many links relies on adaptive execution to split its partition.
     """
 
     def state(df: DataFrame) -> tuple:

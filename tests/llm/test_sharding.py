@@ -13,7 +13,7 @@ def root(tmp_path):
     return f"file://{tmp_path}/store"
 
 
-def test_arrivals_are_merged_to_target_size(spark, root):
+def test_arrivals_are_merged_to_target_size(spark, root, tmp_path):
     store = ShardStore(spark, root, target_bytes=60_000)
     parts = [docs_of(spark, [f"{k} {i} " + "xyzzy" * 20 for i in range(400)]).repartition(9) for k in range(3)]
     for p in parts:
@@ -29,7 +29,10 @@ def test_arrivals_are_merged_to_target_size(spark, root):
     for rows in (old, store.read(parts[0].schema)):
         assert sorted(tuple(r)[:5] for r in rows.collect()) == want
     store.vacuum()
+    assert len(list((tmp_path / "store" / "data").iterdir())) > 1  # all steps are young
+    store.vacuum(retention=0)
     assert sorted(tuple(r)[:5] for r in store.read(parts[0].schema).collect()) == want
+    assert {p.name for p in (tmp_path / "store" / "data").iterdir()} == {r["step"] for r in store.manifest().collect()}
 
 
 def test_full_shards_are_left_alone(spark, root):
@@ -64,3 +67,33 @@ def test_empty_table(spark, root):
     store = shard(docs_of(spark, []), root)
     assert store.version() == 1 and store.manifest().count() == 0
     assert shard_report(docs_of(spark, [])).count() == 0
+
+
+def test_vacuum_leaves_an_append_in_flight(spark, root):
+    a = ShardStore(spark, root)
+    a.append(docs_of(spark, ["one"]))
+    base, step = a.version(), "arrival-inflight"
+    rows = docs_of(spark, ["two"])
+    rows.write.parquet(f"{root}/data/{step}")  # an append that has written and not committed yet
+    ShardStore(spark, root).vacuum()
+    a.commit(a.manifest(base).unionByName(a._written(step, rows.schema)), base)
+    assert sorted(r["text"] for r in a.read(rows.schema).collect()) == ["one", "two"]
+
+
+def test_plan_equals_a_plain_version(spark, root):
+    """Lanes of one: shards of a tier in order of their names, cut where the running size passes a multiple of the target."""
+    r = random.Random(2)
+    store = ShardStore(spark, root, target_bytes=1000)
+    live = [(f"s{i:03}", "step", r.choice((3, 10, 60, 200, 400, 700, 760, 2000)), 1) for i in range(80)]
+    df = spark.createDataFrame(live, "shard string, step string, n_bytes long, n_rows long").withColumn("tier", store._tier(F.col("n_bytes")))
+    tiers = {x["shard"]: x["tier"] for x in df.collect()}
+    groups, upto = {}, {}
+    for shard_, _, size, _ in live:
+        if size < 750:
+            upto[tiers[shard_]] = upto.get(tiers[shard_], 0) + size
+            groups.setdefault((tiers[shard_], int((upto[tiers[shard_]] - size / 2) // 1000)), set()).add(shard_)
+    got = {}
+    for x in store.plan(df).collect():
+        got.setdefault(x["merge"], set()).add(x["shard"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1) and len(got) > 3
+    assert len(set(tiers.values())) > 3
