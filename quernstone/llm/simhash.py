@@ -248,12 +248,17 @@ def shingles(text: str | None, words: int = STAGE_WORDS) -> tuple[int, np.ndarra
     return xxhash.xxh3_64_intdigest(joined, SEED) or 1, np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key for each band of the MinHash signature. Texts of similarity J share a given band with probability J^BAND_ROWS."""
+def minima(found: np.ndarray) -> np.ndarray:
+    """The MinHash signature. Two texts of similarity J have the same value at a place with probability J."""
     least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
     for lo in range(0, len(found), 128):
         mixed = (found[lo : lo + 128, None] ^ _XOR) * _ODD
         np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of a signature. Texts of similarity J share a given band with probability J^BAND_ROWS."""
     rows = least.reshape(BANDS, BAND_ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_ROWS):
@@ -263,18 +268,20 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, keep: dict[str, Column], words: int = STAGE_WORDS) -> DataFrame:
-    """The kept columns, node LONG (the text's words), n INT (distinct shingles), bands ARRAY<LONG>."""
-    names = [*keep, "node", "n", "bands"]
+    """The kept columns, node LONG (the text's words), n INT (distinct shingles), bands ARRAY<LONG>, signature BINARY (the low byte of each value)."""
+    names = [*keep, "node", "n", "bands", "signature"]
     source = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in keep.items()])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words) for t in batch.column(0).to_pylist()]
         nodes = pa.array([signed(node) for node, _ in found], pa.int64())
-        bands = pa.array([band_keys(s) if len(s) else [] for _, s in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], nodes, pa.array([len(s) for _, s in found], pa.int32()), bands], names=names)
+        least = [minima(s) for _, s in found]
+        bands = pa.array([band_keys(x) if len(s) else [] for x, (_, s) in zip(least, found, strict=True)], pa.list_(pa.int64()))
+        low = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], nodes, pa.array([len(s) for _, s in found], pa.int32()), bands, low], names=names)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return map_arrow(source, run, f"{fields}, node long, n int, bands array<long>")
+    return map_arrow(source, run, f"{fields}, node long, n int, bands array<long>, signature binary")
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
@@ -298,12 +305,54 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
+def _likely_pairs(least: float):
+    """From a stream (key, node, n, root, signature) sorted by key: pairs (a, b), a > b, of a bucket's texts of different components whose
+    signatures agree as often as at similarity ``least`` or up to 4.3 standard deviations less, compared in blocks."""
+    places = BANDS * BAND_ROWS
+    agree = int(np.ceil(places * least - 4.3 * np.sqrt(places * least * (1 - least))))
+
+    def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(node), 128):
+            for j in range(0, len(node), 1024):
+                x, y = slice(i, i + 128), slice(j, j + 1024)
+                sizes = np.minimum(n[x, None], n[None, y]) * 10_000 >= np.maximum(n[x, None], n[None, y]) * round(least * 10_000)
+                maybe = sizes & (root[x, None] != root[None, y]) & (node[x, None] > node[None, y])
+                if maybe.any():
+                    maybe &= (signature[x, None] == signature[None, y]).sum(axis=2, dtype=np.int32) >= agree
+                at = np.nonzero(maybe)
+                if len(at[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x][at[0]]), pa.array(node[y][at[1]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            edges = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield from bucket(*(c[a:b] for c in columns[1:]))
+
+        for batch in batches:
+            if batch.num_rows:
+                signature = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, places)
+                held.append([*(batch.column(k).to_numpy() for k in range(2)), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(), signature])
+            if sum(len(h[0]) for h in held) >= 50_000:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+                yield from out([c[:cut] for c in columns])
+                held = [[c[cut:] for c in columns]]
+        if held:
+            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
 def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
     """(a, b) LONG, a > b: links whose components are those of all similar pairs that share a band.
 
-    ``texts`` holds distinct texts: node, row, n, bands. Each member of a bucket is compared with the
+    ``texts`` holds distinct texts: node, row, n, bands, signature. Each member of a bucket is compared with the
     bucket's smallest first. Of the other pairs of a bucket only those are left to compare
-    whose texts are not in one component yet, so a group of near copies costs no pair for every two.
+    whose texts are not in one component yet, so a group of near copies costs no pair for every two. These are sifted
+    by their signatures inside the bucket, so that a large bucket of texts that are not similar enough gives few pairs to verify.
     """
     keyed = texts.select(F.explode("bands").alias("key"), "node", "n", "row")
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1").select("key", "lead"), "bands")
@@ -316,10 +365,11 @@ def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, l
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     apart = materialize(placed.join(mixed, "key", "left_semi"), "apart")
-    other = apart.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    sizes = F.least("n", "nb") * 10_000 >= F.greatest("n", "nb") * round(least * 10_000)
-    rest = apart.join(other, "key").where((F.col("node") > F.col("b")) & (F.col("root") != F.col("rb")) & sizes)
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(stars, ["a", "b"], "left_anti")
+    signed_ = apart.join(texts.select("node", "signature"), "node").select("key", "node", "n", "root", "signature")
+    small_batches(docs.sparkSession)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = signed_.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely_pairs(least), "a long, b long")
+    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     return first.unionByName(similar(materialize(rest, "rest"), sets, least))
 
 
@@ -333,7 +383,7 @@ def near_dedup(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_S
     """
     rows = materialize(sketches(docs, {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}, words), "sketches")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    texts = rows.groupBy("node").agg(stays.alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    texts = rows.groupBy("node").agg(stays.alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     texts = materialize(texts, "texts")
     found = components(similar_links(docs, texts, words, least)).select(F.col("node").alias("member"), "root")
     groups = texts.select("node", "first").join(found, F.col("node") == F.col("member"), "left")
