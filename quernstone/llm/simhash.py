@@ -36,6 +36,8 @@ STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 6
 SEED = 42
 LARGE = 1024
+#: Shingles of a bucket that a task holds to verify pairs on the spot, and of a text that comes to it with its set. Other pairs are verified by joins.
+HELD, SET_ROWS = 1 << 22, 1 << 14
 _LANES = np.uint64(0x0101010101010101)
 _XOR, _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
 _ODD |= np.uint64(1)
@@ -305,43 +307,89 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY)
     return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
 
 
-def _likely_pairs(least: float):
-    """From a stream (key, node, n, root, signature) sorted by key: pairs (a, b), a > b, of a bucket's texts of different components whose
-    signatures agree as often as at similarity ``least`` or up to 4.3 standard deviations less, compared in blocks."""
-    places = BANDS * BAND_ROWS
+def _sifted(least: float, held: int = HELD):
+    """From a stream (key, node, n, root, signature, shingles) sorted by key: pairs (a, b, sure), a > b, of a bucket's texts of different components.
+
+    Pairs are sifted by their signatures first, which must agree as often as at similarity ``least`` or up to 4.3 standard deviations less.
+    Where both shingle sets are there, they decide, and a bucket gives a spanning forest of its links (sure). Other pairs are left to verify:
+    those of texts that come without their set, and those of a bucket of more than ``held`` shingles, which drops its sets.
+    """
+    places, share = BANDS * BAND_ROWS, round(least * 10_000)
     agree = int(np.ceil(places * least - 4.3 * np.sqrt(places * least * (1 - least))))
 
-    def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray, signature: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = np.array([s is not None for s in sets], bool)
+        size = np.array([0 if s is None else len(s) for s in sets], np.int64)
+        off, group, codes, mark = np.cumsum(size) - size, root.copy(), None, None
         for i in range(0, len(node), 128):
             for j in range(0, len(node), 1024):
                 x, y = slice(i, i + 128), slice(j, j + 1024)
-                sizes = np.minimum(n[x, None], n[None, y]) * 10_000 >= np.maximum(n[x, None], n[None, y]) * round(least * 10_000)
-                maybe = sizes & (root[x, None] != root[None, y]) & (node[x, None] > node[None, y])
+                maybe = (np.minimum(n[x, None], n[None, y]) * 10_000 >= np.maximum(n[x, None], n[None, y]) * share) & (group[x, None] != group[None, y]) & (node[x, None] > node[None, y])
                 if maybe.any():
                     maybe &= (signature[x, None] == signature[None, y]).sum(axis=2, dtype=np.int32) >= agree
-                at = np.nonzero(maybe)
-                if len(at[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[x][at[0]]), pa.array(node[y][at[1]])], names=["a", "b"])
+                both = known[x, None] & known[None, y]
+                at = np.nonzero(maybe & ~both)
+                a, b, sure = [i + at[0]], [j + at[1]], [np.zeros(len(at[0]), bool)]
+                for r in np.flatnonzero((maybe & both).any(axis=1)).tolist():
+                    one, others = i + r, j + np.flatnonzero(maybe[r] & both[r])
+                    if codes is None:
+                        distinct, codes = np.unique(np.concatenate([s for s in sets if s is not None]), return_inverse=True)
+                        mark = np.zeros(len(distinct), bool)
+                    own = codes[off[one] : off[one] + size[one]]
+                    mark[own] = True
+                    lens = size[others]
+                    begin = np.cumsum(lens) - lens
+                    common = np.add.reduceat(mark[codes[np.repeat(off[others] - begin, lens) + np.arange(lens.sum())]], begin, dtype=np.int64)
+                    mark[own] = False
+                    for other in others[common * 10_000 >= (size[one] + lens - common) * share].tolist():
+                        if group[one] != group[other]:
+                            group[group == group[other]] = group[one]
+                            a.append(np.array([one]))
+                            b.append(np.array([other]))
+                            sure.append(np.ones(1, bool))
+                a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(sure)], names=["a", "b", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        parts: list[list[np.ndarray]] = []
+        rows, shingled, due, bare = 0, 0, 50_000, None
 
         def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             edges = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 yield from bucket(*(c[a:b] for c in columns[1:]))
 
+        def weight(sets: np.ndarray) -> int:
+            return sum(len(s) for s in sets if s is not None)
+
         for batch in batches:
-            if batch.num_rows:
-                signature = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, places)
-                held.append([*(batch.column(k).to_numpy() for k in range(2)), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(), signature])
-            if sum(len(h[0]) for h in held) >= 50_000:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
-                yield from out([c[:cut] for c in columns])
-                held = [[c[cut:] for c in columns]]
-        if held:
-            yield from out([np.concatenate(c) for c in zip(*held, strict=True)])
+            if not batch.num_rows:
+                continue
+            column = batch.column(5)
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy())[:-1]
+            sets = np.empty(batch.num_rows, object)
+            for k, found in enumerate(np.split(column.flatten().to_numpy(), ends)):
+                sets[k] = found
+            sets[column.is_null().to_numpy(zero_copy_only=False)] = None
+            keys = batch.column(0).to_numpy()
+            sets[keys == bare] = None
+            signature = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, places)
+            parts.append([keys, batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy(), signature, sets])
+            rows, shingled = rows + len(keys), shingled + weight(sets)
+            if rows < due and shingled < held:
+                continue
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+            yield from out([c[:cut] for c in columns])
+            rest = [c[cut:].copy() for c in columns]
+            rows, shingled = len(rest[0]), weight(rest[5])
+            if shingled >= held:
+                bare, shingled = int(rest[0][-1]), 0
+                rest[5][:] = None
+            parts, due = [rest], max(50_000, 2 * rows)
+        if parts:
+            yield from out([np.concatenate(c) for c in zip(*parts, strict=True)])
 
     return run
 
@@ -351,8 +399,9 @@ def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, l
 
     ``texts`` holds distinct texts: node, row, n, bands, signature. Each member of a bucket is compared with the
     bucket's smallest first. Of the other pairs of a bucket only those are left to compare
-    whose texts are not in one component yet, so a group of near copies costs no pair for every two. These are sifted
-    by their signatures inside the bucket, so that a large bucket of texts that are not similar enough gives few pairs to verify.
+    whose texts are not in one component yet, so a group of near copies costs no pair for every two. These are verified
+    inside the bucket, so that a large bucket of texts that are not similar enough sends no pairs around. Texts of more than
+    ``SET_ROWS`` shingles and buckets of more than ``HELD`` give their likely pairs to a join instead.
     """
     keyed = texts.select(F.explode("bands").alias("key"), "node", "n", "row")
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1").select("key", "lead"), "bands")
@@ -365,12 +414,14 @@ def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, l
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     apart = materialize(placed.join(mixed, "key", "left_semi"), "apart")
-    signed_ = apart.join(texts.select("node", "signature"), "node").select("key", "node", "n", "root", "signature")
+    short = sets.where(F.size("shingles") <= SET_ROWS)
+    whole = apart.join(texts.select("node", "signature"), "node").join(short, "node", "left").select("key", "node", "n", "root", "signature", "shingles")
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = signed_.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_likely_pairs(least), "a long, b long")
-    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
-    return first.unionByName(similar(materialize(rest, "rest"), sets, least))
+    rest = materialize(whole.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sifted(least), "a long, b long, sure boolean"), "rest")
+    first = first.unionByName(rest.where("sure").select("a", "b"))
+    open_ = rest.where("NOT sure").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    return first.unionByName(similar(materialize(open_, "open"), sets, least))
 
 
 def near_dedup(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:

@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm.simhash import components, covering_masks, fingerprint, links, near_dedup, signed, simhash_report
+from quernstone.llm.simhash import HELD, _sifted, components, covering_masks, fingerprint, links, minima, near_dedup, shingles, signed, simhash_report
 from tests.llm.helpers import DOCS, docs_of, rows_of
 
 
@@ -151,3 +154,38 @@ def test_dedup_keeps_texts_that_only_their_fingerprints_join(spark):
     texts = ["one two three four five six seven " * 50 + " ".join(f"{x}{i}" for i in range(20)) for x in "ab"]
     assert (fingerprint(texts[0], 5) ^ fingerprint(texts[1], 5)).bit_count() <= 5
     assert near_dedup(docs_of(spark, texts)).count() == 2
+
+
+def sift(rows, held):
+    """Links of one bucket's texts by _sifted, in batches of 7 rows; unsure ones are verified here."""
+    found = [shingles(t) for t in rows]
+    nodes = list(range(len(rows)))
+    table = pa.table({
+        "key": pa.array([5] * len(rows), pa.int64()), "node": pa.array(nodes, pa.int64()), "n": pa.array([len(s) for _, s in found], pa.int32()), "root": pa.array(nodes, pa.int64()),
+        "signature": pa.array([minima(s).astype(np.uint8).tobytes() for _, s in found], pa.binary()),
+        "shingles": pa.array([None if k % 10 == 3 else s.view(np.int64) for k, (_, s) in enumerate(found)], pa.list_(pa.int64())),
+    })
+    pairs = [p for out in _sifted(0.8, held)(iter(table.to_batches(7))) for p in out.to_pylist()]
+    sets = [set(s.tolist()) for _, s in found]
+    near = lambda p: len(sets[p["a"]] & sets[p["b"]]) >= 0.8 * len(sets[p["a"]] | sets[p["b"]]) - 1e-9
+    assert all(p["a"] > p["b"] and (near(p) or not p["sure"]) for p in pairs)
+    return pairs, [(p["a"], p["b"]) for p in pairs if near(p)]
+
+
+@pytest.mark.parametrize("held", [HELD, 2000])
+def test_a_bucket_links_what_is_similar(held):
+    rows = [t for _, t in near_copies(3, 20)]
+    pairs, links = sift(rows, held)
+    root = list(range(len(rows)))
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert {root[k] for k in range(len(rows))} == jaccard_groups(list(enumerate(rows)))
+    assert any(p["sure"] for p in pairs) == (held == HELD)
+
+
+def test_a_bucket_of_texts_below_the_similarity_sends_no_pairs():
+    common = " ".join(f"c{k}" for k in range(80))
+    rows = [common + " " + " ".join(f"x{i}y{k}" for k in range(14)) for i in range(60)]  # 0.73 for every two
+    pairs, links = sift(rows, HELD)
+    assert not links and all(p["a"] % 10 == 3 or p["b"] % 10 == 3 for p in pairs)
