@@ -1,135 +1,166 @@
-"""Dense and sparse nearest neighbours of a query set, in blocks, with per-task top-k.
+"""Dense and sparse nearest neighbours of a query set, in one scan, with per-task top-k.
 
-A block of queries goes to every task; a task scores its rows against the whole block in
+All queries of a wave go to every task; a task scores its rows against them, a block of queries at a time, in
 numpy and passes on only its own k best for each query, so that the shuffle holds tasks x
-queries x k rows however large the table is. Scores are rounded to ``DIGITS`` and ties
-go to the smaller id, in the tasks as at the end: the result is the exact top-k.
+queries x k rows however large the table is. The rows are read once a wave of ``WAVE`` queries; for
+more than one wave, rows and queries are cut from their lineage first, so that no wave makes them anew.
+Scores are rounded to ``DIGITS`` and ties go to the smaller id, in the tasks as at the end: the result is the exact top-k.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.storage import checkpoint_folder
+
 DIGITS = 6
-BLOCK = 1024
+#: Queries that a task holds, that it scores at once, and products of terms that it adds at once.
+WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
 _OUT = "query_id long, id long, score double"
 
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k best of one query: by rounded score, then id."""
-    return np.lexsort((ids, -scores))[:k]
+#: From a batch of rows: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
+Scorer = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice, np.ndarray]]]
 
 
-def _top(score_block, k: int):
+def _top(scorer: Scorer, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        floor = np.full(len(queries), -np.inf)  # the k-th best so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, queries, scores = score_block(batch)  # scores: queries x rows, NaN where there is none
-            scores = np.round(scores, DIGITS) + 0.0
-            for q, row in zip(queries.tolist(), scores, strict=True):
-                ok = ~np.isnan(row)
-                s, i = row[ok], ids[ok]
-                if len(s) > 4 * k:
-                    keep = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    s, i = s[keep], i[keep]
-                if q in held:
-                    s, i = np.concatenate((held[q][0], s)), np.concatenate((held[q][1], i))
-                best = _best(s, i, k)
-                held[q] = (s[best], i[best])
+            for ids, block, scores in scorer(batch):
+                scores = np.round(scores, DIGITS) + 0.0
+                good = scores >= floor[block, None]
+                for at in np.flatnonzero(good.any(axis=1)).tolist():
+                    q, s, i = block.start + at, scores[at, good[at]], ids[good[at]]
+                    if len(s) > 4 * k:
+                        keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                        s, i = s[keep], i[keep]
+                    if q in held:
+                        s, i = np.concatenate((held[q][0], s)), np.concatenate((held[q][1], i))
+                    best = np.lexsort((i, -s))[:k]
+                    held[q] = (s[best], i[best])
+                    if len(best) == k:
+                        floor[q] = s[best[-1]]
         for q, (s, i) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), q, np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), queries[q], np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "id", "score"])
 
     return run
 
 
-def _ranked(parts: list[DataFrame], k: int) -> DataFrame:
+def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table], Scorer], wave: int) -> DataFrame:
+    """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id."""
+    waves = max(1, -(-queries.count() // wave))
+    if waves > 1:
+        checkpoint_folder(rows.sparkSession)
+        queries, rows = queries.checkpoint(), rows.checkpoint()
+    parts = [rows.sparkSession.createDataFrame([], _OUT)]
+    for n in range(waves):
+        found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
+        if found.num_rows:
+            parts.append(rows.mapInArrow(_top(make(found), found.column(0).to_numpy(), k), _OUT))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
+    return reduce(DataFrame.unionByName, parts[1:] or parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
 
-
-def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest cosine similarity.
 
     queries: query_id, vector; rows: id, vector. Null vectors take no part; a zero vector has similarity 0.
     """
 
-    def scorer(ids: np.ndarray, matrix: np.ndarray):
-        unit = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    def unit(column: pa.ListArray) -> np.ndarray:
+        x = column.flatten().to_numpy().reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def make(found: pa.Table) -> Scorer:
+        matrix = unit(found.column(1).chunk(0))
 
-        def score(batch: pa.RecordBatch):
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().reshape(len(own), -1).astype(np.float64)
-            return own, ids, unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+            own, x = batch.column(0).to_numpy(), unit(batch.column(1)).T
+            for lo in range(0, len(matrix), block):
+                yield own, slice(lo, min(lo + block, len(matrix))), matrix[lo : lo + block] @ x
 
         return score
 
-    parts = []
-    source = rows.where(F.col("vector").isNotNull()).select(F.col("id").cast("long"), F.col("vector").cast("array<double>"))
-    for part in _blocks(queries.where(F.col("vector").isNotNull()), block):
-        found = part.select("query_id", F.col("vector").cast("array<double>")).toPandas()  # a block of queries
-        if len(found):
-            parts.append(source.mapInArrow(_top(scorer(found["query_id"].to_numpy(np.int64), np.stack(found["vector"].to_numpy())), k), _OUT))
-    return _ranked(parts or [rows.sparkSession.createDataFrame([], _OUT)], k)
+    vectors = lambda df, name: df.where(F.col("vector").isNotNull()).select(F.col(name).cast("long").alias(name), F.col("vector").cast("array<double>"))
+    return _topk(vectors(queries, "query_id"), vectors(rows, "id"), k, make, wave)
 
 
-def sparse_vectors(texts: DataFrame, terms, most: int) -> DataFrame:
+def sparse_vectors(texts: DataFrame, terms: Column, most: int) -> DataFrame:
     """(id, weights MAP<STRING, DOUBLE>): ln(1 + count) of the ``most`` heaviest terms; ties go to the smaller term.
 
-    texts: id, text; terms: a column expression ARRAY<STRING> of the text, repeats included.
+    texts: id, text; terms: a column expression ARRAY<STRING> of the text, repeats included. Texts move once, by id; their terms
+    are counted where they are.
     """
-    counted = texts.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.log1p(F.count("*").cast("double")).alias("w"))
-    order = Window.partitionBy("id").orderBy(F.desc("w"), "term")
-    kept = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most)
-    return kept.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "w")))).alias("weights"))
-
-
-def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    counted = texts.repartition("id").select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    heaviest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), 1, most)
+    weights = F.transform(heaviest, lambda t: F.struct(t["term"].alias("term"), F.log1p(-t["n"].cast("double")).alias("w")))
+    return counted.groupBy("id").agg(F.map_from_entries(F.array_sort(weights)).alias("weights"))
+
+
+def _shared_terms(found: pa.Table, block: int) -> Callable[[np.ndarray, pa.Array, np.ndarray], Iterator[tuple[slice, slice, np.ndarray]]]:
+    """An inverted index of queries (query_id, terms, weights), which gives their inner products with rows in pieces."""
+    lists = found.column(1).chunk(0)
+    encoded = lists.flatten().dictionary_encode()
+    vocabulary, codes = encoded.dictionary, encoded.indices.to_numpy()
+    owner, weights = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), found.column(2).chunk(0).flatten().to_numpy()
+    index = []
+    for lo in range(0, len(lists), block):
+        hi = min(lo + block, len(lists))
+        own = np.flatnonzero((owner >= lo) & (owner < hi))
+        own = own[np.argsort(codes[own], kind="stable")]
+        index.append((slice(lo, hi), np.searchsorted(codes[own], np.arange(len(vocabulary) + 1)).astype(np.int32), owner[own] - lo, weights[own]))
+
+    def products(ends: np.ndarray, terms: pa.Array, w: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]."""
+        code = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy()
+        row, hit = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.flatnonzero(code >= 0)
+        code, row, w = code[hit], row[hit], w[hit]
+        for queries, first, query, weight in index:
+            n_queries = queries.stop - queries.start
+            lens = first[code + 1] - first[code]
+            upto = np.concatenate(([0], np.cumsum(np.bincount(row, lens, len(ends) - 1))))
+            lo = 0
+            while lo < len(ends) - 1:
+                hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // n_queries), len(ends) - 1)
+                a, b = np.searchsorted(row, (lo, hi))
+                n, begin = lens[a:b], np.cumsum(lens[a:b]) - lens[a:b]
+                at = np.repeat(first[code[a:b]] - begin, n) + np.arange(n.sum())
+                cell = query[at] * (hi - lo) + np.repeat(row[a:b] - lo, n)
+                yield queries, slice(lo, hi), np.bincount(cell, weight[at] * np.repeat(w[a:b], n), n_queries * (hi - lo)).reshape(n_queries, hi - lo)
+                lo = hi
+
+    return products
+
+
+def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest inner product above 0.
 
-    queries: query_id, weights MAP<STRING, DOUBLE>; rows: id, weights.
+    queries: query_id, weights MAP<STRING, DOUBLE>; rows: id, weights. Null and empty weights find nothing.
     """
 
-    def scorer(ids: np.ndarray, index: dict[str, tuple[np.ndarray, np.ndarray]]):
-        def score(batch: pa.RecordBatch):
-            own = batch.column(0).to_numpy()
-            out = np.zeros((len(ids), len(own)))
-            column = batch.column(1)
-            names, weights, ends = column.keys.to_pylist(), column.items.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
-            for j in range(len(own)):
-                for t in range(ends[j], ends[j + 1]):
-                    hit = index.get(names[t])
-                    if hit is not None:
-                        out[hit[0], j] += hit[1] * weights[t]
-            out[out <= 0] = np.nan
-            return own, ids, out
+    def make(found: pa.Table) -> Scorer:
+        products = _shared_terms(found, block)
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+            own, terms = batch.column(0).to_numpy(), batch.column(1)
+            ends = np.concatenate(([0], np.cumsum(terms.value_lengths().fill_null(0).to_numpy())))
+            for at, piece, sums in products(ends, terms.flatten(), batch.column(2).flatten().to_numpy()):
+                yield own[piece], at, np.where(sums > 0, sums, np.nan)
 
         return score
 
-    parts = []
-    for part in _blocks(queries, block):
-        found = part.select("query_id", "weights").collect()  # a block of queries
-        postings: dict[str, list[tuple[int, float]]] = {}
-        for i, row in enumerate(found):
-            for term, w in (row["weights"] or {}).items():
-                postings.setdefault(term, []).append((i, w))
-        index = {t: (np.array([i for i, _ in p]), np.array([w for _, w in p])) for t, p in postings.items()}
-        if found:
-            parts.append(rows.select(F.col("id").cast("long"), "weights").mapInArrow(_top(scorer(np.array([r["query_id"] for r in found], np.int64), index), k), _OUT))
-    return _ranked(parts or [rows.sparkSession.createDataFrame([], _OUT)], k)
+    lists = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.map_keys("weights").alias("terms"), F.map_values("weights").cast("array<double>").alias("w"))
+    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave)
 
 
 def centroids(vectors: DataFrame, *by: str) -> DataFrame:
@@ -145,34 +176,23 @@ def cosine(a, b):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows that share most distinct terms, over the smaller set.
 
-    queries: query_id, terms ARRAY<STRING> (distinct); rows: id, terms.
+    queries: query_id, terms ARRAY<STRING> (distinct); rows: id, terms. Null terms are no terms.
     """
 
-    def scorer(ids: np.ndarray, sizes: np.ndarray, index: dict[str, np.ndarray]):
-        def score(batch: pa.RecordBatch):
-            own, out = batch.column(0).to_numpy(), []
-            for terms in batch.column(1).to_pylist():
-                shared = np.zeros(len(ids))
-                for t in terms:
-                    if t in index:
-                        shared[index[t]] += 1
-                out.append(shared / np.maximum(1, np.minimum(sizes, len(terms))))
-            return own, ids, np.array(out).T
+    def make(found: pa.Table) -> Scorer:
+        products, sizes = _shared_terms(found, block), found.column(1).chunk(0).value_lengths().fill_null(0).to_numpy()
+
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+            own, terms = batch.column(0).to_numpy(), batch.column(1)
+            lens = terms.value_lengths().fill_null(0).to_numpy()
+            flat = terms.flatten()
+            for at, piece, sums in products(np.concatenate(([0], np.cumsum(lens))), flat, np.ones(len(flat))):
+                yield own[piece], at, sums / np.maximum(1, np.minimum(sizes[at, None], lens[None, piece]))
 
         return score
 
-    parts = []
-    for part in _blocks(queries, block):
-        found = part.select("query_id", "terms").collect()  # a block of queries
-        postings: dict[str, list[int]] = {}
-        for i, row in enumerate(found):
-            for term in row["terms"]:
-                postings.setdefault(term, []).append(i)
-        index = {t: np.array(p) for t, p in postings.items()}
-        if found:
-            ids, sizes = np.array([r["query_id"] for r in found], np.int64), np.array([len(r["terms"]) for r in found])
-            parts.append(rows.select(F.col("id").cast("long"), "terms").mapInArrow(_top(scorer(ids, sizes, index), k), _OUT))
-    return _ranked(parts or [rows.sparkSession.createDataFrame([], _OUT)], k)
+    ones = F.transform("terms", lambda t: F.lit(1.0)).alias("w")
+    return _topk(queries.select(F.col("query_id").cast("long").alias("query_id"), "terms", ones), rows.select(F.col("id").cast("long").alias("id"), "terms"), k, make, wave)

@@ -26,7 +26,7 @@ def test_search_is_exact_and_blocks_change_nothing(spark):
     for q in range(1, 301, 50):
         best = sorted(((round(float(unit[q] @ v), 6) + 0.0, i) for i, v in unit.items()), key=lambda x: (-x[0], x[1]))[:7]
         want += [(q, i, s, k + 1) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want, key=repr) == rows_of(search.dense_topk(queries, rows, 7, block=2))
+    assert got == sorted(want, key=repr) == rows_of(search.dense_topk(queries, rows, 7, block=2)) == rows_of(search.dense_topk(queries, rows, 7, wave=2))
 
 
 def test_sparse_search(spark):
@@ -36,6 +36,26 @@ def test_sparse_search(spark):
     assert got[0, 3] == pytest.approx(math.log(3) * math.log(2), abs=1e-6) and (0, 2) not in got and got[1, 0] == pytest.approx(math.log(2) ** 2, abs=1e-6)
 
 
+def test_term_searches_equal_brute_force(spark):
+    r = np.random.default_rng(1)
+    terms = {i: [f"t{t}" for t in np.unique(r.zipf(1.5, r.integers(1, 40)) % 60)] for i in range(200)} | {200: []}
+    rows = spark.createDataFrame(list(terms.items()) + [(201, None)], "id long, terms array<string>").repartition(4)
+    weighted = rows.withColumn("weights", F.map_from_entries(F.transform("terms", lambda t: F.struct(t, (F.length(t) * F.col("id") % 7 - 2).cast("double")))))
+    w = lambda i, t: float(len(t) * i % 7 - 2)
+    dot = lambda a, b: sum(w(a, t) * w(b, t) for t in set(terms[a]) & set(terms[b]))
+    share = lambda a, b: round(len(set(terms[a]) & set(terms[b])) / max(1, min(len(terms[a]), len(terms[b]))), 6)
+    for find, score, ids, least in ((search.sparse_topk, dot, range(200), 1e-9), (search.overlap_topk, share, range(201), 0)):
+        want = []
+        for q in (*range(0, 200, 10), 200):
+            best = sorted((-score(q, i), i) for i in ids if score(q, i) >= least)[:5]
+            want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(best)]
+        given = weighted.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+        got = [{(q, i, s + 0.0, k) for q, i, s, k in rows_of(find(given, weighted.where("id <= 200"), 5, **more))} for more in ({}, {"block": 3}, {"wave": 4, "block": 2})]
+        assert got[0] == got[1] == got[2] == {(q, i, s + 0.0, k) for q, i, s, k in want}
+        assert find(given.limit(0), weighted, 5).count() == 0 and find(given, weighted.limit(0), 5).count() == 0
+        assert find(given, weighted, 5).where("id = 201 AND score > 0").count() == 0
+
+
 def test_rrf_prefers_what_both_lists_hold(spark):
     make = lambda ids: spark.createDataFrame([(1, i, k + 1, 1.0) for k, i in enumerate(ids)], "query_id long, id long, rank int, score double")
     got = fusion.rrf({"dense": make([5, 7]), "sparse": make([7, 9])}).orderBy("fused_rank").collect()
