@@ -54,17 +54,24 @@ def within_budget(blocks: DataFrame, length: Column, limit: int, *by: str, order
     return blocks.withColumns({"used": F.sum(length).over(upto), "first": first}).where(F.col("first") | (F.col("used") <= limit)).drop("first")
 
 
-def route_domains(scores: DataFrame, minimum: float = ROUTE_MINIMUM, margin: float = ROUTE_MARGIN) -> DataFrame:
-    """(query_id, domains, confidence) from (query_id, domain, score)."""
+def route_domains(scores: DataFrame, minimum: float = ROUTE_MINIMUM, margin: float = ROUTE_MARGIN, queries: DataFrame | None = None, every: list[str] | None = None) -> DataFrame:
+    """(query_id, domains, confidence) from (query_id, domain, score).
+
+    ``every`` are all domains, where no domain is near enough (by default those that have scores). With ``queries`` (query_id), queries without scores get them too.
+    """
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("domain").alias("domain"))))
     packed = scores.groupBy("query_id").agg(ranked.alias("r"))
     top, second = -F.get("r", F.lit(0))["s"], -F.get("r", F.lit(1))["s"]
     names = F.transform("r", lambda x: x["domain"])
     single = second.isNull() | (F.round(top - second, 9) >= margin)
+    if queries is not None:
+        packed = queries.select("query_id").join(packed, "query_id", "left")
+    known = F.array(*[F.lit(d) for d in every]) if every else names
+    none = F.col("r").isNull()
     return packed.select(
         "query_id",
-        F.when(top < minimum, names).when(single, F.slice(names, 1, 1)).otherwise(F.slice(names, 1, 2)).alias("domains"),
-        F.when(top < minimum, "low_all_domains").when(single, "high_single_domain").otherwise("ambiguous_two_domains").alias("confidence"),
+        F.when(none, F.coalesce(known, F.array().cast("array<string>"))).when(top < minimum, known).when(single, F.slice(names, 1, 1)).otherwise(F.slice(names, 1, 2)).alias("domains"),
+        F.when(none, "fallback_all").when(top < minimum, "low_all_domains").when(single, "high_single_domain").otherwise("ambiguous_two_domains").alias("confidence"),
     )
 
 

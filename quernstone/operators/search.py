@@ -170,6 +170,29 @@ def centroids(vectors: DataFrame, *by: str) -> DataFrame:
     return flat.groupBy(*by).agg(packed.alias("centroid"), F.max("n").alias("n"))
 
 
+def model_centroids(chunks: DataFrame, model: str, dimension: int) -> DataFrame:
+    """(centroid_id, domain, retrieval_type, n, dense_model, dense_dimension, centroid) of the chunks that have a vector of this model and dimension."""
+    ours = (F.col("dense_model") == model) & (F.col("dense_dimension") == dimension) & F.col("dense_embedding").isNotNull()
+    made = centroids(chunks.where(ours).select("domain", "retrieval_type", F.col("dense_embedding").alias("vector")), "domain", "retrieval_type")
+    name = F.concat_ws(":", "domain", "retrieval_type", F.lit(model), F.lit(dimension))
+    return made.select(name.alias("centroid_id"), "domain", "retrieval_type", "n", F.lit(model).alias("dense_model"), F.lit(dimension).alias("dense_dimension"), "centroid")
+
+
+def rebuilt_centroids(old: DataFrame, chunks: DataFrame, model: str, dimension: int) -> DataFrame:
+    """old with all centroids of one model and dimension replaced by those of the chunks."""
+    same = F.col("dense_model").eqNullSafe(F.lit(model)) & F.col("dense_dimension").eqNullSafe(F.lit(dimension))
+    return old.where(~same).unionByName(model_centroids(chunks, model, dimension))
+
+
+def domain_scores(queries: DataFrame, cents: DataFrame) -> DataFrame:
+    """(query_id, domain, score): the best cosine similarity over a domain's retrieval types.
+
+    queries: query_id, vector; cents: domain, centroid, a row a domain and type, so they are broadcast.
+    """
+    pairs = queries.select("query_id", "vector").crossJoin(F.broadcast(cents.select("domain", "centroid")))
+    return pairs.groupBy("query_id", "domain").agg(F.max(F.round(cosine(F.col("vector"), F.col("centroid")), DIGITS)).alias("score"))
+
+
 def cosine(a, b):
     """Cosine similarity of two ARRAY<DOUBLE> columns."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

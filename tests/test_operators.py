@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import chunking, elements, fusion, images, quality, search, store, survey
+from quernstone.operators import chunking, elements, fusion, images, indexing, quality, search, store, survey
 from quernstone.storage import numbered
 
 
@@ -222,3 +222,22 @@ def test_numbers_are_whole_and_in_order(spark):
     assert [n for _, n in got] == list(range(10, 5010))
     same = [r["n"] for r in numbered(spark.range(1000).select(F.lit(1).alias("x")), F.col("x"), "n").collect()]
     assert sorted(same) == list(range(1000)) and numbered(spark.range(0), F.col("id"), "n").count() == 0
+
+
+def test_waiting_documents_and_pending_chunks_come_in_order(spark):
+    docs = spark.createDataFrame([("b", "2", "failed", "csv"), ("a", "9", "parsing", "pdf"), (None, "1", "discovered", "pdf"), ("a", "1", "discovered", "csv"), ("a", "0", "parsed", "pdf")], "domain string, file_name string, status string, source_type string")
+    assert [(r["domain"], r["file_name"]) for r in indexing.waiting_documents(docs).collect()] == [("a", "1"), ("a", "9"), ("b", "2"), (None, "1")]
+    assert [r["file_name"] for r in indexing.waiting_documents(docs, "pdf").collect()] == ["9", "1"]
+    cols = "domain string, source_type string, file_name string, chunk_id string, retrieval_text string, " + ", ".join(f"{k}_embedding double, {k}_model string, {k}_dimension int" for k in ("dense", "sparse"))
+    state = {"d": (1.0, "m", 8, 1.0, "m", 8), "n": (None,) * 6, "o": (1.0, "old", 8, 1.0, "m", 4)}
+    chunks = spark.createDataFrame([("x", "s", "f", c, t, *state[k]) for c, t, k in (("3", "t", "n"), ("1", "  ", "n"), ("2", None, "o"), ("0", "t", "d"), ("4", "t", "o"))], cols)
+    ids = lambda *a: [r["chunk_id"] for r in indexing.pending_chunks(chunks, *a).collect()]
+    assert ids("dense", "m", 8) == ["1", "2", "3", "4"] and ids("dense", "m", 8, 2) == ["1", "2"] and ids("sparse", "m", 8) == ["3", "4"]
+
+
+def test_input_of_text_and_images(spark):
+    rows = spark.createDataFrame([(100, [(5600, 1000)]), (100, [(4000, 5000), (10, 10)]), (29_999, [(100, 100)]), (40_000, None), (7, [])], "t long, images array<struct<width:long,height:long>>")
+    got = rows.select(indexing.input_tokens(F.col("t"), F.col("images")), indexing.image_scale(F.col("t"), F.col("images")).alias("s"), "images").collect()
+    assert [r[0] for r in got] == [10_100, 30_000, 30_000, 30_000, 7]
+    assert [round(r["s"], 6) for r in got] == [1.0, round(min(math.sqrt(29_900 * 560 / 20_000_100), math.sqrt(0.8)), 6), round(math.sqrt(560 / 10_000), 6), 1.0, 1.0]
+    assert rows.select(indexing.text_tokens(F.lit("abcd"), F.lit(0)).alias("a"), indexing.text_tokens(F.lit(None).cast("string"), F.lit(None).cast("int")).alias("b")).first() == (2, 1)
