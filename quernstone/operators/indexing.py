@@ -93,3 +93,17 @@ def sparse_record(weights: Column, dimension: int) -> Column:
     """STRUCT<indices, values, dimension> of MAP<INT, DOUBLE>, by index."""
     entries = F.array_sort(F.map_entries(weights))
     return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"), F.lit(dimension).alias("dimension"))
+
+
+def document_status(documents: DataFrame, children: DataFrame, key: str, pending: Column) -> DataFrame:
+    """documents with the status that their children give them.
+
+    A document that is parsed or further is parsed without children, chunked with any, and indexed once none of them is pending (a null is not pending).
+    Others keep their status. children: key, and what ``pending`` reads; they are counted before they meet the documents.
+    """
+    counted = children.groupBy(F.col(key).alias("quern_key")).agg(F.count_if(pending).alias("quern_pending"))
+    joined = documents.join(counted, F.col(key) == F.col("quern_key"), "left")
+    waits = F.col("quern_pending")
+    reached = F.when(waits.isNull(), "parsed").when(waits > 0, "chunked").otherwise("indexed")
+    status = F.when(F.col("status").isin("parsed", "chunked", "indexed"), reached).otherwise(F.col("status"))
+    return joined.withColumn("status", status).drop("quern_key", "quern_pending")

@@ -129,3 +129,11 @@ def domain_routing_by_type(spark: SparkSession, folder: str) -> DataFrame:
     cents = search.model_centroids(_typed(spark, folder), MODEL, DIMENSION)
     scores = search.domain_scores(queries.where(F.col("query_id") % 150 != 0), cents)
     return fusion.route_domains(scores, queries=queries, every=["0", "1", "2"])
+
+
+@query(f"""WITH c AS (SELECT vec_id // 3 AS doc_id, count(*) FILTER (WHERE label = 4) AS waits FROM embeddings GROUP BY ALL), d AS (SELECT doc_id, {_STATES}[doc_id % 5 + 1] AS status FROM documents)
+SELECT d.doc_id, CASE WHEN status NOT IN ('parsed', 'chunked', 'indexed') THEN status WHEN waits IS NULL THEN 'parsed' WHEN waits > 0 THEN 'chunked' ELSE 'indexed' END AS status FROM d LEFT JOIN c USING (doc_id)""")
+def document_states(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(s) for s in _STATES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    children = table(spark, folder, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("doc_id"), "label")
+    return indexing.document_status(table(spark, folder, "documents").select("doc_id", status.alias("status")), children, "doc_id", F.col("label") == 4)

@@ -241,3 +241,10 @@ def test_input_of_text_and_images(spark):
     assert [r[0] for r in got] == [10_100, 30_000, 30_000, 30_000, 7]
     assert [round(r["s"], 6) for r in got] == [1.0, round(min(math.sqrt(29_900 * 560 / 20_000_100), math.sqrt(0.8)), 6), round(math.sqrt(560 / 10_000), 6), 1.0, 1.0]
     assert rows.select(indexing.text_tokens(F.lit("abcd"), F.lit(0)).alias("a"), indexing.text_tokens(F.lit(None).cast("string"), F.lit(None).cast("int")).alias("b")).first() == (2, 1)
+
+
+def test_status_follows_the_children(spark):
+    docs = spark.createDataFrame([(1, "parsed"), (2, "indexed"), (3, "chunked"), (4, "failed"), (None, "parsed")], "id int, status string")
+    children = spark.createDataFrame([(2, True), (2, False), (3, False), (3, None), (4, False)], "id int, waits boolean")
+    got = {r["id"]: r["status"] for r in indexing.document_status(docs, children, "id", F.col("waits")).collect()}
+    assert got == {1: "parsed", 2: "chunked", 3: "indexed", 4: "failed", None: "parsed"}
