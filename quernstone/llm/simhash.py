@@ -12,12 +12,15 @@ free; then at most a quarter of the bits vary inside a bucket, which bounds it f
 bucket reports a spanning forest of its links, never all pairs. Components come from
 rounds of large-star and small-star steps.
 
-The pipeline's stage asks for a similarity that no workable radius holds, so ``near_dedup``
-finds its candidates by MinHash bands and verifies each by exact shingle similarity.
+The pipeline's stage asks for a similarity that no workable radius of 64 bits holds, so ``near_dedup``
+makes wider fingerprints (of the distinct shingles), deals them out by the covering masks of every
+block of their bits, and links what shares a key and is near over the bits that no key uses. Inside the components of
+these links, exact shingle similarity verifies each pair.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +35,22 @@ BITS = 64
 WORDS, RADIUS = 3, 3
 #: The pipeline's stage: near copies by exact similarity of five-word shingles.
 STAGE_WORDS, STAGE_SIMILARITY = 5, 0.8
-#: MinHash bands that find its candidates: a pair at 0.8 shares none with probability (1 - 0.8^6)^32 = 6e-5.
-BANDS, BAND_ROWS = 32, 6
+#: Its tables: covering masks of radius 2 over each block of a fingerprint, so many blocks that a pair at 0.8 shares no key with probability MISS.
+STAGE_RADIUS, MISS = 2, 6e-5
+#: Bits of a block, if unrelated texts fill a bucket with FULL on average at most. Wider blocks are taken for more texts.
+BLOCK_BITS, FULL = 21, 1024
+#: Words of a fingerprint after those of the blocks, and the distance over them up to which texts are linked: at 0.8 the mean is 29 of 192 bits, the deviation 5; without likeness 96 and 7.
+CHECK_WORDS, CHECK_RADIUS = 3, 56
+#: Places of a MinHash signature, by which the pairs to verify are sifted.
+PLACES = 192
+#: A group is verified in up to TILES squared parts, of which each holds two shares of about TILE texts or more.
+TILE, TILES = 128, 16
 SEED = 42
 LARGE = 1024
 #: Shingles of a bucket that a task holds to verify pairs on the spot, and of a text that comes to it with its set. Other pairs are verified by joins.
 HELD, SET_ROWS = 1 << 22, 1 << 14
 _LANES = np.uint64(0x0101010101010101)
-_XOR, _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
+_XOR, _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, (2, PLACES), np.uint64)
 _ODD |= np.uint64(1)
 
 
@@ -252,50 +263,160 @@ def shingles(text: str | None, words: int = STAGE_WORDS) -> tuple[int, np.ndarra
 
 def minima(found: np.ndarray) -> np.ndarray:
     """The MinHash signature. Two texts of similarity J have the same value at a place with probability J."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    least = np.full(PLACES, ~np.uint64(0))
     for lo in range(0, len(found), 128):
         mixed = (found[lo : lo + 128, None] ^ _XOR) * _ODD
         np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """A key for each band of a signature. Texts of similarity J share a given band with probability J^BAND_ROWS."""
-    rows = least.reshape(BANDS, BAND_ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        key = (key ^ rows[:, k]) * _ODD[k]
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def layout(texts: int, least: float = STAGE_SIMILARITY) -> tuple[int, int, int]:
+    """(bits of a block, blocks, words of a fingerprint) for so many texts.
 
-
-def sketches(docs: DataFrame, keep: dict[str, Column], words: int = STAGE_WORDS) -> DataFrame:
-    """The kept columns, node LONG (the text's words), n INT (distinct shingles), bands ARRAY<LONG>, signature BINARY (the low byte of each value)."""
-    names = [*keep, "node", "n", "bands", "signature"]
+    Two texts of similarity J differ in a bit with probability acos(2J / (1 + J)) / pi. A key of a table is the bits of 4 of 7 parts
+    of a block; the probability that any of the seven keys is shared is that of the differing parts, as vectors, not to span the space.
+    """
+    width = BLOCK_BITS
+    while texts > FULL << (4 * width // 7):
+        width += 7
+    same = 1 - math.acos(2 * least / (1 + least)) / math.pi
+    hit = 7 * same ** (4 * width // 7) - 14 * same ** (6 * width // 7) + 8 * same**width
+    blocks = 1 if hit >= 1 else math.ceil(math.log(MISS) / math.log(1 - hit))
+    return width, blocks, -(-width * blocks // BITS) + CHECK_WORDS
+
+
+def wide_fingerprint(found: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of so many 64-bit words over distinct shingle hashes: in each word, the bits set in over half of the hashes as mixed for it."""
+    counts = np.zeros((words, 8, 8), np.int64)
+    for lo in range(0, len(found), 16 * 255):
+        part = found[lo : lo + 16 * 255]
+        mixed = (part ^ _XOR[:words, None]) * _ODD[:words, None]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD[words : 2 * words, None]
+        padded = np.zeros((words, -(-len(part) // 255) * 255), np.uint64)
+        padded[:, : len(part)] = mixed ^ (mixed >> np.uint64(29))
+        rows = padded.reshape(words, -1, 255)
+        for k in range(8):
+            lanes = ((rows >> np.uint64(k)) & _LANES).sum(axis=2, dtype=np.uint64)
+            counts[:, :, k] += lanes.astype("<u8").view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > len(found), axis=2, bitorder="little").reshape(words, 8).view("<u8")[:, 0]
+
+
+def sketches(docs: DataFrame, keep: dict[str, Column], fp_words: int, words: int = STAGE_WORDS) -> DataFrame:
+    """The kept columns, node LONG (the text's words), n INT (distinct shingles), fp ARRAY<LONG> (the wide fingerprint)."""
+    names = [*keep, "node", "n", "fp"]
     source = docs.select(F.col("text").cast("string").alias("text"), *[c.alias(n) for n, c in keep.items()])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words) for t in batch.column(0).to_pylist()]
         nodes = pa.array([signed(node) for node, _ in found], pa.int64())
-        least = [minima(s) for _, s in found]
-        bands = pa.array([band_keys(x) if len(s) else [] for x, (_, s) in zip(least, found, strict=True)], pa.list_(pa.int64()))
-        low = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], nodes, pa.array([len(s) for _, s in found], pa.int32()), bands, low], names=names)
+        fps = pa.array([wide_fingerprint(s, fp_words).view(np.int64) for _, s in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], nodes, pa.array([len(s) for _, s in found], pa.int32()), fps], names=names)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:])
-    return map_arrow(source, run, f"{fields}, node long, n int, bands array<long>, signature binary")
+    return map_arrow(source, run, f"{fields}, node long, n int, fp array<long>")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[list[np.ndarray]]:
+    """The columns of a stream sorted by its first, in pieces that end with a bucket."""
+    parts: list[list[np.ndarray]] = []
+    held, due = 0, rows
+    for batch in batches:
+        parts.append([c.to_numpy() for c in batch.columns])
+        held += batch.num_rows
+        if held < due:
+            continue
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+        if cut:
+            yield [c[:cut] for c in columns]
+        parts, held = [[c[cut:].copy() for c in columns]], held - cut
+        due = max(rows, 2 * held)
+    if held:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _wide_links(radius: int = CHECK_RADIUS, small: int = 32):
+    """From a stream (key, words of a fingerprint) sorted by key: links (a.., b..) that join all fingerprints of a bucket within the radius."""
+
+    def apart(f: list[np.ndarray], x, y) -> np.ndarray:
+        return sum(np.bitwise_count(w[x] ^ w[y]).astype(np.uint16) for w in f)
+
+    def forest(f: list[np.ndarray]) -> tuple[list[int], list[int]]:
+        """A few rows come first, so that a group of near copies is one before all its pairs are looked at."""
+        n = len(f[0])
+        group, a, b, lo, step = np.arange(n), [], [], 0, 1
+        while lo < n:
+            x = np.arange(lo, min(n, lo + step))[:, None]
+            for left in range(lo, n, 4096):
+                y = np.arange(left, min(n, left + 4096))[None, :]
+                for i, j in np.argwhere((apart(f, x, y) <= radius) & (group[x] != group[y])).tolist():
+                    i, j = lo + i, left + j
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        a.append(i)
+                        b.append(j)
+            lo, step = lo + step, min(256, 16 * step)
+        return a, b
+
+    def linked(keys: np.ndarray, f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        size = np.diff(edge)
+        ends = np.repeat(np.where(size <= small, edge[1:], 0), size)
+        at, a, b = np.arange(len(keys)), [], []
+        for lag in range(1, small):  # small buckets are compared at once, by their distance in the stream
+            at = at[at + lag < ends[at]]
+            near = at[apart(f, at, at + lag) <= radius]
+            a.append(near)
+            b.append(near + lag)
+        for k in np.flatnonzero(size > small).tolist():
+            x, y = forest([w[edge[k] : edge[k + 1]] for w in f])
+            a.append(edge[k] + np.array(x, np.int64))
+            b.append(edge[k] + np.array(y, np.int64))
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, *f in _whole_buckets(batches):
+            a, b = linked(keys, [w.view(np.uint64) for w in f])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(w[x]) for x in (a, b) for w in f], names=[f"{side}{k}" for side in "ab" for k in range(len(f))])
+
+    return run
+
+
+def wide_links(fps: DataFrame, width: int, blocks: int) -> DataFrame:
+    """(a, b) LONG, distinct, a > b: links that join what shares a key in any table and is within CHECK_RADIUS over the last words.
+
+    ``fps`` holds distinct fingerprints (ARRAY<LONG>) in a column fp. A fingerprint is named by the hash of its last words (see ``fp_name``).
+    """
+    keys = []
+    for mask in (m for j in range(blocks) for m in covering_masks(STAGE_RADIUS, list(range(j * width, (j + 1) * width)))):
+        parts = [(w, mask >> BITS * w & ((1 << BITS) - 1)) for w in range(-(-width * blocks // BITS))]
+        keys.append(F.xxhash64(F.lit(len(keys)), *[F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))) for w, m in parts if m]))
+    names = [f"c{k}" for k in range(CHECK_WORDS)]
+    last = [F.element_at("fp", k - CHECK_WORDS).alias(c) for k, c in enumerate(names)]
+    keyed = fps.select(F.array(*keys).alias("keys"), *last).select(F.explode("keys").alias("key"), *names)
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{side}{k} long" for side in "ab" for k in range(CHECK_WORDS))
+    found = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_wide_links(), schema)
+    a, b = (F.xxhash64(*[F.col(f"{side}{k}") for k in range(CHECK_WORDS)]) for side in "ab")
+    return found.select(a.alias("a"), b.alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+
+def fp_name() -> Column:
+    return F.xxhash64(*[F.element_at("fp", k - CHECK_WORDS) for k in range(CHECK_WORDS)])
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS) -> DataFrame:
-    """(node, shingles ARRAY<LONG>) of the given texts (node, row), each read from one of its rows in docs."""
+    """(node, shingles ARRAY<LONG>, signature BINARY: the low byte of each value) of the given texts (node, row), each read from one of its rows in docs."""
     rows = docs.select(F.col("text").cast("string").alias("text"), row_hash(docs).alias("row"))
     source = rows.join(sized(texts, texts.count()), "row").select("node", "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, words)[1].view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        sets = [shingles(t, words)[1] for t in batch.column(1).to_pylist()]
+        low = pa.array([minima(s).astype(np.uint8).tobytes() for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), low], names=["node", "shingles", "signature"])
 
-    return map_arrow(source, run, "node long, shingles array<long>").dropDuplicates(["node"])
+    return map_arrow(source, run, "node long, shingles array<long>, signature binary").dropDuplicates(["node"])
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float = STAGE_SIMILARITY) -> DataFrame:
@@ -314,7 +435,7 @@ def _sifted(least: float, held: int = HELD):
     Where both shingle sets are there, they decide, and a bucket gives a spanning forest of its links (sure). Other pairs are left to verify:
     those of texts that come without their set, and those of a bucket of more than ``held`` shingles, which drops its sets.
     """
-    places, share = BANDS * BAND_ROWS, round(least * 10_000)
+    places, share = PLACES, round(least * 10_000)
     agree = int(np.ceil(places * least - 4.3 * np.sqrt(places * least * (1 - least))))
 
     def bucket(node: np.ndarray, n: np.ndarray, root: np.ndarray, signature: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -394,28 +515,37 @@ def _sifted(least: float, held: int = HELD):
     return run
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
-    """(a, b) LONG, a > b: links whose components are those of all similar pairs that share a band.
+def similar_links(docs: DataFrame, texts: DataFrame, width: int, blocks: int, words: int = STAGE_WORDS, least: float = STAGE_SIMILARITY) -> DataFrame:
+    """(a, b) LONG, a > b: links whose components are those of all similar pairs that fingerprints bring into one group.
 
-    ``texts`` holds distinct texts: node, row, n, bands, signature. Each member of a bucket is compared with the
-    bucket's smallest first. Of the other pairs of a bucket only those are left to compare
+    ``texts`` holds distinct texts: node, row, n, fp. Groups are the components of ``wide_links``. Each member of a group is compared with the
+    group's smallest first. Of the other pairs of a group only those are left to compare
     whose texts are not in one component yet, so a group of near copies costs no pair for every two. These are verified
-    inside the bucket, so that a large bucket of texts that are not similar enough sends no pairs around. Texts of more than
-    ``SET_ROWS`` shingles and buckets of more than ``HELD`` give their likely pairs to a join instead.
+    inside a part of the group, so that a large group of texts that are not similar enough sends no pairs around. Texts of more than
+    ``SET_ROWS`` shingles and parts of more than ``HELD`` give their likely pairs to a join instead.
     """
-    keyed = texts.select(F.explode("bands").alias("key"), "node", "n", "row")
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1").select("key", "lead"), "bands")
-    members = materialize(keyed.join(sized(shared, shared.count()), "key"), "members")
-    sets = materialize(shingle_sets(docs, members.select("node", "row").distinct(), words), "shingles")
-    stars = materialize(members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
+    fps = texts.where("n > 0").select("fp").distinct()
+    near = materialize(components(wide_links(fps, width, blocks)), "near")
+    named = texts.where("n > 0").select("node", "n", "row", fp_name().alias("name"))
+    grouped = named.join(sized(near.withColumnRenamed("node", "name"), near.count()), "name", "left").select(F.coalesce("root", "name").alias("group"), "node", "n", "row")
+    grouped = materialize(grouped, "grouped")
+    shared = materialize(grouped.groupBy("group").agg(F.count("*").alias("m"), F.min("node").alias("lead")).where("m > 1"), "shared")
+    members = materialize(grouped.join(sized(shared, shared.count()), "group"), "members")
+    sets = materialize(shingle_sets(docs, members.select("node", "row"), words), "shingles")
+    stars = materialize(members.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")), "stars")
     first = materialize(similar(stars, sets, least), "similar")
     found = materialize(components(first), "joined")
-    placed = members.join(sized(found, found.count()), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = members.join(sized(found, found.count()), "node", "left").select("group", "m", "node", "n", F.coalesce("root", "node").alias("root"))
     placed = materialize(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    apart = materialize(placed.join(mixed, "key", "left_semi"), "apart")
-    short = sets.where(F.size("shingles") <= SET_ROWS)
-    whole = apart.join(texts.select("node", "signature"), "node").join(short, "node", "left").select("key", "node", "n", "root", "signature", "shingles")
+    mixed = placed.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("group")
+    # every two shares of a large group are a part of their own
+    shares = F.least(F.lit(TILES), F.ceil(F.col("m") / TILE)).cast("int")
+    apart = placed.join(mixed, "group", "left_semi").withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), "shares").cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("shares") - 1), lambda k: (k != F.col("own")) | (F.col("shares") == 1))
+    apart = apart.withColumn("other", F.explode(others)).select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "n", "root")
+    apart = materialize(apart, "apart")
+    short = sets.select("node", "signature", F.when(F.size("shingles") <= SET_ROWS, F.col("shingles")).alias("shingles"))
+    whole = apart.join(short, "node").select("key", "node", "n", "root", "signature", "shingles")
     small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = materialize(whole.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sifted(least), "a long, b long, sure boolean"), "rest")
@@ -428,15 +558,16 @@ def near_dedup(docs: DataFrame, words: int = STAGE_WORDS, least: float = STAGE_S
     """The documents of which each is the first of its group, with the columns of docs.
 
     Groups are the components of links between texts whose sets of word shingles have a
-    Jaccard similarity of at least ``least``; candidates share a MinHash band, and every link is verified.
+    Jaccard similarity of at least ``least``; candidates come from SimHash fingerprints under covering masks, and every link is verified.
     The row with the smallest doc_id stays (null is largest; of several such rows the
     one with the smallest hash of all its columns, once). Rows without words are one group.
     """
-    rows = materialize(sketches(docs, {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}, words), "sketches")
+    width, blocks, fp_words = layout(docs.count(), least)
+    rows = materialize(sketches(docs, {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}, fp_words, words), "sketches")
     stays = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    texts = rows.groupBy("node").agg(stays.alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    texts = rows.groupBy("node").agg(stays.alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"))
     texts = materialize(texts, "texts")
-    found = components(similar_links(docs, texts, words, least)).select(F.col("node").alias("member"), "root")
+    found = components(similar_links(docs, texts, width, blocks, words, least)).select(F.col("node").alias("member"), "root")
     groups = texts.select("node", "first").join(found, F.col("node") == F.col("member"), "left")
     winners = groups.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     key, nth = fresh(docs, "quern_row"), fresh(docs, "quern_nth")

@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm.simhash import HELD, _sifted, components, covering_masks, fingerprint, links, minima, near_dedup, shingles, signed, simhash_report
+from quernstone.llm import simhash
+from quernstone.llm.simhash import CHECK_RADIUS, CHECK_WORDS, HELD, _sifted, components, covering_masks, fingerprint, links, minima, near_dedup, shingles, signed, simhash_report
 from tests.llm.helpers import DOCS, docs_of, rows_of
 
 
@@ -189,3 +190,38 @@ def test_a_bucket_of_texts_below_the_similarity_sends_no_pairs():
     rows = [common + " " + " ".join(f"x{i}y{k}" for k in range(14)) for i in range(60)]  # 0.73 for every two
     pairs, links = sift(rows, HELD)
     assert not links and all(p["a"] % 10 == 3 or p["b"] % 10 == 3 for p in pairs)
+
+
+def test_wide_fingerprints_at_the_similarity_share_a_key_and_are_near():
+    r = np.random.default_rng(4)
+    width, blocks, words = simhash.layout(10_000)
+    masks = [m for j in range(blocks) for m in covering_masks(simhash.STAGE_RADIUS, list(range(j * width, (j + 1) * width)))]
+    found = 0
+    for _ in range(1000):
+        x = r.integers(0, 1 << 64, 100, np.uint64)
+        fps = simhash.wide_fingerprint(x[:90], words) ^ simhash.wide_fingerprint(x[10:], words)  # 80 of 100 are shared
+        diff = sum(int(w) << 64 * k for k, w in enumerate(fps))
+        found += any(not diff & m for m in masks) and np.bitwise_count(fps[-CHECK_WORDS:]).sum() <= CHECK_RADIUS
+    assert found >= 998
+    assert width * blocks <= 64 * (words - CHECK_WORDS)
+
+
+def test_wide_links_join_what_is_near(spark):
+    r = np.random.default_rng(6)
+    width, blocks, words = simhash.layout(10_000)
+    rows = [r.integers(0, 1 << 64, words, np.uint64)]
+    for _ in range(99):  # a chain with a few bits flipped at each step
+        rows.append(rows[-1] ^ (np.uint64(1) << r.integers(0, 64, words, np.uint64)))
+    other = [r.integers(0, 1 << 64, words, np.uint64) for _ in range(200)]
+    df = spark.createDataFrame([([signed(int(w)) for w in x],) for x in rows + other], "fp array<long>")
+    got = components(simhash.wide_links(df, width, blocks)).collect()
+    names = {x["name"] for x in df.limit(100).select(simhash.fp_name().alias("name")).collect()}
+    assert {x["node"] for x in got} == names and len({x["root"] for x in got}) == 1
+
+
+def test_candidates_of_the_stage_are_those_of_simhash(spark, monkeypatch):
+    docs = docs_of(spark, [t for _, t in near_copies(9, 4)])
+    assert near_dedup(docs).count() < docs.count()
+    none = lambda fps, width, blocks: fps.sparkSession.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "wide_links", none)
+    assert near_dedup(docs).count() == docs.select("text").distinct().count()
