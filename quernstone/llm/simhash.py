@@ -41,6 +41,8 @@ STAGE_RADIUS, MISS = 2, 6e-5
 BLOCK_BITS, FULL = 21, 1024
 #: Words of a fingerprint after those of the blocks, and the distance over them up to which texts are linked: at 0.8 the mean is 29 of 192 bits, the deviation 5; without likeness 96 and 7.
 CHECK_WORDS, CHECK_RADIUS = 3, 56
+#: Blocks whose tables come first.
+FIRST = 2
 #: Places of a MinHash signature, by which the pairs to verify are sifted.
 PLACES = 192
 #: A group is verified in up to TILES squared parts, of which each holds two shares of about TILE texts or more.
@@ -336,15 +338,15 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Ite
 
 
 def _wide_links(radius: int = CHECK_RADIUS, small: int = 32):
-    """From a stream (key, words of a fingerprint) sorted by key: links (a.., b..) that join all fingerprints of a bucket within the radius."""
+    """From a stream (key, root, words of a fingerprint) sorted by key: links (a.., b..) that join all fingerprints of a bucket within the radius, but for those of one root."""
 
     def apart(f: list[np.ndarray], x, y) -> np.ndarray:
         return sum(np.bitwise_count(w[x] ^ w[y]).astype(np.uint16) for w in f)
 
-    def forest(f: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    def forest(group: np.ndarray, f: list[np.ndarray]) -> tuple[list[int], list[int]]:
         """A few rows come first, so that a group of near copies is one before all its pairs are looked at."""
         n = len(f[0])
-        group, a, b, lo, step = np.arange(n), [], [], 0, 1
+        group, a, b, lo, step = group.copy(), [], [], 0, 1
         while lo < n:
             x = np.arange(lo, min(n, lo + step))[:, None]
             for left in range(lo, n, 4096):
@@ -358,25 +360,26 @@ def _wide_links(radius: int = CHECK_RADIUS, small: int = 32):
             lo, step = lo + step, min(256, 16 * step)
         return a, b
 
-    def linked(keys: np.ndarray, f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def linked(keys: np.ndarray, root: np.ndarray, f: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
         size = np.diff(edge)
         ends = np.repeat(np.where(size <= small, edge[1:], 0), size)
         at, a, b = np.arange(len(keys)), [], []
         for lag in range(1, small):  # small buckets are compared at once, by their distance in the stream
             at = at[at + lag < ends[at]]
-            near = at[apart(f, at, at + lag) <= radius]
+            near = at[root[at] != root[at + lag]]
+            near = near[apart(f, near, near + lag) <= radius]
             a.append(near)
             b.append(near + lag)
         for k in np.flatnonzero(size > small).tolist():
-            x, y = forest([w[edge[k] : edge[k + 1]] for w in f])
+            x, y = forest(root[edge[k] : edge[k + 1]], [w[edge[k] : edge[k + 1]] for w in f])
             a.append(edge[k] + np.array(x, np.int64))
             b.append(edge[k] + np.array(y, np.int64))
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, *f in _whole_buckets(batches):
-            a, b = linked(keys, [w.view(np.uint64) for w in f])
+        for keys, root, *f in _whole_buckets(batches):
+            a, b = linked(keys, root, [w.view(np.uint64) for w in f])
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(w[x]) for x in (a, b) for w in f], names=[f"{side}{k}" for side in "ab" for k in range(len(f))])
 
@@ -387,6 +390,8 @@ def wide_links(fps: DataFrame, width: int, blocks: int) -> DataFrame:
     """(a, b) LONG, distinct, a > b: links that join what shares a key in any table and is within CHECK_RADIUS over the last words.
 
     ``fps`` holds distinct fingerprints (ARRAY<LONG>) in a column fp. A fingerprint is named by the hash of its last words (see ``fp_name``).
+    The tables of the first FIRST blocks make most groups; the others give only links between two of these, so that a large group does
+    not give its links once for each table.
     """
     keys = []
     for mask in (m for j in range(blocks) for m in covering_masks(STAGE_RADIUS, list(range(j * width, (j + 1) * width)))):
@@ -394,12 +399,23 @@ def wide_links(fps: DataFrame, width: int, blocks: int) -> DataFrame:
         keys.append(F.xxhash64(F.lit(len(keys)), *[F.get("fp", F.lit(w)).bitwiseAND(F.lit(signed(m))) for w, m in parts if m]))
     names = [f"c{k}" for k in range(CHECK_WORDS)]
     last = [F.element_at("fp", k - CHECK_WORDS).alias(c) for k, c in enumerate(names)]
-    keyed = fps.select(F.array(*keys).alias("keys"), *last).select(F.explode("keys").alias("key"), *names)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{side}{k} long" for side in "ab" for k in range(CHECK_WORDS))
-    found = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_wide_links(), schema)
     a, b = (F.xxhash64(*[F.col(f"{side}{k}") for k in range(CHECK_WORDS)]) for side in "ab")
-    return found.select(a.alias("a"), b.alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+    def wave(rooted: DataFrame, keys: list[Column]) -> DataFrame:
+        keyed = rooted.select(F.array(*keys).alias("keys"), "root", *last).select(F.explode("keys").alias("key"), "root", *names)
+        found = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_wide_links(), schema)
+        return found.select(a.alias("a"), b.alias("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+    cut = FIRST * ((2 << STAGE_RADIUS) - 1)
+    named = fps.select("fp", fp_name().alias("name"))
+    first = materialize(wave(named.withColumnRenamed("name", "root"), keys[:cut]), "first")
+    if cut >= len(keys):
+        return first
+    joined = materialize(components(first), "first_groups")
+    rooted = named.join(sized(joined.withColumnRenamed("node", "name"), joined.count()), "name", "left").select("fp", F.coalesce("root", "name").alias("root"))
+    return first.unionByName(wave(rooted, keys[cut:]))
 
 
 def fp_name() -> Column:
