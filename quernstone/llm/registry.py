@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import decontaminate, exact_dedup, langid, line_dedup, mixing, packing, pii, secrets, sharding, simhash, token_output
+from quernstone.llm import collocations, decontaminate, exact_dedup, langid, line_dedup, mixing, packing, pii, secrets, sharding, simhash, token_output
 from quernstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +32,10 @@ def queries() -> dict[str, Query]:
         "op8_pii": on_documents(lambda docs: pii.pii_report(docs, PUBLIC_KEY)),
         "op9_shard": on_documents(sharding.shard_report),
         "op10_secrets": on_documents(secrets.secret_report),
+        "op11_collocations": on_documents(collocations.collocation_report),
         "op13_pack": on_documents(packing.packing_report),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE}
