@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import collocations, decontaminate, exact_dedup, langid, line_dedup, mixing, packing, pii, secrets, sharding, simhash, token_output
+from quernstone.llm import collocations, decontaminate, exact_dedup, langid, line_dedup, mixing, packing, pii, ranked_search, secrets, sharding, simhash, token_output
 from quernstone.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,9 +33,10 @@ def queries() -> dict[str, Query]:
         "op9_shard": on_documents(sharding.shard_report),
         "op10_secrets": on_documents(secrets.secret_report),
         "op11_collocations": on_documents(collocations.collocation_report),
+        "op12_search": lambda spark, sf_dir: ranked_search.search_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
         "op13_pack": on_documents(packing.packing_report),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE}
+    return {"op4_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE, "op12_search": ranked_search.ORACLE}
