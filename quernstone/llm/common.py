@@ -85,8 +85,9 @@ def release(df: DataFrame) -> None:
 
 
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a counted frame for broadcast if it is small enough; else Spark shuffles it."""
-    return F.broadcast(df) if rows <= most else df
+    """Marks a counted frame for broadcast if it is small enough, else for a shuffle: Spark's own estimate of a frame that an explode
+    has grown may be far too low, and it would broadcast it unasked."""
+    return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
 def fresh(df: DataFrame, name: str) -> str:

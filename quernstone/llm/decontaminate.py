@@ -9,6 +9,7 @@
 4. Multi-index: the 64 bits are five blocks. Two fingerprints within ``radius`` bits differ by
    at most radius/5 bits in some block, and the index holds, for each item and block, all
    values that near. So the join on (size, block, value) finds every item within the radius.
+   It runs over distinct fingerprints, so that neither a common passage nor the shingles of a window go through it.
 5. Candidates within the radius are verified by the exact weighted similarity of the
    shingles: sum of the smaller over sum of the larger of their counts.
 """
@@ -94,20 +95,28 @@ def benchmark_items(items: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def item_index(items: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(slot, item_id, item_fp): a row for each item, block and value within radius/5 bits of the item's. A slot is size, block and value."""
+    """(slot, m, item_fp): a row for each size and fingerprint of items, block and value within radius/5 bits of the item's. A slot is size, block and value."""
 
     def slots_of(b: int) -> Column:
         flips = F.array(*map(F.lit, near_values(radius // BLOCKS, block_bits(b))))
         return F.transform(flips, lambda x: _slot(F.col("m"), b, _block(F.col("item_fp"), b).bitwiseXOR(x.cast("long"))))
 
     slots = [slots_of(b) for b in range(BLOCKS)]
-    return items.select("item_id", "item_fp", F.explode(F.concat(*slots)).alias("slot"))
+    return items.select("m", "item_fp", F.explode(F.concat(*slots)).alias("slot"))
 
 
 def _slot(m: Column, block: int, value: Column) -> Column:
     return m.cast("long") * (BLOCKS << BLOCK_BITS) + F.lit(block << BLOCK_BITS) + value
 
 
+def near_fingerprints(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(m, fp, item_fp, distance): all pairs within the radius of distinct (m, fp) and distinct (m, item_fp). Each pair meets in a slot; it is a row once."""
+    slots = F.array(*[_slot(F.col("m"), b, _block(F.col("fp"), b)) for b in range(BLOCKS)])
+    index = sized(item_index(items, radius).drop("m"), items.count() * slots_an_item(radius), 5 * BROADCAST_ROWS)
+    near = windows.select("m", "fp", F.explode(slots).alias("slot")).join(index, "slot")
+    return near.select("m", "fp", "item_fp", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).where(F.col("distance") <= radius).distinct()
+
+
 def _let(x: Column, fn) -> Column:
     """fn of a value that is computed once."""
     return F.transform(F.array(x), fn)[0]
@@ -172,16 +181,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, least: flo
     found = found.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.first("pieces").alias("pieces"))
     cut = lambda z: F.struct(z["m"].alias("m"), z["lo"].alias("lo"), z["hi"].alias("hi"), F.slice(F.col("s"), z["lo"] + 1, z["hi"] - z["lo"] + z["m"]).alias("part"))
     pieces = found.select("doc_id", "text_key", "pieces", shingle_hashes(F.col("text"), words).alias("s"))
-    pieces = pieces.select("doc_id", "text_key", F.explode(F.transform("pieces", cut)).alias("p")).select("doc_id", "text_key", "p.*")
-    each = lambda k: F.struct((F.col("lo") + k).alias("start"), F.slice(F.col("part"), k + 1, F.col("m")).alias("window"))
-    windows = pieces.select("doc_id", "text_key", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), each)).alias("w")).select("doc_id", "text_key", "m", "w.*")
-    windows = windows.withColumn("fp", simhash(F.col("window")))
-    slots = F.array(*[_slot(F.col("m"), b, _block(F.col("fp"), b)) for b in range(BLOCKS)])
-    index = item_index(items, radius)
-    n_index = n_items * slots_an_item(radius)
-    near = windows.select("*", F.explode(slots).alias("slot")).join(sized(index, n_index, 5 * BROADCAST_ROWS), "slot")
-    near = near.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
-    checked = near.join(sized(items.select(F.col("item_id").alias("i"), F.col("item_fp").alias("f"), "item"), n_items), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_fp") == F.col("f")))
+    pieces = materialize(pieces.select("doc_id", "text_key", F.explode(F.transform("pieces", cut)).alias("p")).select("doc_id", "text_key", "p.*"), "pieces")
+    window = lambda start: F.slice("part", start - F.col("lo") + 1, F.col("m"))
+    starts = pieces.withColumn("start", F.explode(F.sequence("lo", "hi")))
+    windows = materialize(starts.select("doc_id", "text_key", "m", "lo", "start", simhash(window(F.col("start"))).alias("fp")), "windows")
+    pairs = materialize(near_fingerprints(windows.select("m", "fp").distinct(), items.select("m", "item_fp").distinct(), radius), "pairs")
+    near = windows.join(sized(pairs, pairs.count()), ["m", "fp"]).drop("fp")
+    # only windows near an item go back to their piece for their shingles
+    at = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_key") == F.col("k"), F.col("m") == F.col("size"), F.col("lo") == F.col("from")]
+    near = near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("m").alias("size"), F.col("lo").alias("from"), "start", "item_fp", "distance")
+    near = pieces.join(near, reduce(Column.__and__, at)).select("doc_id", "text_key", "m", "start", "item_fp", "distance", window(F.col("start")).alias("window"))
+    of_item = items.select("item_id", F.col("m").alias("items_m"), F.col("item_fp").alias("f"), "item")
+    checked = near.join(sized(of_item, n_items), (F.col("m") == F.col("items_m")) & (F.col("item_fp") == F.col("f")))
     checked = checked.withColumn("similarity", similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= least)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"), F.size("window").alias("size")))
     return checked.groupBy("doc_id", "text_key", "item_id").agg(best.alias("best")).select(
