@@ -35,9 +35,11 @@ LEAST, INSIDE_PERCENT, TOP = 10, 50, 2000
 #: Cells of each of the two tables of the sketch.
 CELLS = 1 << 20
 #: Words of text for a bucket; a pivot that comes over an eighth as often is dealt by n-gram.
-BUCKET_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 19
 #: Words of over 1/HEAVY of all words are at most so many, by counting.
 HEAVY = 4096
+#: Parts of a language whose phrases are ranked by themselves first.
+SALTS = 32
 #: Counted words that a task holds before it adds them up.
 _HELD = 1_000_000
 #: The n-grams around a pivot in a fragment (two words left, the pivot, two words right): places of their words.
@@ -311,8 +313,11 @@ def collocations(docs: DataFrame, least: int = LEAST, percent: int = INSIDE_PERC
     frequent = counted.where(F.col("f") >= least)
     phrases = materialize(phrase_counts(docs, frequent, total, least, bucket_words), "phrases")
     best = scored(phrases, frequent, total).join(not_inside(phrases, percent).select("lang", "phrase"), ["lang", "phrase"])
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best_first = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # first in parts of a language, so that one task ranks at most SALTS times ``top`` phrases, however many tasks there were
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*best_first)
+    best = best.withColumn("nth", F.row_number().over(part)).where(F.col("nth") <= top).drop("nth")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
