@@ -26,10 +26,10 @@ WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
 _OUT = "query_id long, id long, score double"
 
 #: From a batch of rows: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
-Scorer = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice, np.ndarray]]]
+Scorer = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]]
 
 
-def _top(scorer: Scorer, queries: np.ndarray, k: int):
+def top_of(scorer: Scorer, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         floor = np.full(len(queries), -np.inf)  # the k-th best so far
@@ -38,9 +38,9 @@ def _top(scorer: Scorer, queries: np.ndarray, k: int):
                 continue
             for ids, block, scores in scorer(batch):
                 scores = np.round(scores, DIGITS) + 0.0
-                good = scores >= floor[block, None]
+                good, places = scores >= floor[block, None], np.arange(len(queries))[block]
                 for at in np.flatnonzero(good.any(axis=1)).tolist():
-                    q, s, i = block.start + at, scores[at, good[at]], ids[good[at]]
+                    q, s, i = int(places[at]), scores[at, good[at]], ids[good[at]]
                     if len(s) > 4 * k:
                         keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                         s, i = s[keep], i[keep]
@@ -66,26 +66,34 @@ def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table]
     for n in range(waves):
         found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
         if found.num_rows:
-            parts.append(rows.mapInArrow(_top(make(found), found.column(0).to_numpy(), k), _OUT))
+            parts.append(rows.mapInArrow(top_of(make(found), found.column(0).to_numpy(), k), _OUT))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return reduce(DataFrame.unionByName, parts[1:] or parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def unit(column: pa.ListArray, dimension: int | None = None) -> np.ndarray:
+    """Vectors as rows of length 1 (or 0). All must have one length, the ``dimension`` if it is given."""
+    if not len(column):
+        return np.zeros((0, dimension or 0))
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    dimension = int(sizes[0]) if dimension is None else dimension
+    if (sizes != dimension).any():
+        raise ValueError(f"vectors of {sorted(set(sizes.tolist()))} numbers where {dimension} are expected")
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dimension)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest cosine similarity.
 
-    queries: query_id, vector; rows: id, vector. Null vectors take no part; a zero vector has similarity 0.
+    queries: query_id, vector; rows: id, vector. Null vectors take no part; a zero vector has similarity 0. Vectors of unequal length are an error.
     """
 
-    def unit(column: pa.ListArray) -> np.ndarray:
-        x = column.flatten().to_numpy().reshape(len(column), -1)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-
     def make(found: pa.Table) -> Scorer:
         matrix = unit(found.column(1).chunk(0))
 
         def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-            own, x = batch.column(0).to_numpy(), unit(batch.column(1)).T
+            own, x = batch.column(0).to_numpy(), unit(batch.column(1), matrix.shape[1]).T
             for lo in range(0, len(matrix), block):
                 yield own, slice(lo, min(lo + block, len(matrix))), matrix[lo : lo + block] @ x
 

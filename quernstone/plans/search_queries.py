@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as T
-from quernstone.operators import fusion, search
+from quernstone.operators import fusion, postings, search, vector_index
 from quernstone.plans.registry import COUNT, TERMS, query
 from quernstone.sources.tables import table
+from quernstone.storage import new_folder
 
 K, FUSED, DOC_TERMS, QUERY_TERMS = 50, 50, 768, 128
 #: The query set: every row whose id is divisible by this.
@@ -52,6 +53,14 @@ def sparse(spark: SparkSession, folder: str) -> DataFrame:
     return search.sparse_topk(weighted(spark, folder, QUERY_TERMS, True).withColumnRenamed("id", "query_id"), weighted(spark, folder, DOC_TERMS), K)
 
 
+@query(f"WITH {_SPARSE} SELECT * FROM sparse")
+def sparse_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``sparse_topk``, from postings in blocks with bounds."""
+    path = new_folder(spark, "postings")
+    postings.write(weighted(spark, folder, DOC_TERMS), path)
+    return postings.search(spark, path, weighted(spark, folder, QUERY_TERMS, True).withColumnRenamed("id", "query_id"), K)
+
+
 def fused(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.rrf({"dense": dense(spark, folder), "sparse": sparse(spark, folder)}, FUSED)
 
@@ -66,6 +75,25 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return dense(spark, folder)
 
 
+def _indexed(spark: SparkSession, folder: str, exact: bool) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    path = new_folder(spark, "dense-index")
+    vector_index.build(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path)
+    queries = vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_index.search(spark, path, queries, K, exact=exact)
+
+
+@query()
+def dense_index_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Near neighbours from the nearest cells only, with the share of rows read. Recall is held against ``dense_topk``."""
+    return _indexed(spark, folder, False)
+
+
+@query(f"WITH {_DENSE.replace('FILTER_', '')} SELECT * FROM dense")
+def dense_index_exact(spark: SparkSession, folder: str) -> DataFrame:
+    return _indexed(spark, folder, True).drop("read_share")
+
+
 @query(f"WITH {_DENSE.replace('FILTER_', 'AND e.label IN (1, 3, 4)')} SELECT * FROM dense")
 def dense_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")

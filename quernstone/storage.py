@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that does not exist yet, in the folder of checkpoints, which the driver and all executors share."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def numbered(rows: DataFrame, order: Column, name: str, first: int = 0) -> DataFrame:
     """Rows numbered from ``first`` in the order given.
 
