@@ -194,17 +194,23 @@ def split_table(markdown: str | None, table_html: str | None) -> list[dict]:
     return next(good, None) or _segments(text)
 
 
-def split_tables(elements: DataFrame) -> DataFrame:
-    """Rows (element_id, sequence, table_markdown, table_html) with their parts: those of PART, and a fractional sequence. Small tables are one part."""
+def table_parts(rows: DataFrame, markdown: str, table_html: str) -> DataFrame:
+    """All columns of rows for each part of their table: part from 1, parts, and p with the fields of PART. Small tables are one part."""
     fields = "array<struct<markdown:string,html:string,row_start:int,row_end:int,strategy:string>>"
 
     @F.pandas_udf(fields)
     def parts(markdown: pd.Series, table: pd.Series) -> pd.Series:
         return pd.Series([split_table(m, h) for m, h in zip(markdown, table, strict=True)])
 
-    whole = F.array(F.struct(F.col("table_markdown").alias("markdown"), F.col("table_html").alias("html"), F.lit(None).cast("int").alias("row_start"), F.lit(None).cast("int").alias("row_end"), F.lit(None).cast("string").alias("strategy")))
-    rows = elements.withColumn("quern_parts", parts("table_markdown", "table_html"))
+    whole = F.array(F.struct(F.col(markdown).alias("markdown"), F.col(table_html).alias("html"), F.lit(None).cast("int").alias("row_start"), F.lit(None).cast("int").alias("row_end"), F.lit(None).cast("string").alias("strategy")))
+    rows = rows.withColumn("quern_parts", parts(markdown, table_html))
     rows = rows.withColumn("quern_parts", F.when(F.size("quern_parts") > 0, F.col("quern_parts")).otherwise(whole))
-    rows = rows.select("element_id", "sequence", F.size("quern_parts").alias("parts"), F.posexplode("quern_parts").alias("part", "p"))
-    sequence = F.col("sequence") + F.when(F.col("parts") > 1, (F.col("part") + 1) / (F.col("parts") + 1)).otherwise(0.0)
-    return rows.select("element_id", sequence.cast("double").alias("sequence"), (F.col("part") + 1).alias("part"), "parts", "p.*")
+    rows = rows.select("*", F.size("quern_parts").alias("parts"), F.posexplode("quern_parts").alias("part", "p")).drop("quern_parts")
+    return rows.withColumn("part", F.col("part") + 1)
+
+
+def split_tables(elements: DataFrame) -> DataFrame:
+    """Rows (element_id, sequence, table_markdown, table_html) with their parts: those of PART, and a fractional sequence. Small tables are one part."""
+    rows = table_parts(elements.select("element_id", "sequence", "table_markdown", "table_html"), "table_markdown", "table_html")
+    sequence = F.col("sequence") + F.when(F.col("parts") > 1, F.col("part") / (F.col("parts") + 1)).otherwise(0.0)
+    return rows.select("element_id", sequence.cast("double").alias("sequence"), "part", "parts", "p.*")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quernstone.functions import ids
 from quernstone.functions import text as T
-from quernstone.operators import chunking, elements, quality, tables
+from quernstone.operators import chunking, document_chunks as documents, elements, quality, tables
 from quernstone.plans.registry import CLEAN, COUNT, TERMS, TOKENS, UUID5, query
 from quernstone.sources.tables import table
 
@@ -136,6 +137,63 @@ def child_packing(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.pack_children(table(spark, folder, "conversations"), "conv_id", "turn", T.token_count(F.col("text")), F.col("role") == "system", 200, 150)
 
 
+def _fields(ddl: str) -> list[tuple[str, str]]:
+    """(name, type) of each field of a schema."""
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ddl).fields]
+
+
+_PARENT = UUID5.format("conv_id || ':part ' || section || ':' || parent || ':'")
+_CHUNKS = f"""
+WITH RECURSIVE items AS (
+  SELECT conv_id, turn, turn // 4 AS section, role = 'system' AS is_table, text, {COUNT.format('text')} AS n, row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn) AS i FROM conversations
+), fold AS (
+  SELECT conv_id, section, turn, is_table, text, i, 1 AS parent, n AS held, 1 AS child, CASE WHEN is_table THEN 0 ELSE n END AS filled, NOT is_table AND n < 150 AS open FROM items WHERE i = 1
+  UNION ALL
+  SELECT conv_id, section, turn, is_table, text, i, parent, held, CASE WHEN joins THEN base ELSE base + 1 END, CASE WHEN joins THEN was + n WHEN is_table THEN 0 ELSE n END, NOT is_table AND (CASE WHEN joins THEN was + n ELSE n END) < 150
+  FROM (
+    SELECT t.*, f.parent + (f.held + t.n > 300)::INT AS parent, CASE WHEN f.held + t.n > 300 THEN t.n ELSE f.held + t.n END AS held, CASE WHEN f.held + t.n > 300 THEN 0 ELSE f.child END AS base, f.filled AS was,
+           NOT t.is_table AND f.open AND f.held + t.n <= 300 AND f.filled + t.n <= 200 AS joins
+    FROM fold f JOIN items t ON t.conv_id = f.conv_id AND t.section = f.section AND t.i = f.i + 1)
+), parents AS (
+  SELECT conv_id, section, parent, {COUNT.format('text')} AS parent_tokens, {_PARENT} AS parent_id FROM (
+    SELECT conv_id, section, parent, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '') AS text FROM fold GROUP BY ALL)
+), kids AS (
+  SELECT conv_id, section, parent, child, {CLEAN.format("string_agg(CASE WHEN is_table THEN '' ELSE coalesce(text, '') END, chr(10) || chr(10) ORDER BY turn)")} AS body, max(CASE WHEN is_table THEN text END) AS grid,
+         list_sort(list_distinct(list((turn % 3)::INT))) AS pages, list(conv_id || ':' || turn ORDER BY turn) AS element_ids FROM fold GROUP BY ALL
+), made AS (
+  SELECT *, concat_ws(chr(10), 'Domain: talk', 'Source: table', 'Section: part ' || section, CASE WHEN body <> '' THEN chr(10) || body END, CASE WHEN coalesce(grid, '') <> '' THEN chr(10) || grid END) AS whole FROM kids JOIN parents USING (conv_id, section, parent)
+), merged AS (
+  SELECT conv_id, sha256(lower(whole) || chr(10) || 'Images:') AS print, arg_min({{'whole': whole, 'body': body, 'grid': grid, 'parent_id': parent_id, 'section': section, 'parent': parent, 'child': child, 'parent_tokens': parent_tokens}}, section * 1000000 + parent * 1000 + child) AS own,
+         list_sort(list_distinct(flatten(list(pages)))) AS page_numbers, list_sort(list_distinct(flatten(list(element_ids)))) AS element_ids, count(*) AS duplicate_occurrences,
+         list(parent_id ORDER BY section, parent, child) AS all_parents
+  FROM made GROUP BY conv_id, print
+)
+SELECT conv_id::VARCHAR AS document_id, {UUID5.format("own.parent_id || ':' || own.child")} AS chunk_id, own.parent_id AS parent_id, 'part ' || own.section AS section_title, own.parent::INT AS part_number, own.child::INT AS child_index, page_numbers, element_ids,
+       list_filter([CASE WHEN own.body <> '' THEN 'text' END, CASE WHEN coalesce(own.grid, '') <> '' THEN 'table' END], lambda m: m IS NOT NULL) AS modalities, duplicate_occurrences, len(list_filter(list_distinct(all_parents), lambda p: p <> own.parent_id))::INT AS alternates,
+       {COUNT.format('own.whole')} AS token_count, print AS fingerprint, own.parent_tokens AS parent_tokens, count(*) OVER (PARTITION BY own.parent_id) AS child_count
+FROM merged"""
+
+
+@query(_CHUNKS)
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents and children of conversations: turns are elements, system turns are tables, four turns are a section."""
+    names = ["element_id", "document_id", "sequence", "section_path", "element_type", "text", "table_markdown", "page_number"]
+    turn, is_table = F.col("turn"), F.col("role") == "system"
+    values = [
+        F.concat_ws(":", "conv_id", "turn"), F.col("conv_id").cast("string"), turn.cast("double"), F.array(F.concat(F.lit("part "), F.floor(turn / 4))), F.when(is_table, "table").otherwise("text"), F.when(~is_table, F.col("text")), F.when(is_table, F.col("text")), (turn % 3).cast("int"),
+    ]
+    fixed = {"domain": F.lit("talk"), "source_type": F.lit("table"), "source_name": F.lit("table")}
+    made = dict(zip(names, values, strict=True)) | fixed
+    kinds = _fields(documents.ELEMENT)
+    rows = table(spark, folder, "conversations").select(*[(made[n] if n in made else F.lit(None)).cast(kind).alias(n) for n, kind in kinds])
+    parents, children = documents.build(rows, documents.Limits(300, 200, 150), split=False)
+    rows = children.join(parents.select("parent_id", F.col("token_count").alias("parent_tokens"), "child_count"), "parent_id")
+    return rows.select(
+        "document_id", "chunk_id", "parent_id", "section_title", "part_number", "child_index", "page_numbers", "element_ids", "modalities", "duplicate_occurrences", F.size("alternate_parent_ids").alias("alternates"),
+        "token_count", "fingerprint", "parent_tokens", "child_count",
+    )
+
+
 @query("""
 SELECT doc_id, sha256(concat_ws(chr(10), 'Domain: ' || lang, 'Source: ' || source, CASE WHEN doc_id % 3 <> 0 THEN 'Section: part ' || doc_id % 3 END, chr(10) || text,
        CASE WHEN doc_id % 2 = 0 THEN chr(10) || '| a |' END)) AS digest FROM documents""")

@@ -60,8 +60,10 @@ def test_attachment_and_recovery_on_frames(spark):
     images = spark.createDataFrame([("p", "i", 1, 1.0, 1.0, 2.0, "", False), ("p", "j", None, None, None, 3.0, "ctx", False)], "parent_id string, image_id string, page int, x double, y double, sequence double, context string, tiny_chart boolean")
     got = {r["image_id"]: (r["child_id"], r["method"]) for r in attach.attach_images(children, images).collect()}
     assert got == {"i": ("a", "weighted_geometry"), "j": ("p:image:j", "contextual_fallback")}
-    crops = spark.createDataFrame([("c1", 3, 8.0), ("c2", 4, 9.0)], "image_id string, page int, sequence double")
-    assert [tuple(r) for r in attach.recover_tables(children, crops).collect()] == [("c1", "t")]
+    orphans = spark.createDataFrame([(None, "i", 1, 1.0, 1.0, 2.0, "words", False)], images.schema)
+    assert attach.attach_images(children, orphans).count() == 0
+    lone = spark.createDataFrame([(None, "a", [1], 0.0, 0.0, 1.0, "", False)], children.schema)
+    assert attach.attach_images(lone, orphans.unionByName(images)).where("child_id = 'a' or parent_id is null").count() == 0
 
 
 def test_every_crop_with_a_parent_gets_a_child(spark):
