@@ -12,8 +12,23 @@ def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("quern_last")).select(*key, *[F.col(f"quern_last.{c}").alias(c) for c in rest])
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """old with the rows of new: a new row replaces all columns but those of ``keep``, which stay where the key exists."""
+def one_a_key(rows: DataFrame, key: list[str], order: str | None) -> DataFrame:
+    """Rows of distinct keys: of a key's rows the last by ``order``; without an order, a key that comes twice is an error. The shuffle is that of the join behind it."""
+    if order is not None:
+        return last_wins(rows, key, order)
+    rest = [c for c in rows.columns if c not in key]
+    counted = rows.groupBy(*key).agg(F.count("*").alias("quern_n"), F.first(F.struct(*rest)).alias("quern_row") if rest else F.lit(None).alias("quern_row"))
+    twice = F.raise_error(F.concat(F.lit("rows to be written hold a key twice: "), F.to_json(F.struct(*key))))
+    checked = counted.withColumn("quern_row", F.when(F.col("quern_n") > 1, twice).otherwise(F.col("quern_row"))) if rest else counted.where(F.when(F.col("quern_n") > 1, twice.cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*key, *[F.col(f"quern_row.{c}").alias(c) for c in rest])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), order: str | None = None) -> DataFrame:
+    """old with the rows of new: a new row replaces all columns but those of ``keep``, which stay where the key exists.
+
+    Keys of new must be distinct, or ``order`` says which row of a key is the last. A null key matches none.
+    """
+    new = one_a_key(new, key, order)
     a, b = old.withColumn("quern_old", F.lit(True)).alias("a"), new.withColumn("quern_new", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full")
     was, comes = F.col("quern_old").isNotNull(), F.col("quern_new").isNotNull()
@@ -28,8 +43,9 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...]
     return joined.select(*[value(c) for c in old.columns])
 
 
-def upsert_invalidating(old: DataFrame, new: DataFrame, key: list[str], guard: str, derived: list[str]) -> DataFrame:
-    """An upsert after which derived columns are null wherever the guard has changed (a null differs from a value)."""
+def upsert_invalidating(old: DataFrame, new: DataFrame, key: list[str], guard: str, derived: list[str], order: str | None = None) -> DataFrame:
+    """An upsert after which derived columns are null wherever the guard has changed (a null differs from a value). Repeated keys are as in ``upsert``."""
+    new = one_a_key(new, key, order)
     a, b = old.alias("a"), new.withColumn("quern_new", F.lit(True)).alias("b")
     joined = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key], "full")
     comes, same = F.col("quern_new").isNotNull(), F.col(f"a.{guard}").eqNullSafe(F.col(f"b.{guard}"))

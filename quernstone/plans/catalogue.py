@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernstone.plans import index_queries, registry, search_queries, store_queries, text_queries  # noqa: F401
+from quernstone.plans import evaluation_queries, index_queries, registry, search_queries, store_queries, text_queries  # noqa: F401
 from quernstone.plans.registry import Query
 
 

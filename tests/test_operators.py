@@ -169,6 +169,18 @@ def test_upserts(spark):
     assert [r["j"] for r in texts.collect()] == ['{"a":"1","b":"9"}', '{"b":"9"}']
 
 
+def test_a_key_that_is_written_twice(spark):
+    schema = "k int, h string, v double"
+    old, new = spark.createDataFrame([(1, "h", 1.0)], schema), spark.createDataFrame([(1, "a", 5.0), (2, "b", 6.0), (1, "c", 4.0)], schema)
+    for write in (lambda **o: store.upsert(old, new, ["k"], **o), lambda **o: store.upsert_invalidating(old, new, ["k"], "h", [], **o)):
+        with pytest.raises(Exception, match="hold a key twice"):
+            write().collect()
+        assert rows_of(write(order="v")) == [(1, "a", 5.0), (2, "b", 6.0)]
+    bare = spark.createDataFrame([(1,), (1,)], "k int")
+    with pytest.raises(Exception, match="hold a key twice"):
+        store.upsert(bare.limit(1), bare, ["k"]).collect()
+
+
 def test_percentile_is_nearest_rank_half_even(spark):
     for n in list(range(1, 12)) + [31, 200]:
         values = random.Random(n).choices(range(50), k=n)
