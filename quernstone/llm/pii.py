@@ -5,7 +5,7 @@ IPv4 addresses, names behind a title) get keyed replacements of the same kind: t
 country code, issuer digit, separators, letter case, script, digits and gender, with valid check digits where
 the original's are valid. A replacement depends on the key and the entity's canonical form
 only, so all mentions of an entity in all documents stay one (coreference), whatever their
-format. Distinct entities stay distinct: the replacements of the whole corpus are checked
+format. The gender of a name is settled once for the corpus: that of its titles, if they agree. Distinct entities stay distinct: the replacements of the whole corpus are checked
 against each other and against all real entities, and those that clash are drawn
 again until none does. Nearly all keep their first draw, which every task can compute; the
 few others are joined to the documents that mention them. A form that runs out of draws grows, so this ends.
@@ -43,6 +43,8 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señor
 NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "доктор", "профессор")
 #: Words in lower case inside names.
 PARTICLES = ("de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "las", "le", "los", "ten", "ter", "van", "von", "vom", "zu", "zur", "bin", "ibn", "al", "el", "y")
+#: Abbreviated degrees between a title and its name.
+DEGREES = ("agr", "c", "dent", "h", "habil", "ing", "jur", "med", "nat", "oec", "phil", "pol", "rer", "theol", "vet")
 
 _NAME_PART = r"[^\W\d_]+(?:-[^\W\d_]+|['’][^\W\d_]{2,})*"
 _TITLES = "|".join(t for t in sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True) if t != "Miss")
@@ -149,6 +151,11 @@ def _canonical(kind: str, whole: str) -> str | None:
     return _NOT_DIGIT.sub("", whole)
 
 
+def _name(part: str) -> str:
+    """A name in its canonical form: without letter case, with one sort of apostrophe."""
+    return part.lower().replace("’", "'")
+
+
 def _initial(part: str) -> bool:
     return len(part) == 1 and part.isupper()
 
@@ -157,9 +164,12 @@ def _titled(text: str, at: int) -> list[tuple[int, int, str]]:
     """The parts of the name that begins behind a title: capitalised ones and initials, over particles. Empty if all are initials."""
     parts: list[tuple[int, int, str]] = []
     m = _BEHIND_TITLE.match(text, at)
-    while m and (m["part"] in PARTICLES or not m["part"][0].islower()):
+    degree = lambda m: not parts and m["part"] in DEGREES and text[m.end("part") : m.end("part") + 1] == "."
+    while m and (m["part"] in PARTICLES or degree(m) or not m["part"][0].islower()):
         end = m.end("part")
-        if m["part"] not in PARTICLES:
+        if degree(m):
+            end += 1
+        elif m["part"] not in PARTICLES:
             parts.append((m.start("part"), end, m["part"]))
         if _initial(m["part"]) and text[end : end + 1] == ".":
             end += 1
@@ -183,7 +193,7 @@ def _names(text: str) -> list[Mention]:
             continue  # Prof. Dr. Smith: the name is behind the last title
         parts = _titled(text, m.end())
         for start, end, part in parts:
-            found[start] = (end, canon := part.lower())
+            found[start] = (end, canon := _name(part))
             kind = "name_i" if _initial(part) else "name_s" if start == parts[-1][0] else f"name_{gender}"
             # one word is one name in a document: a family name before all, then one with a gender
             if kind == "name_s" or roles.get(canon, "name_n") in ("name_n", "name_i"):
@@ -192,8 +202,8 @@ def _names(text: str) -> list[Mention]:
     names = {canon for canon, kind in roles.items() if kind != "name_i"}
     for m in _PART.finditer(text) if names else ():
         # a hyphenated name as a whole, else the names in it
-        for start, end in [m.span()] if m[0].lower() in names else [x.span() for x in _LETTERS.finditer(text, *m.span())]:
-            canon = text[start:end].lower()
+        for start, end in [m.span()] if _name(m[0]) in names else [x.span() for x in _LETTERS.finditer(text, *m.span())]:
+            canon = _name(text[start:end])
             if start not in found and canon in names and not text[start].islower():
                 out.append((start, end, roles[canon], canon))
     return out
@@ -300,11 +310,12 @@ def rendered(kind: str, new: str, mention: str) -> str:
     return "".join(out + [in_digits_of(c, like) if c in "0123456789" else c for c in left])
 
 
-def rewritten(text: str | None, draws: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[Mention]]:
-    """The text with every entity replaced, and the mentions in the old one."""
+def rewritten(text: str | None, settled: dict[tuple[str, str], tuple[str, int]], key: bytes) -> tuple[str | None, list[Mention]]:
+    """The text with every entity replaced, and the mentions in the old one. ``settled``: kind and draw of entities for which they aren't the kind in this text and 0."""
     found, out, at = mentions(text), [], 0
     for start, end, kind, canon in found:
-        out += [text[at:start], rendered(kind, surrogate(kind, canon, key, draws.get((kind, canon), 0)), text[start:end])]
+        of, draw = settled.get((kind, canon), (kind, 0))
+        out += [text[at:start], rendered(of, surrogate(of, canon, key, draw), text[start:end])]
         at = end
     return ("".join([*out, text[at:]]) if found else text), found
 
@@ -355,6 +366,14 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"{MOST_DRAWS} draws of surrogates clash")
 
 
+def settled_names(names: DataFrame) -> DataFrame:
+    """(canon, settled): one kind for each name of the corpus. A given name has the gender of its titles, none if they differ; other names are family names
+    where they are nothing else anywhere. names: kind, canon."""
+    seen = {k: F.bool_or(F.col("kind") == f"name_{k}").alias(k) for k in "mfs"}
+    kind = F.when(F.col("m") & F.col("f"), "name_n").when(F.col("m"), "name_m").when(F.col("f"), "name_f").when(F.col("s"), "name_s").otherwise("name_n")
+    return names.groupBy("canon").agg(*seen.values()).select("canon", kind.alias("settled"))
+
+
 def configured_key(spark: SparkSession) -> bytes:
     """The key of the session's setting ``spark.quernstone.pii.key``; there is no default."""
     key = spark.conf.get("spark.quernstone.pii.key", None)
@@ -372,10 +391,15 @@ def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """
     key = configured_key(docs.sparkSession) if key is None else key
     found = materialize(find_pii(docs), "mentions")
-    state = assign(found.where("kind <> 'name_i'").select("kind", "canon").distinct(), key)
-    other = state.where("draw > 0").select("kind", "canon", "draw")
+    entities = materialize(found.where("kind <> 'name_i'").select("kind", "canon").distinct(), "entities")
+    is_name = F.col("kind").startswith("name_")
+    kinds = entities.where(~is_name).withColumn("settled", F.col("kind")).unionByName(entities.where(is_name).join(settled_names(entities.where(is_name)), "canon"))
+    kinds = materialize(kinds, "kinds")
+    state = assign(kinds.select(F.col("settled").alias("kind"), "canon").distinct(), key)
+    other = kinds.join(state.select(F.col("kind").alias("settled"), "canon", "draw"), ["settled", "canon"]).where((F.col("draw") > 0) | (F.col("kind") != F.col("settled")))
+    other = materialize(other.select("kind", "canon", "settled", "draw"), "other")
     own = found.select("doc_id", "text_key", "kind", "canon").distinct().join(sized(other, other.count()), ["kind", "canon"])
-    own = materialize(own.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "canon", "draw")).alias("draws")), "redrawn")
+    own = materialize(own.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "canon", "settled", "draw")).alias("draws")), "redrawn")
     own = own.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "draws")
     rows = _source(docs).join(sized(own, own.count() * 8), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left").select("doc_id", "text", "draws")
     span = pa.list_(pa.struct([("start_at", pa.int32()), ("end_at", pa.int32()), ("kind", pa.string())]))
@@ -383,7 +407,7 @@ def replace_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans = [], []
         for text, draws in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            new, old = rewritten(text, {(d["kind"], d["canon"]): d["draw"] for d in draws or ()}, key)
+            new, old = rewritten(text, {(d["kind"], d["canon"]): (d["settled"], d["draw"]) for d in draws or ()}, key)
             texts.append(new)
             spans.append([{"start_at": a, "end_at": b, "kind": k} for a, b, k, _ in old])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(spans, span)], names=["doc_id", "text", "mentions"])

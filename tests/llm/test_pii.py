@@ -158,3 +158,19 @@ def test_equals_what_was_planted(spark):
     assert all(len(v) == 1 for v in one.values())
     new = [(k, *v) for (k, _), v in one.items()]
     assert len(set(new)) == len(new) and not {n for _, n in new} & {e for _, e in one}
+
+
+def test_one_surrogate_a_name_in_all_documents_and_under_all_titles(spark):
+    texts = ["Mr. John Smith came.", "Dr. John Smith left, and John stayed.", "Prof. John spoke", "Mr. Thomas", "Mr. Thomas Miller", "Frau Kim Lee", "Mr. Kim Lee", "Dr. rer. nat. Müller and Müller", "Mr. O'Brien", "Dr. Pat O’Brien met O’Brien", "no name"]
+    rows = {r["doc_id"]: r["text"] for r in replace_pii(docs_of(spark, texts).repartition(4), KEY).collect()}
+    new = [rows[i] for i in range(len(texts))]
+    words = [t.replace(",", "").replace(".", "").split() for t in new]
+    john, smith = words[0][1:3]
+    assert words[1][1:3] == [john, smith] and words[1][5] == john and words[2][1] == john and john != "John"
+    assert words[3][1] == words[4][1] != "Thomas" and words[4][2] != words[4][1]
+    assert words[5][1:3] == words[6][1:3] and words[5][1] != "Kim"
+    assert new[7].startswith("Dr. rer. nat. ") and "Müller" not in new[7] and words[7][3] == words[7][5]
+    assert words[8][1] == words[9][2] == words[9][4] and "Brien" not in new[8] + new[9]
+    assert new[10] == "no name"
+    again = {r["doc_id"]: r["text"] for r in replace_pii(docs_of(spark, texts[::-1]), KEY).collect()}
+    assert [again[len(texts) - 1 - i] for i in range(len(texts))] == new
