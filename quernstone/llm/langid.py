@@ -23,8 +23,9 @@ from quernstone.llm.common import fresh, map_arrow, materialize, sized, small_ba
 NGRAMS = (1, 2, 3, 4)
 BUCKET_BITS = 16
 DIMENSION = 16
-#: Bounds of the training sample: about so many rows for each language and in all, and so many characters of each. Of a longer text a slice at a hashed place is learned from.
-TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS = 800, 12_800, 16_384
+#: Bounds of the training sample: about so many rows for each language and in all, and so many characters of each and of all. Of a longer text a slice at a hashed place is learned from.
+#: The driver holds the characters and at most four n-grams of six bytes for each: about 230 MB, however many languages and however long the texts.
+TRAIN_PER_LANG, TRAIN_ROWS, TRAIN_CHARS, TRAIN_SUM = 800, 12_800, 16_384, 1 << 23
 EPOCHS, RATE, BATCH = 8, 2.0, 32
 #: A small sample is gone through more often, until it has given so many steps.
 MIN_STEPS = 400
@@ -121,7 +122,7 @@ def train(texts: list[str], labels: list[str], calibrate: list[bool], seed: int
     for text, label, held in zip(texts, labels, calibrate, strict=True):
         if not held and len(ids := features(_codes(text))):
             at, counts = np.unique(ids, return_counts=True)
-            bags.append((at, (counts / len(ids)).astype(np.float32)))
+            bags.append((at.astype(np.uint16), (counts / len(ids)).astype(np.float32)))
             ys.append(langs.index(label))
     ys = np.array(ys, int)
     batches = max(1, -(-len(bags) // BATCH))
@@ -161,20 +162,22 @@ def fold() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
-def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_rows: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> DataFrame:
+def training_sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_rows: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS, most_sum: int = TRAIN_SUM) -> DataFrame:
     """(text, lang, calibrate): about ``per_lang`` labelled rows a language and ``most_rows`` in all, chosen by hash, none of the held-out fold.
 
-    So the driver holds at most about most_rows * most_chars characters, however many languages and however long the texts.
+    A text gives at most ``most_chars`` characters, fewer where so many rows would give over ``most_sum`` in all.
     """
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs")
     n_langs = counts.count()
+    each = min(per_lang, most_rows / max(1, n_langs))
+    most_chars = max(1, min(most_chars, int(most_sum / max(1, each * n_langs))))
     hashed = F.xxhash64("doc_id", "text")
     chance = (F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)) * F.col("n")
     more = F.greatest(F.length("text") - most_chars, F.lit(0))
     part = F.when(more == 0, F.col("text")).otherwise(F.substring(F.col("text"), (F.pmod(F.shiftright(hashed, 30), more) + 1).cast("int"), F.lit(most_chars)))
-    kept = rows.join(sized(counts, n_langs), "lang").where(chance < min(per_lang, most_rows / max(1, n_langs)))
+    kept = rows.join(sized(counts, n_langs), "lang").where(chance < each)
     return kept.select(part.alias("text"), "lang", (fold() == 1).alias("calibrate"), "doc_id")
 
 

@@ -60,3 +60,19 @@ def test_slices_change_nothing(monkeypatch):
     [text_of(x, r2, 20) for x in list(SYLLABLES) * 30]
     monkeypatch.setattr(langid, "_SLICE", 100)
     assert abs(model.raw(text_of("aa", r2, 500)) - whole).max() < 1e-9
+
+
+def test_the_sample_is_bounded_in_all(spark):
+    r = random.Random(3)
+    langs = list(SYLLABLES)
+    docs = spark.createDataFrame([(i, text_of(langs[i % 3], r, 400), langs[i % 3], "s", 0) for i in range(300)], DOCS)
+    sizes = [len(x["text"]) for x in training_sample(docs, per_lang=50, most_chars=1000, most_sum=15_000).collect()]
+    assert 100 < len(sizes) < 200 and max(sizes) == 100  # 150 rows are expected
+    sizes = [len(x["text"]) for x in training_sample(docs, per_lang=50, most_chars=40).collect()]
+    assert max(sizes) == 40
+    # by default the longest texts of the most rows give 8.4 million characters, where they gave 210 million before
+    whole = training_sample(docs.limit(0)).select("text", "lang", "calibrate")
+    assert whole.count() == 0
+    model = fit(docs, per_lang=60, most_sum=12_000)
+    got = identify(docs.where("doc_id % 5 = 0"), model).collect()
+    assert sum(r["lang_pred"] == langs[r["doc_id"] % 3] for r in got) >= 0.97 * len(got)
