@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.storage import running
+
 #: Fusion constant, limits of lists, children of a parent, context characters, and routing thresholds.
 RRF_CONSTANT, FUSED, CHILDREN, CONTEXT = 60, 50, 3, 60_000
 ROUTE_MINIMUM, ROUTE_MARGIN = 0.25, 0.03
@@ -48,12 +50,19 @@ def expand_parents(fused: DataFrame, parent_of: DataFrame, children: int = CHILD
 
 
 def within_budget(blocks: DataFrame, length: Column, limit: int, *by: str, order: str) -> DataFrame:
-    """The rows before the running length first passes the limit; the first row of a group always."""
+    """The rows before the running length first passes the limit; the first row of a group always. A group is a window, as the parents of a query are."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = F.row_number().over(Window.partitionBy(*by).orderBy(order)) == 1
     return blocks.withColumns({"used": F.sum(length).over(upto), "first": first}).where(F.col("first") | (F.col("used") <= limit)).drop("first")
 
 
+def prefix_within(rows: DataFrame, length: Column, limit: int, *by: str, order: str, most_rows: int | None = None) -> DataFrame:
+    """As ``within_budget``, of at most ``most_rows`` rows, for groups of any size: sums run over ranges of rows, see ``storage.running``. Adds nth and used."""
+    summed = running(rows, list(by), order, {"used": length, "nth": F.lit(1)})
+    kept = summed.where((F.col("nth") == 1) | (F.col("used") <= limit))
+    return kept if most_rows is None else kept.where(F.col("nth") <= most_rows)
+
+
 def route_domains(scores: DataFrame, minimum: float = ROUTE_MINIMUM, margin: float = ROUTE_MARGIN, queries: DataFrame | None = None, every: list[str] | None = None) -> DataFrame:
     """(query_id, domains, confidence) from (query_id, domain, score).
 
@@ -115,7 +124,5 @@ def distinct_in_order(values: Column, most: int | None = None) -> Column:
 
 
 def safe_batch(rows: DataFrame, tokens: Column, most_rows: int, most_tokens: int, *by: str, order: str) -> DataFrame:
-    """The longest prefix of each group within both limits; the first row always."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = rows.withColumns({"nth": F.row_number().over(Window.partitionBy(*by).orderBy(order)), "used": F.sum(tokens).over(upto)})
-    return numbered.where((F.col("nth") <= most_rows) & ((F.col("nth") == 1) | (F.col("used") <= most_tokens)))
+    """The longest prefix of each group within both limits; the first row always. Groups may be of any size."""
+    return prefix_within(rows, tokens, most_tokens, *by, order=order, most_rows=most_rows)

@@ -192,7 +192,7 @@ def rerank_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
 WHERE r = 1 OR used <= 60000""")
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", F.length("text").cast("long").alias("n"))
-    return fusion.within_budget(docs, F.col("n"), fusion.CONTEXT, "source", order="doc_id").select("source", "doc_id", "used")
+    return fusion.prefix_within(docs, F.col("n"), fusion.CONTEXT, "source", order="doc_id").select("source", "doc_id", "used")
 
 
 @query("""SELECT doc_id // 5 AS parent_id, arg_min(source, doc_id) AS file_name, list_sort(list_distinct(list(doc_id % 7))) AS pages, min(doc_id) AS row_start, max(doc_id) AS row_end,
@@ -218,7 +218,7 @@ def asset_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 WHERE nth <= 64 AND (nth = 1 OR used <= 28000)""")
 def safe_batches(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("source", "doc_id", T.token_count(F.col("text")).alias("n"))
-    return fusion.safe_batch(docs, F.col("n"), 64, 28_000, "source", order="doc_id").select("source", "doc_id", "nth", "used")
+    return fusion.safe_batch(docs, F.col("n"), 64, 28_000, "source", order="doc_id").select("source", "doc_id", F.col("nth").cast("int").alias("nth"), "used")
 
 
 @query(f"""WITH {_DENSE.replace('FILTER_', '')}, {_SPARSE}, {_FUSED}, {_KEPT}, {_PARENTS},

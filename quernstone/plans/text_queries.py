@@ -283,11 +283,31 @@ def clip_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "excerpt", T.token_count(F.col("excerpt")).alias("n_tokens"))
 
 
-@query()
+_ROW = "'| ' || o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority || ' | ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' | part of the order number ' || o_orderkey || ' |'"
+_CELLS = "'<tr><td>' || o_orderkey || '</td><td>' || o_orderstatus || '</td><td>' || o_orderpriority || '</td><td>' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '</td><td>part of the order number ' || o_orderkey || '</td></tr>'"
+_HEAD = "'| Order | Status | Priority | Date | Note |' || chr(10) || '| --- | --- | --- | --- | --- |'"
+
+
+@query(f"""
+WITH RECURSIVE lines AS (
+  SELECT o_custkey, {_ROW} AS line, {_CELLS} AS cells, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, len({TOKENS.format('chr(10) || ' + _ROW)}) AS n FROM orders
+), base AS (SELECT len({TOKENS.format(_HEAD)}) AS head), fold AS (
+  SELECT o_custkey, i, line, cells, 1 AS part, head + n AS held FROM lines, base WHERE i = 1
+  UNION ALL
+  SELECT t.o_custkey, t.i, t.line, t.cells, CASE WHEN ceil((f.held + t.n) * 1.1::DOUBLE) <= 520 THEN f.part ELSE f.part + 1 END, CASE WHEN ceil((f.held + t.n) * 1.1::DOUBLE) <= 520 THEN f.held + t.n ELSE head + t.n END
+  FROM fold f JOIN lines t ON t.o_custkey = f.o_custkey AND t.i = f.i + 1, base
+), made AS (
+  SELECT o_custkey, part, {_HEAD} || string_agg(chr(10) || line, '' ORDER BY i) AS markdown, min(i)::INT AS row_start, max(i)::INT AS row_end,
+         '<table><thead><tr><th>Order</th><th>Status</th><th>Priority</th><th>Date</th><th>Note</th></tr></thead><tbody>' || string_agg(cells, '' ORDER BY i) || '</tbody></table>' AS html FROM fold GROUP BY o_custkey, part
+)
+SELECT element_id, sequence, part, parts, markdown, CASE WHEN parts > 1 THEN html END AS html, CASE WHEN parts > 1 THEN row_start END AS row_start, CASE WHEN parts > 1 THEN row_end END AS row_end, CASE WHEN parts > 1 THEN 'markdown_rows' END AS strategy FROM (
+  SELECT o_custkey AS element_id, o_custkey + CASE WHEN count(*) OVER w > 1 THEN part::DOUBLE / (count(*) OVER w + 1) ELSE 0 END AS sequence, part::INT AS part, (count(*) OVER w)::INT AS parts, markdown, html, row_start, row_end
+  FROM made WINDOW w AS (PARTITION BY o_custkey))""")
 def table_split(spark: SparkSession, folder: str) -> DataFrame:
     """A table of each customer's orders, in parts of whole rows."""
-    cells = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").cast("string"))
+    note = F.concat(F.lit("part of the order number "), F.col("o_orderkey").cast("string"))
+    cells = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), note)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", cells.alias("c")))), lambda s: s["c"])
-    made = table(spark, folder, "orders").groupBy((F.col("o_custkey") % 50).alias("element_id")).agg(rows.alias("rows"))
-    headers = F.array(*map(F.lit, ("Order", "Status", "Priority", "Date")))
+    made = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("element_id")).agg(rows.alias("rows"))
+    headers = F.array(*map(F.lit, ("Order", "Status", "Priority", "Date", "Note")))
     return tables.split_tables(made.select("element_id", F.col("element_id").cast("double").alias("sequence"), T.markdown_table(headers, F.col("rows")).alias("table_markdown"), F.lit(None).cast("string").alias("table_html")))

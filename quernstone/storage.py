@@ -38,3 +38,25 @@ def numbered(rows: DataFrame, order: Column, name: str, first: int = 0) -> DataF
     sizes = pinned.groupBy("quern_part").agg(F.max("quern_nth").alias("n"))
     before = sizes.withColumn("quern_before", F.sum("n").over(Window.orderBy("quern_part")) - F.col("n")).drop("n")
     return pinned.join(F.broadcast(before), "quern_part").withColumn(name, F.col("quern_nth") + F.col("quern_before") + (first - 1)).drop("quern_part", "quern_nth", "quern_before")
+
+
+def running(rows: DataFrame, by: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums (of whole numbers) in the order of each group, of which none need fit a task.
+
+    Rows are dealt to ranges of (group, order) and summed there, pinned as in ``numbered``. Only the group that a range begins with may have begun
+    before, so what is carried from range to range is a row a range at most. ``order`` must be unique in a group, else ties are in any order.
+    """
+    checkpoint_folder(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumns({f"quern_{c}": x.cast("long") for c, x in sums.items()}).repartitionByRange(n, *by, order).withColumn("quern_part", F.spark_partition_id())
+    inside = Window.partitionBy("quern_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pinned = ranged.select(*rows.columns, "quern_part", *[F.sum(f"quern_{c}").over(inside).alias(c) for c in sums], *[f"quern_{c}" for c in sums]).checkpoint()
+    totals = pinned.groupBy("quern_part", *by).agg(*[F.sum(f"quern_{c}").alias(f"quern_{c}") for c in sums])
+    earlier = Window.partitionBy(*by).orderBy("quern_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range of the group
+    carried = totals.select(F.col("quern_part").alias("quern_p"), *[F.col(c).alias(f"quern_by{i}") for i, c in enumerate(by)], *[F.sum(f"quern_{c}").over(earlier).alias(f"quern_before_{c}") for c in sums])
+    first = next(iter(sums))
+    carried = carried.where(F.col(f"quern_before_{first}").isNotNull())
+    same = F.col("quern_part") == F.col("quern_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"quern_by{i}"))
+    return pinned.join(F.broadcast(carried), same, "left").select(*rows.columns, *[(F.col(c) + F.coalesce(f"quern_before_{c}", F.lit(0))).alias(c) for c in sums])

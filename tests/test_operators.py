@@ -260,3 +260,19 @@ def test_status_follows_the_children(spark):
     children = spark.createDataFrame([(2, True), (2, False), (3, False), (3, None), (4, False)], "id int, waits boolean")
     got = {r["id"]: r["status"] for r in indexing.document_status(docs, children, "id", F.col("waits")).collect()}
     assert got == {1: "parsed", 2: "chunked", 3: "indexed", 4: "failed", None: "parsed"}
+
+
+def test_running_sums_of_groups_of_any_size(spark):
+    from quernstone.storage import running
+
+    r = random.Random(6)
+    rows = [(r.choice([None, "hot", "hot", "hot", "a", "b"]), i, r.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, n int").repartition(7)
+    got = {(x["g"], x["i"]): (x["s"], x["nth"]) for x in running(df, ["g"], "i", {"s": F.col("n"), "nth": F.lit(1)}).collect()}
+    want, sums = {}, defaultdict(lambda: (0, 0))
+    for g, i, n in rows:
+        want[g, i] = sums[g] = (sums[g][0] + n, sums[g][1] + 1)
+    assert got == want
+    kept = fusion.prefix_within(df, F.col("n"), 20, "g", order="i", most_rows=5).collect()
+    assert {(x["g"], x["i"]) for x in kept} == {k for k, (s, nth) in want.items() if nth <= 5 and (nth == 1 or s <= 20)}
+    assert running(df.limit(0), ["g"], "i", {"s": F.col("n")}).count() == 0
