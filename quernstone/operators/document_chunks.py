@@ -303,3 +303,26 @@ def finished(parents: DataFrame, children: DataFrame, pictures: DataFrame) -> Ch
     }).drop("quern_parents").checkpoint()
     with_count = parents.join(merged.groupBy("parent_id").agg(F.count("*").alias("child_count")), "parent_id")
     return Chunks(with_count.drop("quern_url", "quern_path", "first_at", "first_id"), merged)
+
+
+def category_chunks(elements: DataFrame) -> Chunks:
+    """Survey elements (see ``normalize.from_categories``), which are chunks already: a child each, and a parent for each profile that lists its categories.
+
+    The table of a child is left out of what is embedded, since its text says the same.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("sequence", "element_id", "section_title")))
+    made = elements.groupBy("profile_id", "facility_id").agg(
+        listed.alias("held"), *[F.min_by(c, F.struct("sequence", "element_id")).alias(c) for c in ("document_id", "domain", "source_name", "hospital_name", "state")], F.count("*").alias("child_count")
+    )
+    line = lambda label, c: F.concat(F.lit(label), F.coalesce(F.col(c), F.lit("None")))
+    text = F.concat_ws("\n", line("Hospital: ", "hospital_name"), line("Facility ID: ", "facility_id"), line("State: ", "state"), F.concat(F.lit("Available categories: "), F.array_join(F.transform("held", lambda h: h["section_title"]), ", ")))
+    parents = made.select(
+        F.col("profile_id").alias("parent_id"), "document_id", "domain", F.lit("csv").alias("source_type"), "source_name", F.col("hospital_name").alias("section_title"), F.array("hospital_name").alias("section_path"), F.lit(1).alias("part_number"),
+        text.alias("parent_text"), T.token_count(text).alias("token_count"), F.transform("held", lambda h: h["element_id"]).alias("element_ids"), "facility_id", "child_count",
+    )
+    shown = T.retrieval_text(F.col("domain"), F.col("source_name"), F.col("section_title"), F.col("text"), F.col("table_markdown"), F.lit(True))
+    children = elements.select(
+        F.col("element_id").alias("chunk_id"), F.lit("hospital_category_doc").alias("retrieval_type"), F.col("profile_id").alias("parent_id"), "document_id", "domain", F.lit("csv").alias("source_type"), "source_name", "section_title", "section_path", "source_row_numbers",
+        F.array(F.lit("text"), F.lit("table")).alias("modalities"), F.col("text").alias("text_content"), "table_markdown", F.array("element_id").alias("element_ids"), shown.alias("retrieval_text"), T.token_count(shown).alias("token_count"), "facility_id",
+    )
+    return Chunks(parents, children)
