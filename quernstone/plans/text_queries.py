@@ -8,7 +8,8 @@ from pyspark.sql.types import StructType
 
 from quernstone.functions import ids
 from quernstone.functions import text as T
-from quernstone.operators import chunking, document_chunks as documents, elements, quality, tables
+from quernstone.operators import chunking, elements, normalize, quality, tables
+from quernstone.operators import document_chunks as documents
 from quernstone.plans.registry import CLEAN, COUNT, TERMS, TOKENS, UUID5, query
 from quernstone.sources.tables import table
 
@@ -174,9 +175,11 @@ SELECT conv_id::VARCHAR AS document_id, {UUID5.format("own.parent_id || ':' || o
 FROM merged"""
 
 
-@query(_CHUNKS)
-def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Parents and children of conversations: turns are elements, system turns are tables, four turns are a section."""
+_LIMITS = documents.Limits(300, 200, 150)
+
+
+def _talk(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements of conversations: turns are elements, system turns are tables, four turns are a section."""
     names = ["element_id", "document_id", "sequence", "section_path", "element_type", "text", "table_markdown", "page_number"]
     turn, is_table = F.col("turn"), F.col("role") == "system"
     values = [
@@ -184,9 +187,13 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     ]
     fixed = {"domain": F.lit("talk"), "source_type": F.lit("table"), "source_name": F.lit("table")}
     made = dict(zip(names, values, strict=True)) | fixed
-    kinds = _fields(documents.ELEMENT)
-    rows = table(spark, folder, "conversations").select(*[(made[n] if n in made else F.lit(None)).cast(kind).alias(n) for n, kind in kinds])
-    parents, children = documents.build(rows, documents.Limits(300, 200, 150), split=False)
+    return table(spark, folder, "conversations").select(*[(made[n] if n in made else F.lit(None)).cast(kind).alias(n) for n, kind in _fields(documents.ELEMENT)])
+
+
+@query(_CHUNKS)
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Parents and children of conversations."""
+    parents, children = documents.build(_talk(spark, folder), _LIMITS, split=False)
     rows = children.join(parents.select("parent_id", F.col("token_count").alias("parent_tokens"), "child_count"), "parent_id")
     return rows.select(
         "document_id", "chunk_id", "parent_id", "section_title", "part_number", "child_index", "page_numbers", "element_ids", "modalities", "duplicate_occurrences", F.size("alternate_parent_ids").alias("alternates"),
@@ -194,6 +201,59 @@ def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_REPORT = _CHUNKS[: _CHUNKS.rindex("SELECT conv_id::VARCHAR AS document_id")].rstrip() + f""", kept AS (
+  SELECT conv_id, own.parent_id AS parent_id, coalesce(own.grid, '') <> '' AS has_table, {COUNT.format('own.whole')} AS n FROM merged
+), own AS (
+  SELECT conv_id, count(*) AS children, count(*) FILTER (WHERE has_table) AS table_chunks, count(*) FILTER (WHERE n > 100 AND NOT has_table) AS oversized_non_table, count(*) FILTER (WHERE n > 100 AND has_table) AS oversized_table,
+         min(n) AS child_least, round(avg(n), 6) AS child_mean, list_sort(list(n))[round_even((count(*) - 1) * 0.95::DOUBLE, 0)::INT + 1] AS child_p95, max(n) AS child_most FROM kept GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, count(*) AS parents, count(*) FILTER (WHERE parent_id NOT IN (SELECT parent_id FROM kept)) AS parents_without_children, max(parent_tokens) AS parent_most FROM parents GROUP BY conv_id
+)
+SELECT conv_id::VARCHAR AS document_id, parents, parents_without_children, parent_most, children, table_chunks, oversized_non_table, oversized_table, child_least, child_mean, child_p95, child_most FROM whole JOIN own USING (conv_id)"""
+
+
+@query(_REPORT)
+def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality report on the chunks of conversations."""
+    rows = _talk(spark, folder)
+    children = documents.build(rows, _LIMITS, split=False).children
+    everyone = documents.parents_of(documents.placed(rows.withColumn("split", F.lit(None).cast("struct<original_element_id:string,part:int,count:int,strategy:string,row_start:int,row_end:int>")), _LIMITS))
+    made = quality.chunk_report(everyone, children, child_most=100)
+    return made.select(
+        "document_id", "parents", "parents_without_children", "parent_most", "children", "table_chunks", "oversized_non_table", "oversized_table", "child_least", F.round("child_mean", 6).alias("child_mean"), "child_p95", "child_most",
+    )
+
+
+_TURN_KIND = "CASE WHEN role = 'system' OR turn % 6 = 0 THEN 'heading' WHEN turn % 5 = 0 THEN 'table' WHEN turn % 7 = 3 THEN 'footer' ELSE 'text' END"
+
+
+@query(f"""WITH items AS (
+  SELECT conv_id, turn, turn // 3 AS page, {_TURN_KIND} AS kind, {CLEAN.format('text')} AS text, text AS md, turn % 3 + 1 AS level, (turn * 7 % 5)::DOUBLE AS y FROM conversations
+), kept AS (
+  SELECT *, row_number() OVER w AS sequence, last_value(CASE WHEN kind = 'heading' AND level <= 1 THEN {{'l': level, 't': text}} END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN kind = 'heading' AND level <= 2 THEN {{'l': level, 't': text}} END IGNORE NULLS) OVER w AS b,
+         last_value(CASE WHEN kind = 'heading' AND level <= 3 THEN {{'l': level, 't': text}} END IGNORE NULLS) OVER w AS c
+  FROM items WHERE kind <> 'footer' AND text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY page, y, turn ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id::VARCHAR AS document_id, {UUID5.format("conv_id || ':' || page || ':' || sequence || ':' || kind")} AS element_id, page::INT AS page_number, sequence::DOUBLE AS sequence, kind AS element_type, text, CASE WHEN kind = 'table' THEN md END AS table_markdown,
+       list_filter([CASE WHEN a.l = 1 THEN a.t END, CASE WHEN b.l = 2 THEN b.t END, CASE WHEN c.l = 3 THEN c.t END], lambda x: x IS NOT NULL) AS section_path,
+       (SELECT count(*) FROM items i WHERE i.conv_id = kept.conv_id AND i.kind = 'footer') AS footers, count(*) OVER (PARTITION BY conv_id, kind) AS of_its_kind
+FROM kept""")
+def page_elements(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements of parsed pages: conversations as the JSON of a parser, three turns a page."""
+    kind = F.when((F.col("role") == "system") | (F.col("turn") % 6 == 0), "heading").when(F.col("turn") % 5 == 0, "table").when(F.col("turn") % 7 == 3, "footer").otherwise("text")
+    item = F.struct(kind.alias("type"), F.col("text").alias("md"), (F.col("turn") % 3 + 1).alias("level"), F.struct((F.col("turn") * 7 % 5).cast("double").alias("y")).alias("bbox"))
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda s: s["v"])
+    turns = table(spark, folder, "conversations").withColumn("page_number", F.floor(F.col("turn") / 3).cast("int"))
+    pages = turns.groupBy("conv_id", "page_number").agg(in_order("turn", item).alias("items"))
+    parsed = pages.groupBy("conv_id").agg(F.to_json(F.struct(in_order("page_number", F.struct("page_number", "items")).alias("pages"))).alias("parsed"))
+    made = normalize.from_pages(parsed.select(F.col("conv_id").cast("string").alias("document_id"), F.lit("talk").alias("domain"), F.lit("table").alias("source_name"), "parsed"))
+    rows = made.elements.join(made.counts, "document_id")
+    return rows.select(
+        "document_id", "element_id", "page_number", "sequence", "element_type", "text", "table_markdown", "section_path", F.coalesce(F.try_element_at("ignored_counts", F.lit("footer")), F.lit(0)).alias("footers"),
+        F.try_element_at("element_counts", F.col("element_type")).alias("of_its_kind"),
+    )
+
+
 @query("""
 SELECT doc_id, sha256(concat_ws(chr(10), 'Domain: ' || lang, 'Source: ' || source, CASE WHEN doc_id % 3 <> 0 THEN 'Section: part ' || doc_id % 3 END, chr(10) || text,
        CASE WHEN doc_id % 2 = 0 THEN chr(10) || '| a |' END)) AS digest FROM documents""")
