@@ -196,14 +196,23 @@ def links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE) -> DataFrame
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 
 
+#: Nodes of a graph with so large a share of its links that they are joined by broadcast are fewer than this.
+HUBS = 4096
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the component's smallest node.
 
     Alternates large-star and small-star steps until nothing moves; the links then form
-    stars. Each step is an aggregation, combined before its shuffle, and a join. All links of one node share the join's key:
-    a node with very many links relies on adaptive execution to split its partition.
+    stars. Each step is an aggregation, combined before its shuffle, and a join. Nodes with more than 1/HUBS of all ends of links are fewer than HUBS and
+    are joined by broadcast, so that the links of one node are never one task's.
     """
 
+    def with_least(links: DataFrame, least: DataFrame, most: int) -> DataFrame:
+        hubs = least.where(F.col("n") > most)
+        others = links.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") <= most), "a")
+        return links.join(F.broadcast(hubs), "a").unionByName(others).drop("n")
+
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -211,11 +220,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        most = 2 * now[0] // HUBS
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both, least, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = materialize(large, "star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_least(large, least, most).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct()
         before, edges = edges, materialize(small, "star")
         release(before)
