@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -248,12 +249,33 @@ def is_noise_image(url: Column, alt: Column, title: Column) -> Column:
     return F.lower(F.concat_ws(" ", url, alt, title)).rlike("|".join(NOISE_IMAGE))
 
 
-#: A rule table for table-like passages: any pattern says that a text stands for a table or figure.
-TABLE_SIGNALS = (r"(?i)(table|figure)\s+\d+", r"(?i)\bn\s*=\s*\d+")
+@dataclass(frozen=True)
+class SignalRule:
+    """A passage of a source stands for a table if it has any of the terms, the pattern, and a word so often."""
 
+    source: str
+    name: str
+    terms: tuple[str, ...]
+    pattern: str
+    word: str = ""
+    times: int = 0
 
-def table_signal(text: Column, patterns: tuple[str, ...] = TABLE_SIGNALS) -> Column:
-    found = F.lit(False)
-    for p in patterns:
-        found = found | F.coalesce(text, F.lit("")).rlike(p)
-    return found
+    def holds(self, source: Column, text: Column) -> Column:
+        lower = F.lower(text)
+        often = F.size(F.split(lower, re.escape(self.word))) > self.times if self.word else F.lit(True)
+        return (source == self.source) & lower.rlike("|".join(map(re.escape, self.terms))) & text.rlike(self.pattern) & often
+
+
+#: The source with such passages, what they speak of, and the names of the two rules.
+LABEL = "dailymed_ozempic_prescribing_label"
+LABEL_TERMS = ("ozempic", "semaglutide", "placebo", "hba", "plasma glucose", "sitagliptin", "baseline", "end-of-treatment", "randomization", "week 30", "week 56")
+SIGNALS = (
+    SignalRule(LABEL, "dailymed_clinical_table_or_figure_text", LABEL_TERMS, r"(?i)\b(table|figure)\s+\d+\b"),
+    SignalRule(LABEL, "dailymed_treatment_group_count_text", LABEL_TERMS, r"(?i)\bn\s*=\s*\d+", "ozempic", 2),
+)
+
+
+def table_signal(source: Column, text: Column, rules: tuple[SignalRule, ...] = SIGNALS) -> Column:
+    """The name of the first rule by which a passage stands for a table; null if none does."""
+    clean = clean_text(text)
+    return F.coalesce(*[F.when(F.coalesce(rule.holds(source, clean), F.lit(False)), rule.name) for rule in rules])

@@ -85,7 +85,11 @@ def made_of_words(run: str, path: str, ratio: float = RATIO, word_ratio: float =
 
 
 def random_spans(text: str, path: str, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Runs of key characters that cost many tokens and are not made of words. Needs a letter."""
+    """Runs of key characters that cost many tokens and are not made of words.
+
+    Left out: runs without a letter, digests and UUIDs, runs of fewer than eight different characters (rules, repeated groups), and runs ``made_of_words``: whose
+    pieces are all of two letters and more, none behind a leading digit or beside five digits in a row. About three in ten random strings of 20 small letters are taken for words.
+    """
     found = []
     for m in _RUN.finditer(text):
         run = m[0]

@@ -276,6 +276,11 @@ def finished(parents: DataFrame, children: DataFrame, pictures: DataFrame) -> Ch
     rows = children.join(per, "child_id", "left").withColumn("quern_images", F.coalesce("quern_images", F.array().cast(per.schema["quern_images"].dataType)))
     of = parents.select("parent_id", "document_id", "domain", "source_type", "source_name", "section_title", "section_path", "part_number", "first_at", "first_id")
     rows = rows.join(of, "parent_id")
+    # a passage that stands for a table, without one, gets one of its own
+    bare = F.coalesce(F.nullif("table_markdown", F.lit("")), F.nullif("table_html", F.lit(""))).isNull()
+    rows = rows.withColumn("quern_signal", F.when(bare, T.table_signal(F.col("source_name"), F.col("text_content"))))
+    rows = rows.withColumn("quern_rescued", tables.rescued_table(F.col("quern_signal"), F.col("text_content")))
+    rows = rows.withColumns({"table_markdown": F.coalesce("quern_rescued.markdown", "table_markdown"), "table_html": F.coalesce("quern_rescued.html", "table_html")})
     has_table = F.coalesce(F.nullif("table_markdown", F.lit("")), F.nullif("table_html", F.lit(""))).isNotNull()
     retrieval = T.retrieval_text(F.col("domain"), F.col("source_name"), F.col("section_title"), F.col("text_content"), F.col("table_markdown"))
     kinds = [F.when(F.col("text_content") != "", "text"), F.when(has_table, "table"), F.when(F.size("quern_images") > 0, "image")]
@@ -285,7 +290,7 @@ def finished(parents: DataFrame, children: DataFrame, pictures: DataFrame) -> Ch
         F.array_compact(F.array(*kinds)).alias("modalities"), "text_content", "table_markdown", "table_html", F.array_distinct(F.transform("quern_images", lambda i: i["seen"]["image_path"])).alias("image_paths"),
         F.array_union("element_ids", F.transform("quern_images", lambda i: i["element_id"])).alias("element_ids"), retrieval.alias("retrieval_text"), T.token_count(retrieval).alias("token_count"),
         F.struct(
-            F.coalesce(has_table & F.col("split").isNull(), F.lit(False)).alias("table_kept_intact"), F.col("split").alias("table_split"), "matched_table_chunk_id", "element_positions",
+            F.coalesce(has_table & F.col("split").isNull() & F.col("quern_signal").isNull(), F.lit(False)).alias("table_kept_intact"), F.col("quern_signal").alias("table_rescue_strategy"), F.col("split").alias("table_split"), "matched_table_chunk_id", "element_positions",
             F.transform("quern_images", lambda i: i["seen"]).alias("image_context"),
         ).alias("metadata"),
     )

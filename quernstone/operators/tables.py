@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.functions.text import _SPACES, _TOKEN, PIECE_MAX, TOKEN_FACTOR, count_tokens, split_text
+from quernstone.functions.text import _SPACES, _TOKEN, PIECE_MAX, TOKEN_FACTOR, count_tokens, escape_html, one_column_table, split_text
 from quernstone.sources.html import markdown_rows
 
 #: Limit of a part, slack before the next strategy is tried, room kept for a row's label and a last-resort table.
@@ -194,6 +194,18 @@ def split_table(markdown: str | None, table_html: str | None) -> list[dict]:
     return next(good, None) or _segments(text)
 
 
+#: Fixed value: tokens of the excerpt that stands in a rescued table.
+RESCUED = 140
+
+
+def rescued_table(signal: Column, text: Column) -> Column:
+    """STRUCT<markdown, html> with an excerpt of the text in one column, where there is a signal (see ``text.table_signal``); null elsewhere."""
+    excerpt = clip_text(F.when(signal.isNotNull(), text), RESCUED)
+    html = F.concat(F.lit("<table><thead><tr><th>Table segment</th></tr></thead><tbody><tr><td>"), escape_html(excerpt), F.lit("</td></tr></tbody></table>"))
+    made = F.struct(one_column_table(excerpt).alias("markdown"), html.alias("html"))
+    return F.when(signal.isNotNull(), made)
+
+
 def table_parts(rows: DataFrame, markdown: str, table_html: str) -> DataFrame:
     """All columns of rows for each part of their table: part from 1, parts, and p with the fields of PART. Small tables are one part."""
     fields = "array<struct<markdown:string,html:string,row_start:int,row_end:int,strategy:string>>"

@@ -117,3 +117,12 @@ def test_empty_and_bare_documents(spark):
     assert chunks(spark, [element("h", 1, "heading", text="Only")]) == ([], [])
     parents, children = chunks(spark, [element("e", 1, text=None), element("f", 2, text="x", element_type=None)])
     assert [c["text_content"] for c in children] == ["x"] and parents[0]["element_ids"] == ["e", "f"]
+
+
+def test_a_passage_that_stands_for_a_table_gets_one(spark):
+    label = {"source_name": "dailymed_ozempic_prescribing_label"}
+    _, children = chunks(spark, [element("a", 1, text="Ozempic | placebo, see Table 2") | label, element("t", 2, "table", table_markdown=TABLE.format("Table 2 ozempic", 1)) | label, element("b", 3, text="Nothing of the kind.") | label])
+    first, table, last = children
+    assert first["modalities"] == ["text", "table"] and first["table_markdown"].splitlines()[2] == r"| Ozempic \| placebo, see Table 2 |" and first["table_html"].startswith("<table>")
+    assert first["metadata"]["table_rescue_strategy"] == "dailymed_clinical_table_or_figure_text" and not first["metadata"]["table_kept_intact"]
+    assert table["metadata"]["table_kept_intact"] and table["metadata"]["table_rescue_strategy"] is None and last["modalities"] == ["text"]

@@ -66,7 +66,9 @@ def test_names_and_labels(spark):
     text = T.retrieval_text(F.lit("d"), F.lit("s"), F.lit(None), F.lit("t"), F.lit("x"), F.lit(True))
     assert one(spark, text) == "Domain: d\nSource: s\n\nt"
     assert one(spark, T.is_noise_image(F.lit("http://x/Logo.png"), F.lit(None), F.lit(None))) and one(spark, T.is_navigation(F.lit("Skip to main content")))
-    assert one(spark, T.table_signal(F.col("t")), t="see Table 3") and not one(spark, T.table_signal(F.col("t")), t="tables")
+    signal = lambda text, source=T.LABEL: one(spark, T.table_signal(F.lit(source), F.col("t")), t=text)
+    assert signal("Ozempic, see  TABLE 3.") == "dailymed_clinical_table_or_figure_text" and signal("see Table 3") is None and signal("Ozempic tables 3") is None
+    assert signal("N = 30 ozempic and OZEMPIC") == "dailymed_treatment_group_count_text" and signal("N = 30 ozempic") is None and signal("Ozempic, see Table 3", "other") is None and one(spark, T.table_signal(F.lit(T.LABEL), F.lit(None).cast("string")), t="x") is None
 
 
 def test_overlap(spark):
