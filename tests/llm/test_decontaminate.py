@@ -143,3 +143,36 @@ def test_recall_at_080_and_090(spark):
     recall = [sum(f) / len(f) for f in found]
     print("recall at 0.8 and 0.9:", recall)
     assert recall[0] >= 0.99 and recall[1] == 1
+
+
+BIG = """
+import random, sys
+sys.path.insert(0, {repo!r})
+from quernstone.llm.decontaminate import find_leaks
+from quernstone.session import local_session
+
+spark = local_session(4, memory="1500m", **{{"spark.sql.shuffle.partitions": "8"}})
+r = random.Random(3)
+vocabulary = [f"w{{i}}" for i in range(5000)]
+items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(20_000)]
+docs, want = [], set()
+for d in range(70):
+    body = r.choices(vocabulary, k=100)
+    if d % 2:
+        i = r.randrange(len(items))
+        body[50:50] = items[i][1].split()
+        want.add((d, i))
+    docs.append((d, " ".join(body)))
+found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+assert {{(x.doc_id, x.item_id) for x in found.collect()}} == want and len(want) == 35
+"""
+
+
+def test_a_benchmark_of_many_items_in_a_small_heap():
+    """Its index has 36 million slots: no table of that size may be broadcast. The heap is that of the driver and of all tasks."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", BIG.format(repo=repo)], check=True, timeout=900, capture_output=True)
