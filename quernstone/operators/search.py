@@ -23,6 +23,8 @@ from quernstone.storage import checkpoint_folder
 DIGITS = 6
 #: Queries that a task holds, that it scores at once, and products of terms that it adds at once.
 WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
+#: Numbers or terms of a wave's queries, which the driver reads and every task holds. A wave holds whole queries.
+WAVE_ENTRIES = 1 << 22
 _OUT = "query_id long, id long, score double"
 
 #: From a batch of rows: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
@@ -57,8 +59,12 @@ def top_of(scorer: Scorer, queries: np.ndarray, k: int):
 
 
 def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table], Scorer], wave: int) -> DataFrame:
-    """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id."""
-    waves = max(1, -(-queries.count() // wave))
+    """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id, the second a list.
+
+    A wave is about ``wave`` queries, fewer if their lists are long.
+    """
+    n, entries = queries.agg(F.count("*"), F.sum(F.size(queries.columns[1]).cast("long"))).first()
+    waves = max(1, -(-n // wave), -(-(entries or 0) // WAVE_ENTRIES))
     if waves > 1:
         checkpoint_folder(rows.sparkSession)
         queries, rows = queries.checkpoint(), rows.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import fusion, postings, search, vector_index
 from quernstone.plans.registry import COUNT, TERMS, query
+from quernstone.plans.retrieve import retrieve
 from quernstone.sources.tables import table
 from quernstone.storage import new_folder
 
@@ -233,3 +234,19 @@ def hybrid_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     kept = fusion.within_budget(blocks, F.col("n"), fusion.CONTEXT, "query_id", order="parent_rank")
     label = F.concat(F.lit("["), "parent_rank", F.lit("] parent "), "parent_id")
     return kept.select("query_id", "parent_id", "child_ids", "best_score", "parent_rank", "used", label.alias("label"))
+
+
+@query(f"""WITH {_DENSE.replace('FILTER_', '')}, {_SPARSE}, {_FUSED}, {_KEPT}, {_PARENTS},
+texts AS (SELECT doc_id // 5 AS parent_id, arg_min(text, doc_id) AS text FROM documents GROUP BY 1),
+pairs AS (SELECT p.query_id, p.parent_id, p.child_ids, p.best_score, list_distinct({TERMS.format('q.text')}) AS a, list_distinct({TERMS.format('t.text')}) AS b FROM parents p JOIN texts t USING (parent_id) JOIN documents q ON q.doc_id = p.query_id),
+scored AS (SELECT query_id, parent_id, child_ids, best_score, CASE WHEN least(len(a), len(b)) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS relevance FROM pairs)
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, parent_id))::INT AS rank FROM scored QUALIFY rank <= 8""")
+def retrieved_parents(spark: SparkSession, folder: str) -> DataFrame:
+    """``plans.retrieve`` for a query set: both searches, fusion, parents with their best children, and the rerank of their texts."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    chunks = docs.select("id", "source").join(vectors, "id", "full").join(weighted(spark, folder, DOC_TERMS), "id", "left").withColumn("parent_id", F.floor(F.col("id") / 5))
+    asked = docs.where(F.col("id") % EVERY == 0).select("id", "text").join(vectors.where(F.col("id") % EVERY == 0), "id", "full")
+    queries = asked.join(weighted(spark, folder, QUERY_TERMS, True), "id", "left").withColumnRenamed("id", "query_id")
+    parents = docs.groupBy(F.floor(F.col("id") / 5).alias("parent_id")).agg(F.min_by("text", "id").alias("text"))
+    return retrieve(queries, chunks, parents)
