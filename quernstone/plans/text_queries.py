@@ -336,7 +336,23 @@ def corpus_totals(spark: SparkSession, folder: str) -> DataFrame:
     return _report(table(spark, folder, "documents"), [])
 
 
-@query()
+_SIDE = "share + (less <= {0} AND {0} < extra)::INT - (greatest(0, less - extra) + 2 - {0}) // 3"
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, {CLEAN.format('text')} AS w FROM documents), tok AS (SELECT doc_id, w, {TOKENS.format('w')} AS t FROM docs),
+room AS (SELECT greatest(3, floor(150 / 1.1::DOUBLE)::INT - len({TOKENS.format("' ... [middle excerpt] ...  ... [ending excerpt] ... '")})) AS room),
+sides AS (
+  SELECT less, {_SIDE.format(0)} AS head, {_SIDE.format(1)} AS middle, {_SIDE.format(2)} AS tail FROM (SELECT room, room // 3 AS share, room % 3 AS extra, unnest(range(room - 3)) AS less FROM room)
+), tries AS (
+  SELECT doc_id, less, t[1 : head] AS a, t[greatest(head, (len(t) - middle) // 2) + 1 : greatest(head, (len(t) - middle) // 2) + middle] AS b,
+         t[greatest(greatest(head, (len(t) - middle) // 2) + middle, len(t) - tail) + 1 :] AS c
+  FROM tok, sides WHERE ceil(len(t) * 1.1::DOUBLE) > 150
+), made AS (
+  SELECT doc_id, less, {CLEAN.format("array_to_string(a, '') || ' ... [middle excerpt] ... ' || array_to_string(b, '') || ' ... [ending excerpt] ... ' || array_to_string(c, '')")} AS excerpt FROM tries
+), best AS (SELECT doc_id, arg_min(excerpt, less) AS excerpt FROM made WHERE {COUNT.format('excerpt')} <= 150 GROUP BY doc_id)
+SELECT doc_id, excerpt, {COUNT.format('excerpt')} AS n_tokens FROM (
+  SELECT doc_id, w AS excerpt FROM tok WHERE ceil(len(t) * 1.1::DOUBLE) <= 150 UNION ALL SELECT doc_id, excerpt FROM best)""")
 def clip_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     """Excerpts within a limit: head, middle and tail."""
     docs = table(spark, folder, "documents").select("doc_id", tables.clip_text(F.col("text"), 150).alias("excerpt"))
