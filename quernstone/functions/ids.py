@@ -63,3 +63,9 @@ def parser_version(parser: str, packages: dict[str, str] | None = None) -> str |
         return metadata.version((packages or PARSER_PACKAGES).get(parser, parser))
     except metadata.PackageNotFoundError:
         return None
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below a root without it, with forward slashes; null for a path outside."""
+    clean, base = F.replace(path, F.lit("\\"), F.lit("/")), root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(F.startswith(clean, F.lit(base)), F.substring(clean, len(base) + 1, 1 << 30))

@@ -107,3 +107,8 @@ def document_status(documents: DataFrame, children: DataFrame, key: str, pending
     reached = F.when(waits.isNull(), "parsed").when(waits > 0, "chunked").otherwise("indexed")
     status = F.when(F.col("status").isin("parsed", "chunked", "indexed"), reached).otherwise(F.col("status"))
     return joined.withColumn("status", status).drop("quern_key", "quern_pending")
+
+
+def current_ids(chunks: DataFrame) -> DataFrame:
+    """The distinct ids of chunks."""
+    return chunks.select("chunk_id").where(F.col("chunk_id").isNotNull()).distinct()

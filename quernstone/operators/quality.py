@@ -99,3 +99,8 @@ def chunk_report(parents: DataFrame, children: DataFrame, child_most: int = 700,
         out = out.join(part, "document_id", "left")
     numbers = [f.name for f in out.schema.fields if f.dataType.simpleString() == "bigint"]
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in numbers})
+
+
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first rows in an order, all if no number is given. Ties beyond the order are in any order, so it should be unique."""
+    return rows if most is None else rows.orderBy(order).limit(most)

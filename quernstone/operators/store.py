@@ -101,3 +101,17 @@ def fill_vectors(chunks: DataFrame, vectors: DataFrame, key: str, column: str) -
     """chunks with newly computed vectors; others keep theirs."""
     new = vectors.select(key, F.col(column).alias("quern_vector"))
     return chunks.join(new, key, "left").withColumn(column, F.coalesce("quern_vector", column)).drop("quern_vector")
+
+
+def append_records(records: DataFrame, columns: list[str], path: str, *by: str) -> None:
+    """Appends records as they are, without looking for their keys. Columns come in the order given; one that is missing is null, others are left out."""
+    known = {c.lower(): c for c in records.columns}
+    rows = records.select(*[F.col(f"`{known[c.lower()]}`").alias(c) if c.lower() in known else F.lit(None).cast("string").alias(c) for c in columns])
+    rows.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def upsert_stamped(old: DataFrame, new: DataFrame, key: list[str], keep: tuple[str, ...] = (), order: str | None = None, now: Column | None = None) -> DataFrame:
+    """An upsert of rows with created_at and updated_at: a row that is there keeps when it was made, rows that come are stamped with the time of the query."""
+    now = F.current_timestamp() if now is None else now
+    stamped = new.drop("created_at", "updated_at").withColumns({"created_at": now, "updated_at": now})
+    return upsert(old, stamped, key, (*keep, "created_at"), order)

@@ -126,3 +126,8 @@ def export_vectors(chunks: DataFrame, path: str, vector: str, dimension: int, or
 def ids_match(a: DataFrame, b: DataFrame, key: str) -> bool:
     """Both sides hold the same keys."""
     return not a.join(b, key, "left_anti").limit(1).count() and not b.join(a, key, "left_anti").limit(1).count()
+
+
+def kept_images(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The records of image manifests (JSON lines) whose decision is to keep; the filter is applied while lines are read."""
+    return read_jsonl(spark, path, schema).where(F.col("decision") == "keep")
