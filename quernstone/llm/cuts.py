@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 #: What a byte is: part of a word, between two words, or between two pieces.
 WORD, BLANK, BREAK = 0, 1, 2
 #: Bytes of text that are cut at a time; a longer text is cut by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32

@@ -31,7 +31,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CLASSES = byte_classes(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 TOP = 50
 #: Documents of a shard (they are numbered in two bytes), and terms with repeats after which a shard is closed.
-SHARD_DOCS, SHARD_TERMS = 1 << 16, 1 << 22
+SHARD_DOCS, SHARD_TERMS = 1 << 16, 1 << 21
 #: Terms of all items of a wave, with repeats across items; they and their items are what a task is sent.
 WAVE_TERMS = 1 << 18
 #: One shard of so many goes first.
