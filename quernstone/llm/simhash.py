@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import fresh, map_arrow, materialize, release, row_hash, sized, small_batches
+from quernstone.llm.common import BROADCAST_ROWS, fresh, map_arrow, materialize, release, row_hash, sized, small_batches
 
 BITS = 64
 WORDS, RADIUS = 3, 3
@@ -204,11 +204,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link; root is the component's smallest node.
 
     Alternates large-star and small-star steps until nothing moves; the links then form
-    stars. Each step is an aggregation, combined before its shuffle, and a join. Nodes with more than 1/HUBS of all ends of links are fewer than HUBS and
-    are joined by broadcast, so that the links of one node are never one task's.
+    stars. Each step is an aggregation, combined before its shuffle, and a join. Few links are joined by broadcast; of many, the nodes with
+    more than 1/HUBS of all ends of links, which are fewer than HUBS, so that the links of one node are never one task's.
     """
 
-    def with_least(links: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    def with_least(links: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+        if ends <= BROADCAST_ROWS:  # there are no more nodes than ends of links
+            return links.join(F.broadcast(least), "a").drop("n")
+        most = ends // HUBS
         hubs = least.where(F.col("n") > most)
         others = links.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(F.col("n") <= most), "a")
         return links.join(F.broadcast(hubs), "a").unionByName(others).drop("n")
@@ -220,12 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = state(edges)
     while now[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        most = 2 * now[0] // HUBS
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = with_least(both, least, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = with_least(both, least, 2 * now[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = materialize(large, "star")
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = with_least(large, least, most).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        small = with_least(large, least, 2 * now[0]).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct()
         before, edges = edges, materialize(small, "star")
         release(before)

@@ -85,6 +85,23 @@ def test_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {105: 100, 100: 100}
 
 
+def test_components_of_graphs_with_hubs(spark, monkeypatch):
+    from quernstone.llm import simhash
+
+    r = random.Random(8)
+    edges = [(n, 0) for n in range(1, 400)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(40)] + [(5000 + n, 5001 + n) for n in range(20)] + [(399, 5003)]
+    edges = {(max(e), min(e)) for e in edges if e[0] != e[1]}
+    root = {n: n for e in edges for n in e}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(sorted(edges), "a long, b long").repartition(3)
+    for rows, hubs in ((0, 4), (0, 4096), (200_000, 4096)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(simhash, "HUBS", hubs)
+        assert {x["node"]: x["root"] for x in simhash.components(frame).collect()} == root
+
+
 def test_report_equals_brute_force(spark):
     r = random.Random(5)
     base = [r.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=300) for _ in range(6)]
