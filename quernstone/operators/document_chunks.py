@@ -35,6 +35,9 @@ UNSECTIONED = "Unsectioned"
 TABLE_CROP, CHART_CROP, CHART_SIDE = "layout table or form crop", "layout chart crop", 80
 #: Tokens of the text around an image, whole and on each side.
 CONTEXT_TOKENS, SIDE_TOKENS = 560, 250
+#: What a crop without a child says of itself: its file, section and page; and the lines of a survey's parent.
+CROP_NOTE, NO_PAGE = ("Visual table crop ", " from section ", " on ", ". Use the attached image as the table evidence."), "an unspecified page"
+PROFILE_LINES = ("Hospital: ", "Facility ID: ", "State: ", "Available categories: ")
 _SECTION = ["document_id", "quern_url", "quern_path"]
 
 
@@ -256,8 +259,9 @@ def build(elements: DataFrame, limits: Limits = Limits(), split: bool = True) ->
         (F.coalesce("table_markdown", "table_html", F.lit("")) != "").alias("is_table"), F.coalesce("n_images", F.lit(0)).alias("n_images"),
     )
     crops = attach.recovered_children(candidates, lost.select("document_id", "parent_id", F.col("element_id").alias("image_id"), F.col("page_number").alias("page"), "sequence"), by=["document_id"])
-    page = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("page "), F.col("page_number"))).otherwise("an unspecified page")
-    note = F.concat(F.lit("Visual table crop "), F.regexp_extract("image_path", r"[^/\\]*$", 0), F.lit(" from section "), "parent_title", F.lit(" on "), page, F.lit(". Use the attached image as the table evidence."))
+    page = F.when(F.col("page_number").isNotNull(), F.concat(F.lit("page "), F.col("page_number"))).otherwise(NO_PAGE)
+    crop, section, on, end = map(F.lit, CROP_NOTE)
+    note = F.concat(crop, F.regexp_extract("image_path", r"[^/\\]*$", 0), section, "parent_title", on, page, end)
     count_now = children.groupBy("parent_id").agg(F.count("*").alias("n_children"))
     kept = crops.select("parent_id", F.col("image_id").alias("element_id"), F.col("child_id").alias("named"), "matched_table", "method")
     lost = lost.join(kept, ["parent_id", "element_id"])
@@ -320,7 +324,8 @@ def category_chunks(elements: DataFrame) -> Chunks:
         listed.alias("held"), *[F.min_by(c, F.struct("sequence", "element_id")).alias(c) for c in ("document_id", "domain", "source_name", "hospital_name", "state")], F.count("*").alias("child_count")
     )
     line = lambda label, c: F.concat(F.lit(label), F.coalesce(F.col(c), F.lit("None")))
-    text = F.concat_ws("\n", line("Hospital: ", "hospital_name"), line("Facility ID: ", "facility_id"), line("State: ", "state"), F.concat(F.lit("Available categories: "), F.array_join(F.transform("held", lambda h: h["section_title"]), ", ")))
+    hospital, facility, state, categories = PROFILE_LINES
+    text = F.concat_ws("\n", line(hospital, "hospital_name"), line(facility, "facility_id"), line(state, "state"), F.concat(F.lit(categories), F.array_join(F.transform("held", lambda h: h["section_title"]), ", ")))
     parents = made.select(
         F.col("profile_id").alias("parent_id"), "document_id", "domain", F.lit("csv").alias("source_type"), "source_name", F.col("hospital_name").alias("section_title"), F.array("hospital_name").alias("section_path"), F.lit(1).alias("part_number"),
         text.alias("parent_text"), T.token_count(text).alias("token_count"), F.transform("held", lambda h: h["element_id"]).alias("element_ids"), "facility_id", "child_count",
