@@ -2,8 +2,8 @@
 
 All queries of a wave go to every task; a task scores its rows against them, a block of queries at a time, in
 numpy and passes on only its own k best for each query, so that the shuffle holds tasks x
-queries x k rows however large the table is. The rows are read once a wave of ``WAVE`` queries; for
-more than one wave, rows and queries are cut from their lineage first, so that no wave makes them anew.
+queries x k rows however large the table is, and far fewer after a sample of the rows has told what score a row must reach.
+The rows are read once a wave of ``WAVE`` queries; rows and queries are cut from their lineage first, so that nothing makes them anew.
 Scores are rounded to ``DIGITS`` and ties go to the smaller id, in the tasks as at the end: the result is the exact top-k.
 """
 
@@ -17,32 +17,53 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quernstone.storage import checkpoint_folder
+from quernstone.storage import pinned, small_batches
 
 DIGITS = 6
 #: Queries that a task holds, that it scores at once, and products of terms that it adds at once.
 WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
+#: A block of queries has so many terms at most in a dense matrix, those that at least this share of its queries have: most products are of few terms.
+HEAD, HEAD_SHARE = 256, 0.04
 #: Numbers or terms of a wave's queries, which the driver reads and every task holds. A wave holds whole queries.
 WAVE_ENTRIES = 1 << 22
+#: Of so many rows and more, one in ``LEAD`` (by a hash of the id) go first. Rows and bytes that a task scores at once.
+LEAD, LEAD_FROM = 16, 1 << 14
+GATHER_ROWS, GATHER_BYTES = 4096, 1 << 25
+#: The least score that is not 0.
+ABOVE_0 = np.nextafter(0, 1)
 _OUT = "query_id long, id long, score double"
 
 #: From a batch of rows: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
 Scorer = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]]
 
 
-def top_of(scorer: Scorer, queries: np.ndarray, k: int):
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches as larger ones: a query's best rows are looked through once a batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHER_ROWS or sum(b.nbytes for b in held) >= GATHER_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def top_of(scorer: Scorer, queries: np.ndarray, k: int, least: float = -np.inf, known: dict[int, float] | None = None):
+    """A task's k best rows of each query, of those whose score (before it is rounded) is ``least`` or more, and at least the query's ``known`` one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        floor = np.full(len(queries), -np.inf)  # the k-th best so far
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        floor = np.array([(known or {}).get(q, -np.inf) for q in queries.tolist()])  # the k-th best so far
+        for batch in gathered(batches):
             for ids, block, scores in scorer(batch):
-                scores = np.round(scores, DIGITS) + 0.0
-                good, places = scores >= floor[block, None], np.arange(len(queries))[block]
+                good, places = scores >= np.maximum(floor - 10.0**-DIGITS, least)[block, None], np.arange(len(queries))[block]
                 for at in np.flatnonzero(good.any(axis=1)).tolist():
-                    q, s, i = int(places[at]), scores[at, good[at]], ids[good[at]]
+                    hit = np.flatnonzero(good[at])
+                    q, s, i = int(places[at]), np.round(scores[at, hit], DIGITS) + 0.0, ids[hit]
                     if len(s) > 4 * k:
                         keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                         s, i = s[keep], i[keep]
@@ -51,30 +72,36 @@ def top_of(scorer: Scorer, queries: np.ndarray, k: int):
                     best = np.lexsort((i, -s))[:k]
                     held[q] = (s[best], i[best])
                     if len(best) == k:
-                        floor[q] = s[best[-1]]
+                        floor[q] = max(floor[q], s[best[-1]])
         for q, (s, i) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), queries[q], np.int64)), pa.array(i.astype(np.int64)), pa.array(s.astype(np.float64))], names=["query_id", "id", "score"])
 
     return run
 
 
-def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table], Scorer], wave: int) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table], Scorer], wave: int, least: float = -np.inf) -> DataFrame:
     """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id, the second a list.
 
-    A wave is about ``wave`` queries, fewer if their lists are long.
+    A wave is about ``wave`` queries, fewer if their lists are long. Of many rows, one in ``LEAD`` are searched first: the k-th best score there is what any other row must
+    reach, so that tasks neither look through nor pass on what is only the best of their own.
     """
+    queries, rows = pinned(queries, "queries"), pinned(rows, "rows")
     n, entries = queries.agg(F.count("*"), F.sum(F.size(queries.columns[1]).cast("long"))).first()
     waves = max(1, -(-n // wave), -(-(entries or 0) // WAVE_ENTRIES))
-    if waves > 1:
-        checkpoint_folder(rows.sparkSession)
-        queries, rows = queries.checkpoint(), rows.checkpoint()
+    lead = rows.where(F.pmod(F.xxhash64("id"), F.lit(LEAD)) == 0) if rows.count() >= LEAD_FROM else None
     parts = [rows.sparkSession.createDataFrame([], _OUT)]
     for n in range(waves):
         found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
         if found.num_rows:
-            parts.append(rows.mapInArrow(top_of(make(found), found.column(0).to_numpy(), k), _OUT))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return reduce(DataFrame.unionByName, parts[1:] or parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            scorer, own = make(found), found.column(0).to_numpy()
+            first = _best(lead.mapInArrow(top_of(scorer, own, k, least), _OUT), k).where(F.col("rank") == k).collect() if lead is not None else []  # a row a query of the wave
+            parts.append(rows.mapInArrow(top_of(scorer, own, k, least, {r["query_id"]: r["score"] for r in first}), _OUT))
+    return _best(reduce(DataFrame.unionByName, parts[1:] or parts), k)
 
 
 def unit(column: pa.ListArray, dimension: int | None = None) -> np.ndarray:
@@ -109,52 +136,109 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
     return _topk(vectors(queries, "query_id"), vectors(rows, "id"), k, make, wave)
 
 
+def _heaviest(most: int, names: list[str]):
+    """Batches of (id, terms) to (id, weights): see ``sparse_vectors``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            encoded = lists.flatten().dictionary_encode()
+            if not len(encoded):
+                continue
+            order = pc.sort_indices(encoded.dictionary)  # by bytes of UTF-8
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            pair, n = np.unique(row * len(order) + place[encoded.indices.to_numpy()], return_counts=True)
+            row = pair // len(order)
+            heavy = np.lexsort((pair, -n, row))
+            kept = np.sort(heavy[np.arange(len(row)) - np.searchsorted(row, row) < most])
+            ids, first = np.unique(row[kept], return_index=True)
+            terms = encoded.dictionary.take(order.take(pa.array(pair[kept] % len(order))))
+            weights = pa.MapArray.from_arrays(pa.array(np.append(first, len(kept)).astype(np.int32)), terms, pa.array(np.log(1.0 + n[kept])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), weights], names=names)
+
+    return run
+
+
 def sparse_vectors(texts: DataFrame, terms: Column, most: int) -> DataFrame:
     """(id, weights MAP<STRING, DOUBLE>): ln(1 + count) of the ``most`` heaviest terms; ties go to the smaller term.
 
-    texts: id, text; terms: a column expression ARRAY<STRING> of the text, repeats included. Texts move once, by id; their terms
-    are counted where they are.
+    texts: id, text; terms: a column expression ARRAY<STRING> of the text, repeats included. Terms are counted where they are found, in small batches;
+    only if an id has several texts, which count as one, are their terms brought together.
     """
-    counted = texts.repartition("id").select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    heaviest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "term"))), 1, most)
-    weights = F.transform(heaviest, lambda t: F.struct(t["term"].alias("term"), F.log1p(-t["n"].cast("double")).alias("w")))
-    return counted.groupBy("id").agg(F.map_from_entries(F.array_sort(weights)).alias("weights"))
-
-
-def _shared_terms(found: pa.Table, block: int) -> Callable[[np.ndarray, pa.Array, np.ndarray], Iterator[tuple[slice, slice, np.ndarray]]]:
-    """An inverted index of queries (query_id, terms, weights), which gives their inner products with rows in pieces."""
-    lists = found.column(1).chunk(0)
-    encoded = lists.flatten().dictionary_encode()
-    vocabulary, codes = encoded.dictionary, encoded.indices.to_numpy()
-    owner, weights = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()), found.column(2).chunk(0).flatten().to_numpy()
-    index = []
-    for lo in range(0, len(lists), block):
-        hi = min(lo + block, len(lists))
-        own = np.flatnonzero((owner >= lo) & (owner < hi))
-        own = own[np.argsort(codes[own], kind="stable")]
-        index.append((slice(lo, hi), np.searchsorted(codes[own], np.arange(len(vocabulary) + 1)).astype(np.int32), owner[own] - lo, weights[own]))
-
-    def products(ends: np.ndarray, terms: pa.Array, w: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
-        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]."""
-        code = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy()
+    small_batches(texts.sparkSession)
+    found = texts.select("id", terms.alias("terms"))
+    if texts.groupBy("id").count().where("count > 1").limit(1).count():
+        found = found.groupBy("id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    weights = T.StructField("weights", T.MapType(T.StringType(), T.DoubleType(), False))
+    return found.mapInArrow(_heaviest(most, ["id", "weights"]), T.StructType([found.schema["id"], weights]))
+
+
+class SharedTerms:
+    """A wave of queries (query_id, terms, weights), which gives their inner products with rows.
+
+    Queries with the same heaviest term lie together, so that blocks are much alike (of one language, say). What most queries of a block have is a dense matrix,
+    the rest an inverted index.
+    """
+
+    def __init__(self, found: pa.Table, block: int):
+        lists = found.column(1).chunk(0)
+        encoded = lists.flatten().dictionary_encode()
+        self.vocabulary, codes = encoded.dictionary, encoded.indices.to_numpy()
+        sizes, weights = lists.value_lengths().fill_null(0).to_numpy(), found.column(2).chunk(0).flatten().to_numpy()
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        by = np.lexsort((codes, -np.bincount(codes, minlength=len(self.vocabulary))[codes], -weights, owner))
+        heaviest = np.full(len(lists), -1)
+        heaviest[owner[by[::-1]]] = codes[by[::-1]]  # of an owner's entries the first in order is written last
+        order = np.argsort(heaviest, kind="stable")
+        place = np.argsort(order)[owner]
+        self.blocks = []
+        for lo in range(0, len(lists), block):
+            members = order[lo : lo + block]
+            own = np.flatnonzero((place >= lo) & (place < lo + block))
+            code, query, weight = codes[own], place[own] - lo, weights[own]
+            common = np.bincount(code, minlength=len(self.vocabulary))
+            head = np.argsort(-common, kind="stable")[:HEAD]
+            head = head[common[head] >= max(2, HEAD_SHARE * len(members))]
+            column = np.full(len(self.vocabulary), -1, np.int16)
+            column[head] = np.arange(len(head))
+            dense = np.zeros((len(members), len(head)))
+            is_head = column[code] >= 0
+            np.add.at(dense, (query[is_head], column[code[is_head]]), weight[is_head])
+            code, query, weight = code[~is_head], query[~is_head], weight[~is_head]
+            by = np.argsort(code, kind="stable")
+            self.blocks.append((members, dense, column, np.searchsorted(code[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32), query[by], weight[by]))
+
+    def codes(self, terms: pa.Array) -> np.ndarray:
+        """Numbers of terms, -1 for those of no query."""
+        return pc.index_in(terms, value_set=self.vocabulary).fill_null(-1).to_numpy()
+
+    def products(self, ends: np.ndarray, code: np.ndarray, w: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]. Blocks without a wanted query are left out."""
         row, hit = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.flatnonzero(code >= 0)
         code, row, w = code[hit], row[hit], w[hit]
-        for queries, first, query, weight in index:
-            n_queries = queries.stop - queries.start
-            lens = first[code + 1] - first[code]
-            upto = np.concatenate(([0], np.cumsum(np.bincount(row, lens, len(ends) - 1))))
+        for members, dense, column, first, query, weight in self.blocks:
+            if wanted is not None and not wanted[members].any():
+                continue
+            n_queries, width = dense.shape
+            lens, head = first[code + 1] - first[code], column[code]
+            rare, common = np.flatnonzero(lens), np.flatnonzero(head >= 0)
+            upto = np.concatenate(([0], np.cumsum(np.bincount(row[rare], lens[rare], len(ends) - 1))))
             lo = 0
             while lo < len(ends) - 1:
                 hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // n_queries), len(ends) - 1)
-                a, b = np.searchsorted(row, (lo, hi))
-                n, begin = lens[a:b], np.cumsum(lens[a:b]) - lens[a:b]
-                at = np.repeat(first[code[a:b]] - begin, n) + np.arange(n.sum())
-                cell = query[at] * (hi - lo) + np.repeat(row[a:b] - lo, n)
-                yield queries, slice(lo, hi), np.bincount(cell, weight[at] * np.repeat(w[a:b], n), n_queries * (hi - lo)).reshape(n_queries, hi - lo)
+                at = common[slice(*np.searchsorted(row[common], (lo, hi)))]
+                x = np.bincount((row[at] - lo) * width + head[at], w[at], (hi - lo) * width).reshape(hi - lo, width)
+                sums = dense @ x.T
+                at = rare[slice(*np.searchsorted(row[rare], (lo, hi)))]
+                n = lens[at]
+                entry = np.repeat(first[code[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = query[entry] * (hi - lo) + np.repeat(row[at] - lo, n)
+                sums += np.bincount(cell, weight[entry] * np.repeat(w[at], n), n_queries * (hi - lo)).reshape(n_queries, hi - lo)
+                yield members, slice(lo, hi), sums
                 lo = hi
 
-    return products
-
 
 def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest inner product above 0.
@@ -163,18 +247,18 @@ def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
     """
 
     def make(found: pa.Table) -> Scorer:
-        products = _shared_terms(found, block)
+        shared = SharedTerms(found, block)
 
-        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             own, terms = batch.column(0).to_numpy(), batch.column(1)
             ends = np.concatenate(([0], np.cumsum(terms.value_lengths().fill_null(0).to_numpy())))
-            for at, piece, sums in products(ends, terms.flatten(), batch.column(2).flatten().to_numpy()):
-                yield own[piece], at, np.where(sums > 0, sums, np.nan)
+            for at, piece, sums in shared.products(ends, shared.codes(terms.flatten()), batch.column(2).flatten().to_numpy()):
+                yield own[piece], at, sums
 
         return score
 
     lists = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.map_keys("weights").alias("terms"), F.map_values("weights").cast("array<double>").alias("w"))
-    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave)
+    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave, ABOVE_0)
 
 
 def centroids(vectors: DataFrame, *by: str) -> DataFrame:
@@ -220,13 +304,13 @@ def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK
     """
 
     def make(found: pa.Table) -> Scorer:
-        products, sizes = _shared_terms(found, block), found.column(1).chunk(0).value_lengths().fill_null(0).to_numpy()
+        shared, sizes = SharedTerms(found, block), found.column(1).chunk(0).value_lengths().fill_null(0).to_numpy()
 
-        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             own, terms = batch.column(0).to_numpy(), batch.column(1)
             lens = terms.value_lengths().fill_null(0).to_numpy()
             flat = terms.flatten()
-            for at, piece, sums in products(np.concatenate(([0], np.cumsum(lens))), flat, np.ones(len(flat))):
+            for at, piece, sums in shared.products(np.concatenate(([0], np.cumsum(lens))), shared.codes(flat), np.ones(len(flat))):
                 yield own[piece], at, sums / np.maximum(1, np.minimum(sizes[at, None], lens[None, piece]))
 
         return score

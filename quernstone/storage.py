@@ -18,12 +18,29 @@ def checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quernstone-"))
 
 
+#: Rows in an Arrow batch, so that a batch of long texts fits a Python worker.
+ARROW_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path that does not exist yet, in the folder of checkpoints, which the driver and all executors share."""
     checkpoint_folder(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def pinned(rows: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a Parquet table in the folder of checkpoints."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: Column, name: str, first: int = 0) -> DataFrame:
     """Rows numbered from ``first`` in the order given.
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,29 @@ def test_running_sums_of_groups_of_any_size(spark):
     kept = fusion.prefix_within(df, F.col("n"), 20, "g", order="i", most_rows=5).collect()
     assert {(x["g"], x["i"]) for x in kept} == {k for k, (s, nth) in want.items() if nth <= 5 and (nth == 1 or s <= 20)}
     assert running(df.limit(0), ["g"], "i", {"s": F.col("n")}).count() == 0
+
+
+def test_rows_that_go_first_leave_the_result_as_it_is(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    weights = [(i, {f"t{t}": float(w) for t, w in zip(rng.zipf(1.3, 20) % 90, rng.integers(1, 4, 20), strict=True)}) for i in range(600)]
+    rows = spark.createDataFrame(weights, "id long, weights map<string,double>").repartition(3)
+    queries = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = lambda: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in search.sparse_topk(queries, rows, 5, block=7).collect())
+    passed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+    plain = found()
+    monkeypatch.setattr(search, "LEAD_FROM", 1)
+    assert found() == plain and len(plain) == 150 and passed(search.sparse_topk(queries, rows, 5)) == 1
+    scores = np.arange(40.0)[None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40))], names=["id"])
+    held = search.top_of(lambda b: [(b.column(0).to_numpy(), slice(0, 1), scores)], np.array([7]), 5, known={7: 37.0})
+    assert [b.column("id").to_pylist() for b in held([batch])] == [[39, 38, 37]]  # not its own best five
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b a b"), (2, None), (3, "x y z"), (4, "")], "id long, text string")
+    made = search.sparse_vectors(rows, F.filter(F.split("text", " "), lambda t: t != ""), 2)
+    assert {r["id"]: list(r["weights"].items()) for r in made.collect()} == {1: [("a", pytest.approx(np.log(2))), ("b", pytest.approx(np.log(3)))], 3: [("x", pytest.approx(np.log(2))), ("y", pytest.approx(np.log(2)))]}
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    twice = rows.unionByName(spark.createDataFrame([(1, "c a a")], "id long, text string"))
+    got = {r["id"]: r["weights"] for r in search.sparse_vectors(twice, F.split("text", " "), 2).collect()}
+    assert got[1] == {"a": pytest.approx(np.log(4)), "b": pytest.approx(np.log(3))}
