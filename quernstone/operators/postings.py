@@ -1,80 +1,168 @@
 """Postings of sparse vectors in blocks with bounds: exact nearest neighbours that leave out blocks which can't matter.
 
-Rows are dealt to tiles by a hash of their id, about ``TILE_ROWS`` to a tile. A block is a term's postings in one tile, with their
+Rows are dealt to tiles of ``TILE_ROWS`` where they lie, those with the largest weights together. A block is a term's postings in one tile, with their
 largest and smallest weight; blocks lie in the order of their terms, so that a search's filter on terms skips row groups.
 
-1. The heads of blocks (no postings) of a query's terms bound its score in each tile: the sum of its weights times the block's largest.
-2. The ``LEAD`` tiles with the highest bounds are scored first; the k-th best score there is a threshold.
-3. Of the other tiles only those whose bound reaches it are read. All others hold no row of the top k.
+A search brings the blocks of a tile together, once a wave of queries, and scores tile after tile in numpy, heavy tiles first:
 
-Postings are joined by tile and term, of which either side has one row, so that no frequent term is one task's work.
+1. The heads of blocks bound the score of each query in a tile: the sum of its weights times the block's largest.
+2. The first ``lead`` tiles of a task are scored for all queries; the k-th best score so far is a threshold.
+3. Of the other tiles the postings are read only for queries whose bound reaches it. All others hold no row of the top k.
+
+A task passes on its own k best of each query only, so no pair of a query and a row is ever shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators.search import DIGITS
-from quernstone.storage import checkpoint_folder
+from quernstone.operators.search import ABOVE_0, BLOCK, DIGITS, SharedTerms, best_of, gathered, top_of
+from quernstone.storage import pinned, small_batches
 
 TILE_ROWS, LEAD = 256, 2
-#: Terms of the queries of a wave. They are broadcast to the heads of blocks.
-WAVE_TERMS = 200_000
+#: Terms of the queries of a wave, which the driver reads and every task holds.
+WAVE_TERMS = 1 << 20
 #: Slack of bounds, beyond the rounding of scores.
 SLACK = 10.0**-DIGITS
 
+_BLOCK = "tile long, mass double, term string, n long, largest double, smallest double, postings array<struct<id: bigint, w: double>>"
+_FOUND = "query_id long, id long, score double"
+_COUNTS = ("tiles", "blocks", "postings", "blocks_read", "postings_read")
+
+
+def _entries(df: DataFrame, name: str) -> DataFrame:
+    kept = F.filter(F.map_entries("weights"), lambda e: e["value"] != 0)
+    return df.select(F.col(name).cast("long").alias(name), F.transform(kept, lambda e: e["key"]).alias("terms"), F.transform(kept, lambda e: e["value"].cast("double")).alias("w"))
+
+
+def _blocks(tile_rows: int):
+    """Batches of (id, terms, w) to blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = TaskContext.get().partitionId() << 32
+        for batch in gathered(batches):
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy()
+            row, terms, w = np.repeat(np.arange(len(sizes)), sizes), batch.column(1).flatten(), batch.column(2).flatten().to_numpy()
+            ids, place = batch.column(0).to_numpy(), np.empty(len(sizes), np.int64)
+            place[np.argsort(-np.bincount(row, np.abs(w), len(sizes)), kind="stable")] = np.arange(len(sizes))
+            encoded = terms.dictionary_encode()
+            code = encoded.indices.to_numpy()
+            by = np.lexsort((ids[row], code, place[row] // tile_rows))
+            row, code, w, dealt = row[by], code[by], w[by], place[row[by]] // tile_rows
+            for lo, hi in _runs(dealt):
+                c, x = code[lo:hi], w[lo:hi]
+                first = np.array([a for a, _ in _runs(c)])
+                offsets = pa.array(np.append(first, len(c)).astype(np.int32))
+                postings = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(ids[row[lo:hi]]), pa.array(x)], names=["id", "w"]))
+                largest, smallest = np.maximum.reduceat(x, first), np.minimum.reduceat(x, first)
+                mass, n = np.maximum(np.abs(largest), np.abs(smallest)).sum(), np.diff(np.append(first, len(c)))
+                columns = [np.full(len(first), tile), np.full(len(first), mass), encoded.dictionary.take(pa.array(c[first])), n, largest, smallest]
+                yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x) for x in columns], postings], names=["tile", "mass", "term", "n", "largest", "smallest", "postings"])
+                tile += 1
+
+    return run
+
 
-def _entries(df: DataFrame, name: str, weight: str) -> DataFrame:
-    return df.select(F.col(name).cast("long").alias(name), F.explode("weights").alias("term", weight)).where(F.col(weight) != 0).withColumn(weight, F.col(weight).cast("double"))
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal values follow one another."""
+    cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if len(values) else []
 
 
 def write(rows: DataFrame, path: str, tile_rows: int = TILE_ROWS) -> None:
     """Writes the blocks of rows (id, weights MAP<STRING, DOUBLE>) to a new folder. Null and empty weights have no postings; ids are taken to be distinct."""
-    tiles = max(1, -(-rows.count() // tile_rows))
-    dealt = _entries(rows, "id", "w").withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(tiles)))
-    postings = F.array_sort(F.collect_list(F.struct("id", "w"))).alias("postings")  # as many as a tile has rows
-    blocks = dealt.groupBy("tile", "term").agg(F.count("*").alias("n"), F.max("w").alias("largest"), F.min("w").alias("smallest"), postings)
-    blocks.repartitionByRange("term", "tile").sortWithinPartitions("term", "tile").write.parquet(path)
-
-
-def _scores(blocks: DataFrame, terms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, id, score) of all rows of the pairs' tiles that share a term. Each block is read once, for all queries of the wave that ask for it."""
-    asked = pairs.join(terms, "query_id").groupBy("tile", "term").agg(F.collect_list(F.struct("query_id", "qw")).alias("queries"))
-    met = blocks.join(asked, ["tile", "term"]).select(F.explode("postings").alias("p"), "queries").select("p.*", F.explode("queries").alias("q"))
-    return met.groupBy("q.query_id", "id").agg(F.sum(F.col("q.qw") * F.col("w")).alias("score")).where("score > 0").withColumn("score", F.round("score", DIGITS))
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
-def _wave(blocks: DataFrame, terms: DataFrame, k: int, lead: int) -> tuple[DataFrame, DataFrame]:
-    """The top k of a wave's queries; and the tiles of each query with their bound, postings, and whether they were read."""
-    part = F.greatest(F.col("qw") * F.col("largest"), F.col("qw") * F.col("smallest"), F.lit(0.0))
-    heads = blocks.select("tile", "term", "n", "largest", "smallest").join(F.broadcast(terms), "term")
-    bounds = heads.groupBy("query_id", "tile").agg((F.sum(part) + SLACK).alias("bound"), F.sum("n").alias("postings"), F.count("*").alias("blocks"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "tile")
-    bounds = bounds.checkpoint()  # read twice, and small: a row for each query and tile
-    leading = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= lead).select("query_id", "tile")
-    first = _best(_scores(blocks, terms, leading), k).checkpoint()
-    least = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))  # a row a query of the wave
-    seen = bounds.join(leading.withColumn("lead", F.lit(True)), ["query_id", "tile"], "left").join(F.broadcast(least), "query_id", "left")
-    read = F.col("lead").isNotNull() | (F.col("bound") >= F.coalesce("least", F.lit(0.0)))
-    seen = seen.select("query_id", "tile", "bound", "postings", "blocks", "lead", read.alias("read")).checkpoint()
-    rest = _scores(blocks, terms, seen.where(F.col("read") & F.col("lead").isNull()).select("query_id", "tile"))
-    return _best(first.drop("rank").unionByName(rest), k).select("query_id", "id", "score", "rank"), seen.drop("lead")
-
-
-def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: int, wave_terms: int) -> tuple[DataFrame, DataFrame]:
-    checkpoint_folder(spark)
-    terms = _entries(queries, "query_id", "qw").checkpoint()
-    waves = max(1, -(-terms.count() // wave_terms))
-    blocks = spark.read.schema("tile long, term string, n long, largest double, smallest double, postings array<struct<id: bigint, w: double>>").parquet(path)
-    parts = [_wave(blocks, terms.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n), k, lead) for n in range(waves)]
-    return tuple(reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+    small_batches(rows.sparkSession)
+    _entries(rows, "id").mapInArrow(_blocks(tile_rows), _BLOCK).sortWithinPartitions("term", "tile").write.option("compression", "zstd").parquet(path)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch for each tile; tiles follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in gathered(batches):
+        tile = batch.column("tile").to_numpy()
+        for lo, hi in _runs(tile):
+            if held and held[0].column("tile")[0].as_py() != tile[lo]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_batches(held)
+
+
+class _Wave:
+    """Scores tiles for a wave of queries (query_id, terms, weights), and counts what it reads."""
+
+    def __init__(self, found: pa.Table, lead: int):
+        self.shared, self.lead, lists = SharedTerms(found, BLOCK), lead, found.column(1).chunk(0)
+        code, owner = self.shared.codes(lists.flatten()), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        by = np.argsort(code, kind="stable")
+        self.query, self.weight = owner[by], found.column(2).chunk(0).flatten().to_numpy()[by]
+        self.first = np.searchsorted(code[by], np.arange(len(self.shared.vocabulary) + 1))
+        self.counts = np.zeros((len(_COUNTS), len(lists)), np.int64)
+
+    def __call__(self, tile: pa.RecordBatch, floor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        code = self.shared.codes(tile.column("term"))
+        hit = np.flatnonzero(code >= 0)
+        code, (n, largest, smallest) = code[hit], (tile.column(c).to_numpy()[hit] for c in ("n", "largest", "smallest"))
+        lens = self.first[code + 1] - self.first[code]
+        at = np.repeat(self.first[code] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        query, weight = self.query[at], self.weight[at]
+        part = np.maximum(np.maximum(weight * np.repeat(largest, lens), weight * np.repeat(smallest, lens)), 0)
+        bound = np.bincount(query, part, len(floor))
+        blocks, postings = np.bincount(query, minlength=len(floor)), np.bincount(query, np.repeat(n, lens), len(floor)).astype(np.int64)
+        read = (blocks > 0) & ((self.lead > 0) | (bound * (1 + 1e-9) + SLACK >= floor))
+        self.lead -= 1
+        self.counts += np.stack([blocks > 0, blocks, postings, blocks * read, postings * read])
+        if read.any():
+            lists = tile.column("postings").take(pa.array(hit))
+            entries = lists.flatten()
+            ids, row = np.unique(pc.struct_field(entries, "id").to_numpy(), return_inverse=True)
+            by = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[by], np.arange(len(ids) + 1))
+            for members, rows, sums in self.shared.products(ends, np.repeat(code, n)[by], pc.struct_field(entries, "w").to_numpy()[by], np.where(read, floor, np.inf)):
+                yield members, ids[rows], sums
+
+
+def _searched(found: pa.Table, k: int, lead: int, report: bool):
+    own = found.column(0).to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave = _Wave(found, lead)
+        scored = top_of(lambda tile, floor: ((ids, members, sums) for members, ids, sums in wave(tile, floor)), own, k, ABOVE_0, deal=_tiles)(batches)
+        if not report:
+            yield from scored
+        else:
+            for _ in scored:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, wave.counts)], names=["query_id", *_COUNTS])
+
+    return run
+
+
+def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: int, wave_terms: int, report: bool = False) -> DataFrame:
+    small_batches(spark)
+    asked = pinned(_entries(queries, "query_id"), "queries")
+    waves = max(1, -(-(asked.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0) // wave_terms))
+    blocks = spark.read.schema(_BLOCK).parquet(path)
+    schema = f"query_id long, {', '.join(f'{c} long' for c in _COUNTS)}" if report else _FOUND
+    parts = [spark.createDataFrame([], schema)]
+    for n in range(waves):
+        wave = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n)
+        found = wave.toArrow().combine_chunks()
+        if found.num_rows:
+            met = blocks.join(F.broadcast(wave.select(F.explode("terms").alias("term")).distinct()), "term", "left_semi").select(*blocks.columns)
+            tiles = met.repartition("tile").sortWithinPartitions(F.desc("mass"), "tile")
+            out = tiles.mapInArrow(_searched(found, k, lead, report), schema)
+            parts.append(out if waves == 1 else pinned(out if report else best_of(out, k).drop("rank"), "found"))  # so that the shuffle of a wave can go before the next
+    return reduce(DataFrame.unionByName, parts[1:] or parts)
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: int = LEAD, wave_terms: int = WAVE_TERMS) -> DataFrame:
@@ -82,11 +170,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: int
 
     queries: query_id, weights MAP<STRING, DOUBLE>, of either sign, one row an id. Null and empty weights find nothing.
     """
-    return _search(spark, path, queries, k, lead, wave_terms)[0]
+    return best_of(_search(spark, path, queries, k, lead, wave_terms), k).select("query_id", "id", "score", "rank")
 
 
 def skipped(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: int = LEAD, wave_terms: int = WAVE_TERMS) -> DataFrame:
     """What a search leaves out, a row a query: query_id, tiles, blocks, postings that hold a term of it, and blocks_read, postings_read."""
-    seen = _search(spark, path, queries, k, lead, wave_terms)[1]
-    sums = [F.sum(c).alias(c) for c in ("blocks", "postings")] + [F.sum(F.when(F.col("read"), F.col(c)).otherwise(0)).alias(f"{c}_read") for c in ("blocks", "postings")]
-    return seen.groupBy("query_id").agg(F.count("*").alias("tiles"), *sums)
+    seen = _search(spark, path, queries, k, lead, wave_terms, True)
+    return seen.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in _COUNTS]).where("tiles > 0")

@@ -26,6 +26,8 @@ DIGITS = 6
 WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
 #: A block of queries has so many terms at most in a dense matrix, those that at least this share of its queries have: most products are of few terms.
 HEAD, HEAD_SHARE = 256, 0.04
+#: Frequent terms by which queries are brought together.
+ANCHORS = 32
 #: Numbers or terms of a wave's queries, which the driver reads and every task holds. A wave holds whole queries.
 WAVE_ENTRIES = 1 << 22
 #: Of so many rows and more, one in ``LEAD`` (by a hash of the id) go first. Rows and bytes that a task scores at once.
@@ -35,8 +37,8 @@ GATHER_ROWS, GATHER_BYTES = 4096, 1 << 25
 ABOVE_0 = np.nextafter(0, 1)
 _OUT = "query_id long, id long, score double"
 
-#: From a batch of rows: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
-Scorer = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]]
+#: From a batch of rows and the score of each query that they must reach: (ids of rows, positions of queries, scores of queries x rows, NaN where there is none).
+Scorer = Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray, slice | np.ndarray, np.ndarray]]]
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +54,14 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def top_of(scorer: Scorer, queries: np.ndarray, k: int, least: float = -np.inf, known: dict[int, float] | None = None):
-    """A task's k best rows of each query, of those whose score (before it is rounded) is ``least`` or more, and at least the query's ``known`` one."""
+def top_of(scorer: Scorer, queries: np.ndarray, k: int, least: float = -np.inf, known: np.ndarray | None = None, deal: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = gathered):
+    """A task's k best rows of each query, of those whose score (before it is rounded) is ``least`` or more, and at least the query's ``known`` one. ``deal`` makes what is scored at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        floor = np.array([(known or {}).get(q, -np.inf) for q in queries.tolist()])  # the k-th best so far
-        for batch in gathered(batches):
-            for ids, block, scores in scorer(batch):
+        floor = np.full(len(queries), -np.inf) if known is None else known.copy()  # the k-th best so far
+        for batch in deal(batches):
+            for ids, block, scores in scorer(batch, floor):
                 good, places = scores >= np.maximum(floor - 10.0**-DIGITS, least)[block, None], np.arange(len(queries))[block]
                 for at in np.flatnonzero(good.any(axis=1)).tolist():
                     hit = np.flatnonzero(good[at])
@@ -79,12 +81,12 @@ def top_of(scorer: Scorer, queries: np.ndarray, k: int, least: float = -np.inf,
     return run
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
+def best_of(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table], Scorer], wave: int, least: float = -np.inf) -> DataFrame:
+def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table, np.ndarray | None], Scorer], wave: int, least: float = -np.inf) -> DataFrame:
     """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id, the second a list.
 
     A wave is about ``wave`` queries, fewer if their lists are long. Of many rows, one in ``LEAD`` are searched first: the k-th best score there is what any other row must
@@ -98,10 +100,13 @@ def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table]
     for n in range(waves):
         found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
         if found.num_rows:
-            scorer, own = make(found), found.column(0).to_numpy()
-            first = _best(lead.mapInArrow(top_of(scorer, own, k, least), _OUT), k).where(F.col("rank") == k).collect() if lead is not None else []  # a row a query of the wave
-            parts.append(rows.mapInArrow(top_of(scorer, own, k, least, {r["query_id"]: r["score"] for r in first}), _OUT))
-    return _best(reduce(DataFrame.unionByName, parts[1:] or parts), k)
+            own, known = found.column(0).to_numpy(), None
+            if lead is not None:
+                first = best_of(lead.mapInArrow(top_of(make(found), own, k, least), _OUT), k).where(F.col("rank") == k).collect()  # a row a query of the wave
+                reached = {r["query_id"]: r["score"] for r in first}
+                known = np.array([reached.get(q, -np.inf) for q in own.tolist()])
+            parts.append(rows.mapInArrow(top_of(make(found, known), own, k, least, known), _OUT))
+    return best_of(reduce(DataFrame.unionByName, parts[1:] or parts), k)
 
 
 def unit(column: pa.ListArray, dimension: int | None = None) -> np.ndarray:
@@ -122,10 +127,10 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
     queries: query_id, vector; rows: id, vector. Null vectors take no part; a zero vector has similarity 0. Vectors of unequal length are an error.
     """
 
-    def make(found: pa.Table) -> Scorer:
+    def make(found: pa.Table, known: np.ndarray | None = None) -> Scorer:
         matrix = unit(found.column(1).chunk(0))
 
-        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+        def score(batch: pa.RecordBatch, floors: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
             own, x = batch.column(0).to_numpy(), unit(batch.column(1), matrix.shape[1]).T
             for lo in range(0, len(matrix), block):
                 yield own, slice(lo, min(lo + block, len(matrix))), matrix[lo : lo + block] @ x
@@ -178,20 +183,22 @@ def sparse_vectors(texts: DataFrame, terms: Column, most: int) -> DataFrame:
 class SharedTerms:
     """A wave of queries (query_id, terms, weights), which gives their inner products with rows.
 
-    Queries with the same heaviest term lie together, so that blocks are much alike (of one language, say). What most queries of a block have is a dense matrix,
-    the rest an inverted index.
+    Queries that share a frequent term lie together, in the order of the scores that rows must reach, so that blocks are much alike (of one language, say). What most queries
+    of a block have is a dense matrix, the rest an inverted index. A row whose terms, each with its largest weight in the block, don't reach any of the block's ``floors`` is left out.
     """
 
-    def __init__(self, found: pa.Table, block: int):
+    def __init__(self, found: pa.Table, block: int, floors: np.ndarray | None = None):
         lists = found.column(1).chunk(0)
         encoded = lists.flatten().dictionary_encode()
         self.vocabulary, codes = encoded.dictionary, encoded.indices.to_numpy()
         sizes, weights = lists.value_lengths().fill_null(0).to_numpy(), found.column(2).chunk(0).flatten().to_numpy()
         owner = np.repeat(np.arange(len(lists)), sizes)
-        by = np.lexsort((codes, -np.bincount(codes, minlength=len(self.vocabulary))[codes], -weights, owner))
-        heaviest = np.full(len(lists), -1)
-        heaviest[owner[by[::-1]]] = codes[by[::-1]]  # of an owner's entries the first in order is written last
-        order = np.argsort(heaviest, kind="stable")
+        anchor, left = np.full(len(lists), ANCHORS), np.arange(len(owner))
+        for n in range(ANCHORS):
+            if len(left):
+                anchor[owner[left[codes[left] == np.bincount(codes[left]).argmax()]]] = n
+                left = left[anchor[owner[left]] == ANCHORS]
+        order = np.lexsort((np.zeros(len(lists)) if floors is None else floors, anchor))
         place = np.argsort(order)[owner]
         self.blocks = []
         for lo in range(0, len(lists), block):
@@ -208,26 +215,33 @@ class SharedTerms:
             np.add.at(dense, (query[is_head], column[code[is_head]]), weight[is_head])
             code, query, weight = code[~is_head], query[~is_head], weight[~is_head]
             by = np.argsort(code, kind="stable")
-            self.blocks.append((members, dense, column, np.searchsorted(code[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32), query[by], weight[by]))
+            largest = np.zeros(len(self.vocabulary))
+            np.maximum.at(largest, codes[own], np.abs(weights[own]))
+            self.blocks.append((members, largest, dense, column, np.searchsorted(code[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32), query[by], weight[by]))
 
     def codes(self, terms: pa.Array) -> np.ndarray:
         """Numbers of terms, -1 for those of no query."""
         return pc.index_in(terms, value_set=self.vocabulary).fill_null(-1).to_numpy()
 
-    def products(self, ends: np.ndarray, code: np.ndarray, w: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
-        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]. Blocks without a wanted query are left out."""
-        row, hit = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.flatnonzero(code >= 0)
-        code, row, w = code[hit], row[hit], w[hit]
-        for members, dense, column, first, query, weight in self.blocks:
-            if wanted is not None and not wanted[members].any():
-                continue
+    def products(self, ends: np.ndarray, codes: np.ndarray, weights: np.ndarray, floors: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]. With ``floors``, rows that reach none of a block's are left out."""
+        rows, hit = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.flatnonzero(codes >= 0)
+        codes, rows, weights = codes[hit], rows[hit], weights[hit]
+        for members, largest, dense, column, first, query, weight in self.blocks:
+            kept, code, row, w = np.arange(len(ends) - 1), codes, rows, weights
+            if floors is not None:
+                most = np.bincount(rows, largest[codes] * np.abs(weights), len(ends) - 1)
+                reach = most * (1 + 1e-9) >= floors[members].min() - 10.0**-DIGITS
+                if not reach.all():
+                    kept, inside = np.flatnonzero(reach), reach[rows]
+                    code, row, w = codes[inside], (np.cumsum(reach) - 1)[rows[inside]], weights[inside]
             n_queries, width = dense.shape
             lens, head = first[code + 1] - first[code], column[code]
             rare, common = np.flatnonzero(lens), np.flatnonzero(head >= 0)
-            upto = np.concatenate(([0], np.cumsum(np.bincount(row[rare], lens[rare], len(ends) - 1))))
+            upto = np.concatenate(([0], np.cumsum(np.bincount(row[rare], lens[rare], len(kept)))))
             lo = 0
-            while lo < len(ends) - 1:
-                hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // n_queries), len(ends) - 1)
+            while lo < len(kept):
+                hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // n_queries), len(kept))
                 at = common[slice(*np.searchsorted(row[common], (lo, hi)))]
                 x = np.bincount((row[at] - lo) * width + head[at], w[at], (hi - lo) * width).reshape(hi - lo, width)
                 sums = dense @ x.T
@@ -236,7 +250,7 @@ class SharedTerms:
                 entry = np.repeat(first[code[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 cell = query[entry] * (hi - lo) + np.repeat(row[at] - lo, n)
                 sums += np.bincount(cell, weight[entry] * np.repeat(w[at], n), n_queries * (hi - lo)).reshape(n_queries, hi - lo)
-                yield members, slice(lo, hi), sums
+                yield members, kept[lo:hi], sums
                 lo = hi
 
 
@@ -246,13 +260,13 @@ def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
     queries: query_id, weights MAP<STRING, DOUBLE>; rows: id, weights. Null and empty weights find nothing.
     """
 
-    def make(found: pa.Table) -> Scorer:
-        shared = SharedTerms(found, block)
+    def make(found: pa.Table, known: np.ndarray | None = None) -> Scorer:
+        shared = SharedTerms(found, block, known)
 
-        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def score(batch: pa.RecordBatch, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             own, terms = batch.column(0).to_numpy(), batch.column(1)
             ends = np.concatenate(([0], np.cumsum(terms.value_lengths().fill_null(0).to_numpy())))
-            for at, piece, sums in shared.products(ends, shared.codes(terms.flatten()), batch.column(2).flatten().to_numpy()):
+            for at, piece, sums in shared.products(ends, shared.codes(terms.flatten()), batch.column(2).flatten().to_numpy(), floors):
                 yield own[piece], at, sums
 
         return score
@@ -303,10 +317,10 @@ def overlap_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK
     queries: query_id, terms ARRAY<STRING> (distinct); rows: id, terms. Null terms are no terms.
     """
 
-    def make(found: pa.Table) -> Scorer:
+    def make(found: pa.Table, known: np.ndarray | None = None) -> Scorer:
         shared, sizes = SharedTerms(found, block), found.column(1).chunk(0).value_lengths().fill_null(0).to_numpy()
 
-        def score(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def score(batch: pa.RecordBatch, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             own, terms = batch.column(0).to_numpy(), batch.column(1)
             lens = terms.value_lengths().fill_null(0).to_numpy()
             flat = terms.flatten()

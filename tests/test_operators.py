@@ -299,7 +299,7 @@ def test_rows_that_go_first_leave_the_result_as_it_is(spark, monkeypatch):
     assert found() == plain and len(plain) == 150 and passed(search.sparse_topk(queries, rows, 5)) == 1
     scores = np.arange(40.0)[None]
     batch = pa.RecordBatch.from_arrays([pa.array(range(40))], names=["id"])
-    held = search.top_of(lambda b: [(b.column(0).to_numpy(), slice(0, 1), scores)], np.array([7]), 5, known={7: 37.0})
+    held = search.top_of(lambda b, floors: [(b.column(0).to_numpy(), slice(0, 1), scores)], np.array([7]), 5, known=np.array([37.0]))
     assert [b.column("id").to_pylist() for b in held([batch])] == [[39, 38, 37]]  # not its own best five
 
 

@@ -60,3 +60,12 @@ def test_blocks_lie_in_the_order_of_terms(spark):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,t1)]" in plan
     parts = [[r["term"] for r in held.where(f"_metadata.file_name = '{f}'").collect()] for f in sorted(r[0] for r in held.select("_metadata.file_name").distinct().collect())]
     assert all(p == sorted(p) for p in parts)
+
+
+def test_no_pair_of_a_query_and_a_row_is_shuffled(spark):
+    rows = spark.createDataFrame(rows_of(600), ROW).repartition(4)
+    path = new_folder(spark, "postings")
+    postings.write(rows, path, tile_rows=16)
+    assert {"query_id", "id"} <= set((made := postings.search(spark, path, rows.where("id % 25 = 0").withColumnRenamed("id", "query_id"), 5)).columns)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan and "Generate explode(postings" not in plan and "MapInArrow" in plan
