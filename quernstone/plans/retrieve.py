@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import fusion, search
 from quernstone.providers import OverlapReranker, Reranker, RetrievalConfig
+from quernstone.storage import pinned
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, parents: DataFrame, config: RetrievalConfig | None = None, reranker: Reranker | None = None) -> DataFrame:
@@ -22,8 +23,18 @@ def retrieve(queries: DataFrame, chunks: DataFrame, parents: DataFrame, config:
         "sparse": search.sparse_topk(queries.select("query_id", "weights"), rows.select("id", "weights"), config.sparse_limit),
     }
     found = fusion.expand_parents(fusion.rrf(lists, config.fused_limit), rows.select("id", "parent_id"), config.children)
-    pairs = found.join(parents.select("parent_id", F.col("text").alias("parent_text")), "parent_id").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
-    best = fusion.rerank(pairs.withColumn("id", F.col("parent_id")), reranker.relevance(F.col("query_text"), F.col("parent_text")), config.rerank_limit)
+    found = pinned(found, "found")
+    once = hasattr(reranker, "features")
+    side = lambda df, key, name: df.select(key, (reranker.features(F.col("text")) if once else F.col("text")).alias(name))
+    asked = side(queries.join(found.select("query_id").distinct(), "query_id", "left_semi"), "query_id", "query_side")
+    given = side(parents.join(found.select("parent_id").distinct(), "parent_id", "left_semi"), "parent_id", "parent_side")
+    if once:  # what a text gives is read for each of its pairs
+        asked, given = pinned(asked, "asked"), pinned(given, "given")
+    pairs = found.join(given, "parent_id").join(asked, "query_id").withColumn("id", F.col("parent_id"))
+    score = (reranker.share if once else reranker.relevance)(F.col("query_side"), F.col("parent_side"))
+    # the score is worked out before rows move on by query, without the texts
+    scored = pairs.select("query_id", "parent_id", "id", "child_ids", "best_score", score.alias("relevance"))
+    best = fusion.rerank(scored, F.col("relevance"), config.rerank_limit)
     return best.select("query_id", "parent_id", "child_ids", "best_score", "relevance", "rank")
 
 

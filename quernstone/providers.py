@@ -31,6 +31,8 @@ class SparseEncoder(Protocol):
 
 
 class Reranker(Protocol):
+    """One with ``features`` of a text and a ``share`` of two texts' features as well has the features made once a text, not once a pair."""
+
     def relevance(self, query: Column, text: Column) -> Column: ...
 
 
@@ -96,7 +98,13 @@ class OverlapReranker:
     """Share of common terms."""
 
     def relevance(self, query: Column, text: Column) -> Column:
-        return T.term_overlap(T.lexical_terms(query), T.lexical_terms(text))
+        return self.share(self.features(query), self.features(text))
+
+    def features(self, text: Column) -> Column:
+        return T.lexical_terms(text)
+
+    def share(self, query: Column, text: Column) -> Column:
+        return T.term_overlap(query, text)
 
 
 #: Fixed value: images that go to a generator.

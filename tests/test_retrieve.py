@@ -45,3 +45,18 @@ def test_pixels():
     half = np.full((40, 40, 3), 255)
     half[:, :20] = (200, 0, 0)
     assert images.pixel_metrics(half)["red_pixel_ratio"] == 0.5 and images.pixel_metrics(half)["perceptual_hash"] != white["perceptual_hash"]
+
+
+def test_features_of_a_text_are_made_once(spark):
+    rows = spark.createDataFrame([(i, i // 2, "s", [1.0, float(i)], {"a": 1.0 + i}) for i in range(6)], "id long, parent_id long, source string, vector array<double>, weights map<string,double>")
+    parents = spark.createDataFrame([(p, f"some words number{p}") for p in range(3)], "parent_id long, text string")
+    queries = spark.createDataFrame([(9, "words number1", [1.0, 1.0], {"a": 1.0})], "query_id long, text string, vector array<double>, weights map<string,double>")
+    made = retrieve(queries, rows, parents)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.orderBy("rank").first()["parent_id"] == 1
+
+    class Length:
+        def relevance(self, query, text):
+            return -F.abs(F.length(query) - F.length(text)).cast("double")
+
+    assert retrieve(queries, rows, parents, reranker=Length()).count() == 3
