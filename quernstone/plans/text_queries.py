@@ -12,6 +12,7 @@ from quernstone.operators import chunking, elements, normalize, quality, tables
 from quernstone.operators import document_chunks as documents
 from quernstone.plans.registry import CLEAN, COUNT, TERMS, TOKENS, UUID5, query
 from quernstone.sources.tables import table
+from quernstone.storage import small_batches
 
 
 @query(f"SELECT doc_id, {UUID5.format('source')} AS source_id, {UUID5.format("lang || ':text:' || lower(source) || ':' || doc_id")} AS document_id FROM documents")
@@ -217,7 +218,7 @@ def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
     """The quality report on the chunks of conversations."""
     rows = _talk(spark, folder)
     children = documents.build(rows, _LIMITS, split=False).children
-    everyone = documents.parents_of(documents.placed(rows.withColumn("split", F.lit(None).cast("struct<original_element_id:string,part:int,count:int,strategy:string,row_start:int,row_end:int>")), _LIMITS))
+    everyone = documents.parents_of(documents.placed(rows.withColumn("split", F.lit(None).cast("struct<original_element_id:string,part:int,count:int,strategy:string,row_start:int,row_end:int>")), _LIMITS)).checkpoint()  # read three times
     made = quality.chunk_report(everyone, children, child_most=100)
     return made.select(
         "document_id", "parents", "parents_without_children", "parent_most", "children", "table_chunks", "oversized_non_table", "oversized_table", "child_least", F.round("child_mean", 6).alias("child_mean"), "child_p95", "child_most",
@@ -355,6 +356,7 @@ SELECT doc_id, excerpt, {COUNT.format('excerpt')} AS n_tokens FROM (
   SELECT doc_id, w AS excerpt FROM tok WHERE ceil(len(t) * 1.1::DOUBLE) <= 150 UNION ALL SELECT doc_id, excerpt FROM best)""")
 def clip_excerpt(spark: SparkSession, folder: str) -> DataFrame:
     """Excerpts within a limit: head, middle and tail."""
+    small_batches(spark)
     docs = table(spark, folder, "documents").select("doc_id", tables.clip_text(F.col("text"), 150).alias("excerpt"))
     return docs.select("doc_id", "excerpt", T.token_count(F.col("excerpt")).alias("n_tokens"))
 

@@ -144,3 +144,10 @@ def test_providers():
         assert len(waits) == n
     assert len(providers.ExtractiveGenerator().answer("q", "[1] a\nx\n[2] b", [f"{i}" for i in range(12)]).splitlines()) == 3 + 8
     assert providers.RetrievalConfig.fast().rerank_limit == 5
+
+
+def test_pages_reach_the_parser_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    made = html.elements(spark.range(700).selectExpr("id page_id", "'http://x' url", "concat('<p>a', id, '<p>b') html").coalesce(1))
+    assert int(spark.conf.get(key)) <= 256 and made.count() == 1400
