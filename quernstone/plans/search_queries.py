@@ -246,7 +246,7 @@ def retrieved_parents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     chunks = docs.select("id", "source").join(vectors, "id", "full").join(weighted(spark, folder, DOC_TERMS), "id", "left").withColumn("parent_id", F.floor(F.col("id") / 5))
-    asked = docs.where(F.col("id") % EVERY == 0).select("id", "text").join(vectors.where(F.col("id") % EVERY == 0), "id", "full")
+    asked = docs.where(F.col("id") % EVERY == 0).select("id", "text").join(vectors, "id", "left")  # a query is a document
     queries = asked.join(weighted(spark, folder, QUERY_TERMS, True), "id", "left").withColumnRenamed("id", "query_id")
     parents = docs.groupBy(F.floor(F.col("id") / 5).alias("parent_id")).agg(F.min_by("text", "id").alias("text"))
     return retrieve(queries, chunks, parents)
