@@ -23,15 +23,17 @@ from quernstone.storage import pinned, small_batches
 
 DIGITS = 6
 #: Queries that a task holds, that it scores at once, and products of terms that it adds at once.
-WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 22
+WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 20
 #: A block of queries has so many terms at most in a dense matrix, those that at least this share of its queries have: most products are of few terms.
-HEAD, HEAD_SHARE = 256, 0.04
-#: Frequent terms by which queries are brought together.
-ANCHORS = 32
+HEAD, HEAD_SHARE = 512, 0.02
+#: Frequent terms by which queries are brought together, and neighbours of a block whose largest weights are one bound.
+ANCHORS, GROUP = 32, 16
+#: Queries with the lowest floors lie together, this share of all: most rows reach one of them.
+LOW = 1 / 8
 #: Numbers or terms of a wave's queries, which the driver reads and every task holds. A wave holds whole queries.
 WAVE_ENTRIES = 1 << 22
-#: Of so many rows and more, one in ``LEAD`` (by a hash of the id) go first. Rows and bytes that a task scores at once.
-LEAD, LEAD_FROM = 16, 1 << 14
+#: Of so many rows and more, one in ``LEAD`` (by a hash of the id) or the heaviest one in ``LEAD_HEAVY`` go first. Rows and bytes that a task scores at once.
+LEAD, LEAD_HEAVY, LEAD_FROM = 16, 32, 1 << 14
 GATHER_ROWS, GATHER_BYTES = 4096, 1 << 25
 #: The least score that is not 0.
 ABOVE_0 = np.nextafter(0, 1)
@@ -62,8 +64,10 @@ def top_of(scorer: Scorer, queries: np.ndarray, k: int, least: float = -np.inf,
         floor = np.full(len(queries), -np.inf) if known is None else known.copy()  # the k-th best so far
         for batch in deal(batches):
             for ids, block, scores in scorer(batch, floor):
-                good, places = scores >= np.maximum(floor - 10.0**-DIGITS, least)[block, None], np.arange(len(queries))[block]
-                for at in np.flatnonzero(good.any(axis=1)).tolist():
+                good = scores >= np.maximum(floor[block] - 10.0**-DIGITS, least)[:, None]
+                some = np.flatnonzero(good.any(axis=1)).tolist()
+                places = np.arange(len(queries))[block] if some else block
+                for at in some:
                     hit = np.flatnonzero(good[at])
                     q, s, i = int(places[at]), np.round(scores[at, hit], DIGITS) + 0.0, ids[hit]
                     if len(s) > 4 * k:
@@ -86,26 +90,34 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table, np.ndarray | None], Scorer], wave: int, least: float = -np.inf) -> DataFrame:
+def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table, np.ndarray | None], Scorer], wave: int, least: float = -np.inf, heavy: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id, the second a list.
 
     A wave is about ``wave`` queries, fewer if their lists are long. Of many rows, one in ``LEAD`` are searched first: the k-th best score there is what any other row must
-    reach, so that tasks neither look through nor pass on what is only the best of their own.
+    reach, so that tasks neither look through nor pass on what is only the best of their own. With ``heavy``, a number of a row, those with the largest go first, one in ``LEAD_HEAVY``.
     """
     queries, rows = pinned(queries, "queries"), pinned(rows, "rows")
     n, entries = queries.agg(F.count("*"), F.sum(F.size(queries.columns[1]).cast("long"))).first()
     waves = max(1, -(-n // wave), -(-(entries or 0) // WAVE_ENTRIES))
-    lead = rows.where(F.pmod(F.xxhash64("id"), F.lit(LEAD)) == 0) if rows.count() >= LEAD_FROM else None
+    lead = rest = None
+    if rows.count() >= LEAD_FROM:
+        first = F.pmod(F.xxhash64("id"), F.lit(LEAD)) == 0
+        if heavy is not None:
+            bound = rows.agg(F.percentile_approx(heavy, 1 - 1 / LEAD_HEAVY)).first()[0]
+            first = (heavy > bound) | ((heavy == bound) & first)
+        first = F.coalesce(first, F.lit(False))
+        lead, rest = rows.where(first).coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)), rows.where(~first)  # a task of the lead has k rows of each query
     parts = [rows.sparkSession.createDataFrame([], _OUT)]
     for n in range(waves):
         found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
         if found.num_rows:
             own, known = found.column(0).to_numpy(), None
             if lead is not None:
-                first = best_of(lead.mapInArrow(top_of(make(found), own, k, least), _OUT), k).where(F.col("rank") == k).collect()  # a row a query of the wave
-                reached = {r["query_id"]: r["score"] for r in first}
+                best = pinned(best_of(lead.mapInArrow(top_of(make(found), own, k, least), _OUT), k), "lead")
+                reached = {r["query_id"]: r["score"] for r in best.where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query of the wave
                 known = np.array([reached.get(q, -np.inf) for q in own.tolist()])
-            parts.append(rows.mapInArrow(top_of(make(found, known), own, k, least, known), _OUT))
+                parts.append(best.drop("rank"))
+            parts.append((rows if rest is None else rest).mapInArrow(top_of(make(found, known), own, k, least, known), _OUT))
     return best_of(reduce(DataFrame.unionByName, parts[1:] or parts), k)
 
 
@@ -184,7 +196,8 @@ class SharedTerms:
     """A wave of queries (query_id, terms, weights), which gives their inner products with rows.
 
     Queries that share a frequent term lie together, in the order of the scores that rows must reach, so that blocks are much alike (of one language, say). What most queries
-    of a block have is a dense matrix, the rest an inverted index. A row whose terms, each with its largest weight in the block, don't reach any of the block's ``floors`` is left out.
+    of a block have is a dense matrix, the rest an inverted index. A row is summed only with the groups of queries where it may reach one of the ``floors`` (see ``_reaching``); queries with low
+    floors, which most rows may reach, have blocks of their own.
     """
 
     def __init__(self, found: pa.Table, block: int, floors: np.ndarray | None = None):
@@ -198,7 +211,7 @@ class SharedTerms:
             if len(left):
                 anchor[owner[left[codes[left] == np.bincount(codes[left]).argmax()]]] = n
                 left = left[anchor[owner[left]] == ANCHORS]
-        order = np.lexsort((np.zeros(len(lists)) if floors is None else floors, anchor))
+        order = np.argsort(anchor, kind="stable") if floors is None else np.lexsort((floors, anchor, floors >= np.quantile(floors, LOW, method="lower")))
         place = np.argsort(order)[owner]
         self.blocks = []
         for lo in range(0, len(lists), block):
@@ -213,46 +226,110 @@ class SharedTerms:
             dense = np.zeros((len(members), len(head)))
             is_head = column[code] >= 0
             np.add.at(dense, (query[is_head], column[code[is_head]]), weight[is_head])
-            code, query, weight = code[~is_head], query[~is_head], weight[~is_head]
-            by = np.argsort(code, kind="stable")
+            lengths = np.sqrt(np.bincount(query, weight**2, len(members)))
             largest = np.zeros(len(self.vocabulary))
-            np.maximum.at(largest, codes[own], np.abs(weights[own]))
-            self.blocks.append((members, largest, dense, column, np.searchsorted(code[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32), query[by], weight[by]))
+            np.maximum.at(largest, code, np.abs(weight))
+            code, query, weight = code[~is_head], query[~is_head], weight[~is_head]
+            index = self._by_code(code, query, weight)
+            heads = dense.astype(np.float32), float(np.sqrt((dense**2).sum(axis=1).max(initial=0)))
+            self.blocks.append((members, lengths, largest, dense, heads, column, index, self._envelopes(index)))
+
+    def _by_code(self, code: np.ndarray, query: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An inverted index: where each term's entries begin, their queries and weights."""
+        by = np.lexsort((query, code))
+        return np.searchsorted(code[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32), query[by], weight[by]
+
+    def _envelopes(self, index: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same of groups of ``GROUP`` queries, with the largest weight that one of a group has for a term, and where its entries begin in the index."""
+        first, query, weight = index
+        code = np.repeat(np.arange(len(self.vocabulary)), np.diff(first))
+        pair, start = np.unique(code * (query.max(initial=0) // GROUP + 1) + query // GROUP, return_index=True)
+        most = np.maximum.reduceat(np.abs(weight), start) if len(start) else weight
+        return np.searchsorted(code[start], np.arange(len(self.vocabulary) + 1)).astype(np.int32), (query[start] // GROUP).astype(np.int32), most, np.append(start, len(query))
 
     def codes(self, terms: pa.Array) -> np.ndarray:
         """Numbers of terms, -1 for those of no query."""
         return pc.index_in(terms, value_set=self.vocabulary).fill_null(-1).to_numpy()
 
     def products(self, ends: np.ndarray, codes: np.ndarray, weights: np.ndarray, floors: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]. With ``floors``, rows that reach none of a block's are left out."""
+        """Pieces (queries, rows, sums). Row j has the terms from ends[j] to ends[j + 1]. With ``floors``, pieces are of a group of queries and the rows that may reach a floor there."""
         rows, hit = np.repeat(np.arange(len(ends) - 1), np.diff(ends)), np.flatnonzero(codes >= 0)
         codes, rows, weights = codes[hit], rows[hit], weights[hit]
-        for members, largest, dense, column, first, query, weight in self.blocks:
+        norms = np.sqrt(np.bincount(rows, weights**2, len(ends) - 1))
+        for members, lengths, largest, dense, heads, column, index, envelopes in self.blocks:
             kept, code, row, w = np.arange(len(ends) - 1), codes, rows, weights
             if floors is not None:
-                most = np.bincount(rows, largest[codes] * np.abs(weights), len(ends) - 1)
-                reach = most * (1 + 1e-9) >= floors[members].min() - 10.0**-DIGITS
-                if not reach.all():
-                    kept, inside = np.flatnonzero(reach), reach[rows]
-                    code, row, w = codes[inside], (np.cumsum(reach) - 1)[rows[inside]], weights[inside]
-            n_queries, width = dense.shape
-            lens, head = first[code + 1] - first[code], column[code]
-            rare, common = np.flatnonzero(lens), np.flatnonzero(head >= 0)
-            upto = np.concatenate(([0], np.cumsum(np.bincount(row[rare], lens[rare], len(kept)))))
+                reach = norms * (1 + 1e-9) >= ((floors[members] - 10.0**-DIGITS) / np.maximum(lengths, 1e-300)).min()
+                kept, code, row, w = _of_rows(reach, kept, code, row, w)
+            first = index[0]
+            upto = np.concatenate(([0], np.cumsum(np.bincount(row, first[code + 1] - first[code], len(kept)))))
             lo = 0
             while lo < len(kept):
-                hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // n_queries), len(kept))
-                at = common[slice(*np.searchsorted(row[common], (lo, hi)))]
-                x = np.bincount((row[at] - lo) * width + head[at], w[at], (hi - lo) * width).reshape(hi - lo, width)
-                sums = dense @ x.T
-                at = rare[slice(*np.searchsorted(row[rare], (lo, hi)))]
-                n = lens[at]
-                entry = np.repeat(first[code[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                cell = query[entry] * (hi - lo) + np.repeat(row[at] - lo, n)
-                sums += np.bincount(cell, weight[entry] * np.repeat(w[at], n), n_queries * (hi - lo)).reshape(n_queries, hi - lo)
-                yield members, kept[lo:hi], sums
+                hi = min(max(lo + 1, int(np.searchsorted(upto, upto[lo] + PRODUCTS, "right")) - 1), lo + max(1, PRODUCTS // len(members)), len(kept))
+                at = slice(*np.searchsorted(row, (lo, hi)))
+                piece = code[at], row[at] - lo, w[at]
+                x = _dense(column, dense.shape[1], hi - lo, *piece)
+                if floors is None or (floors[members] == -np.inf).mean() > 0.5:
+                    entry, of = _entries(first, piece[0])
+                    sums = np.bincount(index[1][entry] * (hi - lo) + piece[1][of], index[2][entry] * piece[2][of], len(members) * (hi - lo))
+                    yield members, kept[lo:hi], dense @ x.T + sums.reshape(len(members), hi - lo)
+                else:
+                    for group, some, sums in self._reaching(floors[members], largest, dense, heads, column, index, envelopes, x, *piece):
+                        yield members[group], kept[lo:hi][some], sums
                 lo = hi
 
+    def _reaching(self, floors: np.ndarray, largest: np.ndarray, dense: np.ndarray, heads: tuple[np.ndarray, float], column: np.ndarray, index: tuple, envelopes: tuple, x: np.ndarray, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Sums of each group of queries and the rows that may reach a floor there: the product of frequent terms, in single precision, and what the
+        others could give, first in the block, then in the group, say which. ``x`` are the frequent terms of the rows."""
+        single, longest = heads
+        slack = 1e-4 * longest * np.sqrt((x**2).sum(axis=1)) + 1e-6 * np.abs(floors[np.isfinite(floors)]).max(initial=0) + 10.0**-DIGITS
+        wanted = floors.astype(np.float32)[:, None] - single @ x.T.astype(np.float32)  # of the other terms
+        wanted = np.stack([wanted[lo : lo + GROUP].min(axis=0) for lo in range(0, len(dense), GROUP)])
+        rare = np.flatnonzero(column[code] < 0)
+        code, row, w = code[rare], row[rare], w[rare]
+        left = ~(wanted.min(axis=0) > np.bincount(row, largest[code] * np.abs(w), len(x)) * (1 + 1e-9) + slack)
+        kept, code, row, w = _of_rows(left, np.arange(len(x)), code, row, w)
+        entry, of = _entries(envelopes[0], code)
+        group, row, w = envelopes[1][entry], row[of], w[of]
+        most = np.bincount(group * len(kept) + row, envelopes[2][entry] * np.abs(w), len(wanted) * len(kept)).reshape(len(wanted), len(kept))
+        reach = ~(wanted[:, left] > most * (1 + 1e-9) + slack[left])
+        place = np.cumsum(reach.ravel()) - 1  # of a group and row that are summed
+        inside = np.flatnonzero(reach[group, row])
+        entry, cell, w = entry[inside], place[group[inside] * len(kept) + row[inside]], w[inside]
+        at, of = _entries(envelopes[3], entry)
+        sums = np.bincount(cell[of] * GROUP + index[1][at] % GROUP, index[2][at] * w[of], GROUP * int(reach.sum())).reshape(-1, GROUP)
+        lo = 0
+        for g, rows in enumerate(reach):
+            some = kept[rows]
+            if len(some):
+                of = slice(g * GROUP, min((g + 1) * GROUP, len(dense)))
+                yield of, some, dense[of] @ x[some].T + sums[lo : lo + len(some), : of.stop - of.start].T
+                lo += len(some)
+
+
+def _of_rows(good: np.ndarray, kept: np.ndarray, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that are good, and their terms, numbered anew."""
+    if good.all():
+        return kept, code, row, w
+    inside = good[row]
+    return kept[good], code[inside], (np.cumsum(good) - 1)[row[inside]], w[inside]
+
+
+def _dense(column: np.ndarray, width: int, n: int, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """n rows x the frequent terms."""
+    at = column[code]
+    hit = np.flatnonzero(at >= 0)
+    return np.bincount(row[hit] * width + at[hit], w[hit], n * width).reshape(n, width)
+
+
+def _entries(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of lists, of which list i goes from first[i] to first[i + 1], and for each which one of ``at`` it belongs to."""
+    begin = first[at]
+    lens = first[at + 1] - begin
+    ends = np.cumsum(lens)
+    of = np.repeat(np.arange(len(at)), lens)
+    return (begin - (ends - lens))[of] + np.arange(len(of)), of
+
 
 def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest inner product above 0.
@@ -272,7 +349,7 @@ def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
         return score
 
     lists = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.map_keys("weights").alias("terms"), F.map_values("weights").cast("array<double>").alias("w"))
-    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave, ABOVE_0)
+    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave, ABOVE_0, F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
 
 
 def centroids(vectors: DataFrame, *by: str) -> DataFrame:
