@@ -73,14 +73,15 @@ def attach_images(children: DataFrame, images: DataFrame) -> DataFrame:
     """ASSIGNED rows. children: parent_id, child_id, pages ARRAY<INT>, x, y, sequence, text, is_table, or, instead of x and y, places ARRAY<STRUCT<x, y, page>> and sequences
     of their elements; images: parent_id, image_id, page, x, y, sequence, context, tiny_chart, and near_table if only images beside a table prefer tables.
 
-    Rows without a parent take no part. Each image changes what is left for the next, so a parent is a task's loop; a parent is a section of a few thousand tokens.
+    Rows without a parent take no part, nor do children of parents without images. Each image changes what is left for the next, so a parent is a task's loop; a parent is a section of a few thousand tokens.
     """
 
     def run(key: tuple, own: pd.DataFrame, pictures: pd.DataFrame) -> pd.DataFrame:
         rows = attach_one(key[0], own.sort_values(["sequence", "child_id"]).to_dict("records"), pictures.to_dict("records"))
         return pd.DataFrame(rows, columns=["parent_id", "image_id", "child_id", "method", "score"])
 
-    children, images = children.where("parent_id IS NOT NULL"), images.where("parent_id IS NOT NULL")
+    images = images.where("parent_id IS NOT NULL")
+    children = children.join(images.select("parent_id").distinct(), "parent_id", "left_semi")
     return children.groupBy("parent_id").cogroup(images.groupBy("parent_id")).applyInPandas(run, ASSIGNED)
 
 

@@ -10,7 +10,10 @@ Elements have the columns of ``ELEMENT``. They may have others, which are ignore
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import tee
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,7 +26,7 @@ from quernstone.functions.ids import chunk_fingerprint, stable_id
 from quernstone.operators import attach, tables
 from quernstone.operators.chunking import IMAGES_MAX, expand_oversized
 from quernstone.operators.tables import clip_text
-from quernstone.storage import checkpoint_folder
+from quernstone.storage import checkpoint_folder, small_batches
 
 ELEMENT = """element_id string, document_id string, domain string, source_type string, source_name string, source_url string, page_number int, sequence double,
   section_title string, section_path array<string>, element_type string, text string, table_markdown string, table_html string, image_path string,
@@ -124,19 +127,27 @@ def placed(elements: DataFrame, limits: Limits = Limits()) -> DataFrame:
     names = [f.name for f in S.StructType.fromDDL(ELEMENT).fields]
     rows = elements.select(*names, "split").withColumns({"quern_url": F.coalesce("source_url", F.lit("")), "quern_path": path, "quern_context": context})
     rows = rows.withColumn("quern_content", F.coalesce(content, F.lit("")))
-    rows = rows.withColumns({"quern_n": T.token_count("quern_content"), "quern_text_n": T.token_count("text")})
+    rows = rows.withColumn("quern_n", T.token_count("quern_content"))
+    rows = rows.withColumn("quern_text_n", F.when(F.coalesce("text", F.lit("")) == F.col("quern_content"), F.col("quern_n")).otherwise(T.token_count("text")))
     out = S.StructType([*rows.schema.fields, S.StructField("parent", S.IntegerType()), S.StructField("child", S.IntegerType()), S.StructField("first_at", S.DoubleType()), S.StructField("first_id", S.StringType())])
 
-    def run(section: pa.Table) -> pa.Table:
-        section = section.sort_by([("sequence", "ascending"), ("element_id", "ascending")])
-        at = list(fold(*(section.column(c).to_pylist() for c in ("element_type", "quern_n", "quern_text_n")), limits))
-        for i, name in enumerate(("parent", "child")):
-            section = section.append_column(name, pa.array([a[i] for a in at], pa.int32()))
-        for name, of in (("first_at", "sequence"), ("first_id", "element_id")):
-            section = section.append_column(name, pa.array([section.column(of)[0].as_py()] * len(section), section.schema.field(of).type))
-        return section
-
-    return rows.groupBy(*_SECTION).applyInArrow(run, out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = first = places = None
+        fed: deque = deque()
+        for batch in batches:
+            made = []
+            for *key, kind, content, text, at, element in zip(*(batch.column(c).to_pylist() for c in (*_SECTION, "element_type", "quern_n", "quern_text_n", "sequence", "element_id"))):
+                if places is None or key != last:
+                    last, first = key, (at, element)
+                    items = tee(iter(fed.popleft, None), 3)  # the fold of a section goes on from batch to batch
+                    places = fold(*(map(itemgetter(i), x) for i, x in enumerate(items)), limits)
+                fed.append((kind, content, text))
+                made.append((*next(places), *first))
+            new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=out.names)
+
+    small_batches(elements.sparkSession)
+    return rows.repartition(*_SECTION).sortWithinPartitions(*_SECTION, F.asc_nulls_last("sequence"), F.asc_nulls_last("element_id")).mapInArrow(run, out)
 
 
 def _sorted_set(c: str, flat: bool = False) -> Column:
@@ -231,7 +242,7 @@ def build(elements: DataFrame, limits: Limits = Limits(), split: bool = True) ->
     of = parents.select(*_SECTION, F.col("part_number").alias("parent"), "parent_id")
     children = children_of(rows).join(of, [*_SECTION, "parent"]).withColumn("child_id", stable_id(F.col("parent_id"), F.col("child")))
     children = children.select("parent_id", "child_id", F.col("child").alias("child_index"), *[c for c in children.columns if c not in (*_SECTION, "parent", "child", "parent_id", "child_id")])
-    children = children.withColumn("matched_table_chunk_id", F.lit(None).cast("string"))
+    children = children.withColumn("matched_table_chunk_id", F.lit(None).cast("string")).checkpoint()  # read by all that follows
     images = image_rows(rows, parents).checkpoint()
     assigned = attached(children, images).checkpoint()
     count = children.groupBy("parent_id").agg(F.count("*").alias("n_children"))

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from quernstone.functions.ids import stable_id
 from quernstone.operators import document_chunks
 from quernstone.operators.document_chunks import ELEMENT, Limits, fold
@@ -126,3 +128,30 @@ def test_a_passage_that_stands_for_a_table_gets_one(spark):
     assert first["modalities"] == ["text", "table"] and first["table_markdown"].splitlines()[2] == r"| Ozempic \| placebo, see Table 2 |" and first["table_html"].startswith("<table>")
     assert first["metadata"]["table_rescue_strategy"] == "dailymed_clinical_table_or_figure_text" and not first["metadata"]["table_kept_intact"]
     assert table["metadata"]["table_kept_intact"] and table["metadata"]["table_rescue_strategy"] is None and last["modalities"] == ["text"]
+
+
+def test_a_section_goes_on_over_batches(spark):
+    from quernstone.storage import ARROW_ROWS
+
+    n = 3 * ARROW_ROWS + 7
+    names = [f"e{i:05d}" for i in range(n)]
+    words = lambda i: " ".join(["word"] * (1 + i % 13))
+    values = [element(e, i // 2, "text" if i % 11 else "heading", text=words(i)) for i, e in enumerate(names)]
+    split = "struct<original_element_id:string,part:int,count:int,strategy:string,row_start:int,row_end:int>"
+    rows = spark.read.schema(ELEMENT).json(spark.sparkContext.parallelize([json.dumps(e) for e in values])).repartition(5).withColumn("split", F.lit(None).cast(split))
+    placed = document_chunks.placed(rows, Limits(90, 40, 30))
+    assert "FlatMapGroups" not in placed._jdf.queryExecution().toString()  # a group of its own in Python for each section
+    got = sorted(placed.collect(), key=lambda r: r["element_id"])
+    wanted = fold([r["element_type"] for r in got], [r["quern_n"] for r in got], [r["quern_text_n"] for r in got], Limits(90, 40, 30))
+    assert [(r["parent"], r["child"]) for r in got] == list(wanted)
+    assert {(r["first_at"], r["first_id"]) for r in got} == {(0.0, names[0])} and len(got) == n
+
+
+def test_parents_without_images_are_no_groups(spark):
+    from quernstone.operators import attach
+
+    children = spark.createDataFrame([(p, f"{p}{i}", [1], 0.0, 0.0, float(i), "text", False) for p in "abc" for i in range(2)], "parent_id string, child_id string, pages array<int>, x double, y double, sequence double, text string, is_table boolean")
+    images = spark.createDataFrame([("b", "i", 1, 0.0, 0.0, 1.0, "text", False)], "parent_id string, image_id string, page int, x double, y double, sequence double, context string, tiny_chart boolean")
+    found = attach.attach_images(children, images)
+    assert "LeftSemi" in found._jdf.queryExecution().toString()
+    assert [(r["parent_id"], r["image_id"], r["child_id"]) for r in found.collect()] == [("b", "i", "b1")]
