@@ -16,13 +16,22 @@ def retrieve(queries: DataFrame, chunks: DataFrame, parents: DataFrame, config:
     queries: query_id, text, vector, weights; chunks: id, parent_id, source, vector, weights;
     parents: parent_id, text. ``config.sources`` limits the sources; none is no limit.
     """
-    config, reranker = config or RetrievalConfig(), reranker or OverlapReranker()
+    config = config or RetrievalConfig()
     rows = fusion.only(chunks, "source", list(config.sources))
     lists = {
         "dense": search.dense_topk(queries.select("query_id", "vector"), rows.select("id", "vector"), config.dense_limit),
         "sparse": search.sparse_topk(queries.select("query_id", "weights"), rows.select("id", "weights"), config.sparse_limit),
     }
-    found = fusion.expand_parents(fusion.rrf(lists, config.fused_limit), rows.select("id", "parent_id"), config.children)
+    return answers(lists, queries, rows, parents, config, reranker)
+
+
+def answers(lists: dict[str, DataFrame], queries: DataFrame, parent_of: DataFrame, parents: DataFrame, config: RetrievalConfig | None = None, reranker: Reranker | None = None) -> DataFrame:
+    """What ``retrieve`` makes of the lists (query_id, id, rank, score) of its searches, where these have run on tables of their own.
+
+    queries: query_id, text; parent_of: id, parent_id (chunks without a parent drop out); parents: parent_id, text.
+    """
+    config, reranker = config or RetrievalConfig(), reranker or OverlapReranker()
+    found = fusion.expand_parents(fusion.rrf(lists, config.fused_limit), parent_of.select("id", "parent_id"), config.children)
     found = pinned(found, "found")
     once = hasattr(reranker, "features")
     side = lambda df, key, name: df.select(key, (reranker.features(F.col("text")) if once else F.col("text")).alias(name))

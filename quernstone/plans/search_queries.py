@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as T
 from quernstone.operators import fusion, postings, search, vector_index
 from quernstone.plans.registry import COUNT, TERMS, query
-from quernstone.plans.retrieve import retrieve
+from quernstone.plans.retrieve import answers
 from quernstone.sources.tables import table
 from quernstone.storage import new_folder
 
@@ -242,11 +242,9 @@ pairs AS (SELECT p.query_id, p.parent_id, p.child_ids, p.best_score, list_distin
 scored AS (SELECT query_id, parent_id, child_ids, best_score, CASE WHEN least(len(a), len(b)) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / least(len(a), len(b)) END AS relevance FROM pairs)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, parent_id))::INT AS rank FROM scored QUALIFY rank <= 8""")
 def retrieved_parents(spark: SparkSession, folder: str) -> DataFrame:
-    """``plans.retrieve`` for a query set: both searches, fusion, parents with their best children, and the rerank of their texts."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "source")
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    chunks = docs.select("id", "source").join(vectors, "id", "full").join(weighted(spark, folder, DOC_TERMS), "id", "left").withColumn("parent_id", F.floor(F.col("id") / 5))
-    asked = docs.where(F.col("id") % EVERY == 0).select("id", "text").join(vectors, "id", "left")  # a query is a document
-    queries = asked.join(weighted(spark, folder, QUERY_TERMS, True), "id", "left").withColumnRenamed("id", "query_id")
-    parents = docs.groupBy(F.floor(F.col("id") / 5).alias("parent_id")).agg(F.min_by("text", "id").alias("text"))
-    return retrieve(queries, chunks, parents)
+    """``plans.retrieve`` for a query set: both searches, each on the table of its rows, fusion, parents with their best children, and the rerank of their texts."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 5).alias("parent_id"), "text")
+    queries = docs.where(F.col("id") % EVERY == 0).select(F.col("id").alias("query_id"), "text")
+    near = dense(spark, folder).join(queries.select("query_id"), "query_id", "left_semi")  # a query is a document
+    heads = docs.groupBy("parent_id").agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.col("id"))).alias("text"))
+    return answers({"dense": near, "sparse": sparse(spark, folder)}, queries, docs, heads)
