@@ -69,3 +69,27 @@ def test_no_pair_of_a_query_and_a_row_is_shuffled(spark):
     assert {"query_id", "id"} <= set((made := postings.search(spark, path, rows.where("id % 25 = 0").withColumnRenamed("id", "query_id"), 5)).columns)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [query_id" not in plan and "Generate explode(postings" not in plan and "MapInArrow" in plan
+
+
+def test_all_tasks_share_thresholds(spark):
+    rows = spark.createDataFrame(rows_of(1200, 7), ROW).repartition(4)
+    queries = rows.where("id % 40 = 0").withColumnRenamed("id", "query_id")
+    path = new_folder(spark, "postings")
+    postings.write(rows, path, tile_rows=8)
+    keys = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # about five tiles a task
+    before = {key: spark.conf.get(key) for key in keys}
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        got, report = found(postings.search(spark, path, queries, 3)), postings.skipped(spark, path, queries, 3).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == found(search.sparse_topk(queries, rows, 3))
+    assert sum(r["blocks_read"] for r in report) < 0.4 * sum(r["blocks"] for r in report)
+
+
+def test_weights_of_0_and_null_have_no_postings(spark):
+    path = new_folder(spark, "postings")
+    postings.write(spark.createDataFrame([(1, {"a": 0.0, "b": None, "c": 2.0}), (2, None), (3, {"a": 1.0})], ROW), path)
+    assert sorted((r["term"], r["n"], r["ids"]) for r in spark.read.parquet(path).collect()) == [("a", 1, [3]), ("c", 1, [1])]
