@@ -22,18 +22,19 @@ from pyspark.sql import types as T
 from quernstone.storage import pinned, small_batches
 
 DIGITS = 6
-#: Queries that a task holds, that it scores at once, and products of terms that it adds at once.
-WAVE, BLOCK, PRODUCTS = 8192, 1024, 1 << 20
+#: Queries that a task holds, that it scores at once by vectors or by terms, and products of terms that it adds at once.
+WAVE, BLOCK, BLOCK_TERMS, PRODUCTS = 16384, 1024, 2048, 1 << 21
 #: A block of queries has so many terms at most in a dense matrix, those that at least this share of its queries have: most products are of few terms.
-HEAD, HEAD_SHARE = 512, 0.02
+HEAD, HEAD_SHARE = 768, 0.015
 #: Frequent terms by which queries are brought together, and neighbours of a block whose largest weights are one bound.
 ANCHORS, GROUP = 32, 16
 #: Queries with the lowest floors lie together, this share of all: most rows reach one of them.
 LOW = 1 / 8
 #: Numbers or terms of a wave's queries, which the driver reads and every task holds. A wave holds whole queries.
 WAVE_ENTRIES = 1 << 22
-#: Of so many rows and more, one in ``LEAD`` (by a hash of the id) or the heaviest one in ``LEAD_HEAVY`` go first. Rows and bytes that a task scores at once.
-LEAD, LEAD_HEAVY, LEAD_FROM = 16, 32, 1 << 14
+#: Of so many rows and more, one in ``LEAD`` (by a hash of the id) or the heaviest one in ``LEAD_HEAVY`` go first; before these the ``LEAD_ROWS`` heaviest.
+LEAD, LEAD_HEAVY, LEAD_FROM, LEAD_ROWS = 16, 32, 1 << 14, 512
+#: Rows and bytes that a task scores at once.
 GATHER_ROWS, GATHER_BYTES = 4096, 1 << 25
 #: The least score that is not 0.
 ABOVE_0 = np.nextafter(0, 1)
@@ -90,37 +91,51 @@ def best_of(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table, np.ndarray | None], Scorer], wave: int, least: float = -np.inf, heavy: Column | None = None) -> DataFrame:
+def _topk(queries: DataFrame, rows: DataFrame, k: int, make: Callable[[pa.Table, np.ndarray | None], Scorer], wave: int, least: float = -np.inf, heavy: str | None = None) -> DataFrame:
     """(query_id, id, score, rank). ``make`` turns a wave of queries into their scorer. The first column of both frames is the id, the second a list.
 
     A wave is about ``wave`` queries, fewer if their lists are long. Of many rows, one in ``LEAD`` are searched first: the k-th best score there is what any other row must
-    reach, so that tasks neither look through nor pass on what is only the best of their own. With ``heavy``, a number of a row, those with the largest go first, one in ``LEAD_HEAVY``.
+    reach, so that tasks neither look through nor pass on what is only the best of their own. With ``heavy``, a column with a number of a row, those with the largest go first, one in ``LEAD_HEAVY``;
+    they have many terms and reach many queries, so a few of them, the heaviest, tell before what these must reach.
     """
     queries, rows = pinned(queries, "queries"), pinned(rows, "rows")
     n, entries = queries.agg(F.count("*"), F.sum(F.size(queries.columns[1]).cast("long"))).first()
     waves = max(1, -(-n // wave), -(-(entries or 0) // WAVE_ENTRIES))
-    lead = rest = None
-    if rows.count() >= LEAD_FROM:
-        first = F.pmod(F.xxhash64("id"), F.lit(LEAD)) == 0
-        if heavy is not None:
-            bound = rows.agg(F.percentile_approx(heavy, 1 - 1 / LEAD_HEAVY)).first()[0]
-            first = (heavy > bound) | ((heavy == bound) & first)
-        first = F.coalesce(first, F.lit(False))
-        lead, rest = rows.where(first).coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)), rows.where(~first)  # a task of the lead has k rows of each query
+    leads, rest = _leads(rows, heavy)
     parts = [rows.sparkSession.createDataFrame([], _OUT)]
     for n in range(waves):
         found = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == n).toArrow().combine_chunks()  # a wave of queries
         if found.num_rows:
-            own, known = found.column(0).to_numpy(), None
-            if lead is not None:
-                best = pinned(best_of(lead.mapInArrow(top_of(make(found), own, k, least), _OUT), k), "lead")
+            own, known, best = found.column(0).to_numpy(), None, None
+            for lead in leads:
+                best = lead.mapInArrow(top_of(make(found, known), own, k, least, known), _OUT).unionByName(parts[0] if best is None else best.drop("rank"))
+                best = pinned(best_of(best, k), "lead")
                 reached = {r["query_id"]: r["score"] for r in best.where(F.col("rank") == k).select("query_id", "score").collect()}  # a row a query of the wave
                 known = np.array([reached.get(q, -np.inf) for q in own.tolist()])
+            if best is not None:
                 parts.append(best.drop("rank"))
-            parts.append((rows if rest is None else rest).mapInArrow(top_of(make(found, known), own, k, least, known), _OUT))
+            parts.append(rest.mapInArrow(top_of(make(found, known), own, k, least, known), _OUT))
     return best_of(reduce(DataFrame.unionByName, parts[1:] or parts), k)
 
 
+def _leads(rows: DataFrame, heavy: str | None) -> tuple[list[DataFrame], DataFrame]:
+    """The rows that go first, none if there are few rows, and all others. A task of a lead has k rows of each query, so there are not more tasks than cores."""
+    many = rows.count()
+    if many < LEAD_FROM:
+        return [], rows
+    firsts = [F.pmod(F.xxhash64("id"), F.lit(LEAD)) == 0]
+    if heavy is not None:
+        shares = min(LEAD_ROWS / many, 1 / LEAD_HEAVY), 1 / LEAD_HEAVY
+        bounds = rows.agg(F.percentile_approx(heavy, [1 - s for s in shares], 1 << 16)).first()[0] or []
+        firsts = [F.coalesce((F.col(heavy) > b) | ((F.col(heavy) == b) & firsts[0]), F.lit(False)) for b in bounds]
+    cores, before, leads = max(1, rows.sparkSession.sparkContext.defaultParallelism), F.lit(False), []
+    for n, first in enumerate(firsts):
+        tasks = max(1, cores // 4) if n < len(firsts) - 1 else cores
+        leads.append(pinned(rows.where(first & ~before), "first").coalesce(tasks))  # once, not once a wave
+        before = first
+    return leads, rows.where(~before)
+
+
 def unit(column: pa.ListArray, dimension: int | None = None) -> np.ndarray:
     """Vectors as rows of length 1 (or 0). All must have one length, the ``dimension`` if it is given."""
     if not len(column):
@@ -231,7 +246,8 @@ class SharedTerms:
             np.maximum.at(largest, code, np.abs(weight))
             code, query, weight = code[~is_head], query[~is_head], weight[~is_head]
             index = self._by_code(code, query, weight)
-            heads = dense.astype(np.float32), float(np.sqrt((dense**2).sum(axis=1).max(initial=0)))
+            tops = np.stack([np.abs(dense[lo : lo + GROUP]).max(axis=0) for lo in range(0, len(members), GROUP)])
+            heads = tops.astype(np.float32), float(np.sqrt((tops**2).sum(axis=1).max(initial=0)))
             self.blocks.append((members, lengths, largest, dense, heads, column, index, self._envelopes(index)))
 
     def _by_code(self, code: np.ndarray, query: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,7 +277,9 @@ class SharedTerms:
             if floors is not None:
                 reach = norms * (1 + 1e-9) >= ((floors[members] - 10.0**-DIGITS) / np.maximum(lengths, 1e-300)).min()
                 kept, code, row, w = _of_rows(reach, kept, code, row, w)
-            first = index[0]
+                reach = np.bincount(row, largest[code] * np.abs(w), len(kept)) * (1 + 1e-9) >= floors[members].min() - 10.0**-DIGITS
+                kept, code, row, w = _of_rows(reach, kept, code, row, w)
+            first, single = index[0], dense.astype(np.float32)
             upto = np.concatenate(([0], np.cumsum(np.bincount(row, first[code + 1] - first[code], len(kept)))))
             lo = 0
             while lo < len(kept):
@@ -274,37 +292,39 @@ class SharedTerms:
                     sums = np.bincount(index[1][entry] * (hi - lo) + piece[1][of], index[2][entry] * piece[2][of], len(members) * (hi - lo))
                     yield members, kept[lo:hi], dense @ x.T + sums.reshape(len(members), hi - lo)
                 else:
-                    for group, some, sums in self._reaching(floors[members], largest, dense, heads, column, index, envelopes, x, *piece):
+                    for group, some, sums in self._reaching(floors[members], largest, dense, single, heads, column, index, envelopes, x, *piece):
                         yield members[group], kept[lo:hi][some], sums
                 lo = hi
 
-    def _reaching(self, floors: np.ndarray, largest: np.ndarray, dense: np.ndarray, heads: tuple[np.ndarray, float], column: np.ndarray, index: tuple, envelopes: tuple, x: np.ndarray, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """Sums of each group of queries and the rows that may reach a floor there: the product of frequent terms, in single precision, and what the
-        others could give, first in the block, then in the group, say which. ``x`` are the frequent terms of the rows."""
-        single, longest = heads
+    def _reaching(self, floors: np.ndarray, largest: np.ndarray, dense: np.ndarray, single: np.ndarray, heads: tuple[np.ndarray, float], column: np.ndarray, index: tuple, envelopes: tuple, x: np.ndarray, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Sums of each group of queries and the rows that may reach a floor there. In single precision, the product with a group's largest weights for the frequent terms,
+        then with its queries' own, and what the others could give, first in the block, then in the group, say which. ``x`` are the frequent terms of the rows."""
+        tops, longest = heads
         slack = 1e-4 * longest * np.sqrt((x**2).sum(axis=1)) + 1e-6 * np.abs(floors[np.isfinite(floors)]).max(initial=0) + 10.0**-DIGITS
-        wanted = floors.astype(np.float32)[:, None] - single @ x.T.astype(np.float32)  # of the other terms
-        wanted = np.stack([wanted[lo : lo + GROUP].min(axis=0) for lo in range(0, len(dense), GROUP)])
+        narrow, floors = x.astype(np.float32), floors.astype(np.float32)
+        wanted = np.minimum.reduceat(floors, np.arange(0, len(floors), GROUP))[:, None] - tops @ np.abs(narrow).T  # of the other terms, at least
         rare = np.flatnonzero(column[code] < 0)
         code, row, w = code[rare], row[rare], w[rare]
         left = ~(wanted.min(axis=0) > np.bincount(row, largest[code] * np.abs(w), len(x)) * (1 + 1e-9) + slack)
         kept, code, row, w = _of_rows(left, np.arange(len(x)), code, row, w)
         entry, of = _entries(envelopes[0], code)
         group, row, w = envelopes[1][entry], row[of], w[of]
-        most = np.bincount(group * len(kept) + row, envelopes[2][entry] * np.abs(w), len(wanted) * len(kept)).reshape(len(wanted), len(kept))
-        reach = ~(wanted[:, left] > most * (1 + 1e-9) + slack[left])
+        most = np.bincount(group * len(kept) + row, envelopes[2][entry] * np.abs(w), len(wanted) * len(kept)).reshape(len(wanted), len(kept)) * (1 + 1e-9) + slack[left]
+        reach = ~(wanted[:, left] > most)
+        for g in np.flatnonzero(reach.any(axis=1)).tolist():
+            some, of = np.flatnonzero(reach[g]), slice(g * GROUP, (g + 1) * GROUP)
+            reach[g, some] = ~((floors[of, None] - single[of] @ narrow[kept[some]].T).min(axis=0) > most[g, some])
         place = np.cumsum(reach.ravel()) - 1  # of a group and row that are summed
         inside = np.flatnonzero(reach[group, row])
         entry, cell, w = entry[inside], place[group[inside] * len(kept) + row[inside]], w[inside]
         at, of = _entries(envelopes[3], entry)
         sums = np.bincount(cell[of] * GROUP + index[1][at] % GROUP, index[2][at] * w[of], GROUP * int(reach.sum())).reshape(-1, GROUP)
         lo = 0
-        for g, rows in enumerate(reach):
-            some = kept[rows]
-            if len(some):
-                of = slice(g * GROUP, min((g + 1) * GROUP, len(dense)))
-                yield of, some, dense[of] @ x[some].T + sums[lo : lo + len(some), : of.stop - of.start].T
-                lo += len(some)
+        for g in np.flatnonzero(reach.any(axis=1)).tolist():
+            some = kept[reach[g]]
+            of = slice(g * GROUP, min((g + 1) * GROUP, len(dense)))
+            yield of, some, dense[of] @ x[some].T + sums[lo : lo + len(some), : of.stop - of.start].T
+            lo += len(some)
 
 
 def _of_rows(good: np.ndarray, kept: np.ndarray, code: np.ndarray, row: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +351,7 @@ def _entries(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (begin - (ends - lens))[of] + np.arange(len(of)), of
 
 
-def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
+def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK_TERMS, wave: int = WAVE) -> DataFrame:
     """(query_id, id, score, rank) of the k rows with the largest inner product above 0.
 
     queries: query_id, weights MAP<STRING, DOUBLE>; rows: id, weights. Null and empty weights find nothing.
@@ -349,7 +369,8 @@ def sparse_topk(queries: DataFrame, rows: DataFrame, k: int, block: int = BLOCK,
         return score
 
     lists = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.map_keys("weights").alias("terms"), F.map_values("weights").cast("array<double>").alias("w"))
-    return _topk(lists(queries, "query_id"), lists(rows, "id"), k, make, wave, ABOVE_0, F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    mass = F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x).alias("mass")
+    return _topk(lists(queries, "query_id"), lists(rows, "id").select("*", mass), k, make, wave, ABOVE_0, "mass")
 
 
 def centroids(vectors: DataFrame, *by: str) -> DataFrame:

@@ -56,3 +56,28 @@ def test_heaviest_rows_go_first(spark, monkeypatch):
         for rank, i in enumerate([i for i in np.lexsort((np.arange(len(scores)), -scores)) if scores[i] > 0][:4], 1):
             expected[q, rank] = (int(i), float(scores[i]))
     assert got == expected
+
+
+def test_a_few_of_the_heaviest_rows_go_before_the_lead(spark, monkeypatch):
+    monkeypatch.setattr(search, "LEAD_FROM", 100)
+    monkeypatch.setattr(search, "LEAD_ROWS", 8)
+    rows = spark.range(640).selectExpr("id", "CASE WHEN id % 9 > 0 THEN CAST(id AS double) END AS mass")
+    leads, rest = search._leads(rows, "mass")
+    top, lead, others = (sorted(r["id"] for r in df.collect()) for df in (*leads, rest))
+    assert sorted([*top, *lead, *others]) == list(range(640))  # each row once, also those without a number
+    assert 0 < len(top) <= 9 and min(top) > max(lead) and 8 <= len(lead) <= 25 and max(others) < 640 and not {i for i in (*top, *lead) if i % 9 == 0}
+
+
+def test_a_wave_of_many_blocks_with_and_without_floors():
+    rng, vocabulary = np.random.default_rng(8), [f"t{i}" for i in range(300)]
+    q_terms, q_weights = _lists(rng, 70, vocabulary, (1, 60))
+    terms, weights = _lists(rng, 90, vocabulary, (0, 120))
+    every = _matrix(q_terms, q_weights, vocabulary) @ _matrix(terms, weights, vocabulary).T
+    floors = np.sort(every, axis=1)[:, -3].copy()
+    floors[::11], floors[5] = -np.inf, np.inf  # queries that any row reaches, and one that none does
+    shared = search.SharedTerms(pa.table({"query_id": np.arange(70), "terms": q_terms, "w": q_weights}).combine_chunks(), 40, floors)
+    seen = np.full(every.shape, np.nan)
+    for queries, rows, sums in _products(shared, terms, weights, floors):
+        seen[np.ix_(np.arange(70)[queries], rows)] = sums
+    wanted = (every >= floors[:, None]) & (every > 0)
+    assert np.allclose(seen[wanted], every[wanted], atol=1e-9)
