@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.operators.search import ABOVE_0, BLOCK, DIGITS, LEAD_HEAVY, SharedTerms, best_of, gathered, top_of
+from quernstone.operators.search import ABOVE_0, BLOCK_TERMS, DIGITS, LEAD_HEAVY, SharedTerms, best_of, gathered, top_of
 from quernstone.storage import pinned, small_batches
 
-TILE_ROWS, LEAD = 512, 2
+TILE_ROWS, LEAD = 1024, 2
 #: Of so many tiles and more, ``LEAD_TILES``, the heaviest, go first, and one in ``LEAD_HEAVY`` after them.
 LEAD_FROM, LEAD_TILES = 64, 2
 #: Terms of the queries of a wave, which the driver reads and every task holds.
@@ -59,11 +59,12 @@ def _blocks(tile_rows: int):
             place[np.argsort(-np.bincount(row, np.abs(w), len(sizes)), kind="stable")] = np.arange(len(sizes))
             encoded = terms.dictionary_encode()
             code = encoded.indices.to_numpy()
-            by = np.lexsort((ids[row], code, place[row] // tile_rows))
+            nth = np.argsort(np.argsort(ids, kind="stable"))  # places of ids in their order, so that one number a posting is the order
+            by = np.argsort((place[row] // tile_rows * len(encoded.dictionary) + code) * len(ids) + nth[row])
             row, code, w, dealt = row[by], code[by], w[by], place[row[by]] // tile_rows
             for lo, hi in _runs(dealt):
                 c, x = code[lo:hi], w[lo:hi]
-                first = np.array([a for a, _ in _runs(c)])
+                first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
                 offsets = pa.array(np.append(first, len(c)).astype(np.int32))
                 postings = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (ids[row[lo:hi]], x)]
                 largest, smallest = np.maximum.reduceat(x, first), np.minimum.reduceat(x, first)
@@ -106,7 +107,7 @@ class _Wave:
     """Scores tiles for a wave of queries (query_id, terms, weights), and counts what it reads."""
 
     def __init__(self, found: pa.Table, lead: int, known: np.ndarray | None = None):
-        self.shared, self.lead, lists = SharedTerms(found, BLOCK, known), lead, found.column(1).chunk(0)
+        self.shared, self.lead, lists = SharedTerms(found, BLOCK_TERMS, known), lead, found.column(1).chunk(0)
         code, owner = self.shared.codes(lists.flatten()), np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
         by = np.argsort(code, kind="stable")
         self.query, self.weight = owner[by], found.column(2).chunk(0).flatten().to_numpy()[by]
@@ -128,9 +129,9 @@ class _Wave:
         self.counts += np.stack([blocks > 0, blocks, postings, blocks * read, postings * read])
         if read.any():
             held, w = (tile.column(c).take(pa.array(hit)).flatten().to_numpy() for c in ("ids", "weights"))
-            ids, row = np.unique(held, return_inverse=True)
-            by = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[by], np.arange(len(ids) + 1))
+            by = np.argsort(held, kind="stable")
+            ends = np.flatnonzero(np.concatenate(([True], held[by][1:] != held[by][:-1], [True])))
+            ids = held[by[ends[:-1]]]
             for members, rows, sums in self.shared.products(ends, np.repeat(code, n)[by], w[by], np.where(read, floor, np.inf)):
                 yield members, ids[rows], sums
 
@@ -175,9 +176,10 @@ def _search(spark: SparkSession, path: str, queries: DataFrame, k: int, lead: in
         found = wave.toArrow().combine_chunks()
         if found.num_rows:
             known = best = None
-            for blocks in [*leads, rest]:
+            for at, blocks in enumerate([*leads, rest]):
                 met = blocks.join(F.broadcast(terms(wave)), "term", "left_semi").select(*blocks.columns)
-                tiles = met.repartition("tile").sortWithinPartitions(F.desc("mass"), "tile")
+                dealt = met.repartition("tile") if blocks is rest else met.repartition(LEAD_TILES if at == 0 else spark.sparkContext.defaultParallelism, "tile")
+                tiles = dealt.sortWithinPartitions(F.desc("mass"), "tile")
                 out = tiles.mapInArrow(_searched(found, k, lead, report, known), schema)
                 if report or blocks is rest:
                     parts.append(out if waves == 1 else pinned(out if report else best_of(out, k).drop("rank"), "found"))  # so that the shuffle of a wave can go before the next
